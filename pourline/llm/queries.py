@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as rules_module
 from .common import table
+from .near_dup import near_duplicates
 from .quality_rules import quality_rules
 
 
+def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ FROM f"""
 
 
 QUERIES = {
+    "op3_minhash_near_dup": op3_minhash_near_dup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
