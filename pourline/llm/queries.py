@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from . import quality_rules as rules_module
 from .common import table
 from .near_dup import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; nothing of it is copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -62,6 +74,7 @@ FROM f"""
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op10_quality_rules": op10_quality_rules,
 }
