@@ -10,6 +10,7 @@ from .common import table
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .token_files import token_files
 
 
@@ -28,6 +29,10 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cut="lead", end_id=2)
 
@@ -81,6 +86,7 @@ FROM f"""
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op5_secret_scans": op5_secret_scans,
     "op8_token_files": op8_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
