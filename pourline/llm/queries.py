@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as rules_module
 from .common import table
+from .html_text import extract_text
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .token_files import token_files
+from .warc import archive
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +35,24 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS sha FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY sha, n) END AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha AS payload_digest,
+       CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM m"""
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cut="lead", end_id=2)
 
@@ -87,9 +107,12 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_warc": op6_warc,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_files": op8_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op6_warc": OP6_SQL,
     "op10_quality_rules": _op10_sql(),
 }
