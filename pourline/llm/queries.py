@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as rules_module
 from .common import table
+from .decontamination import find_leaks
 from .html_text import extract_text
 from .near_dup import near_duplicates
 from .packing import pack
@@ -23,6 +24,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -104,6 +109,7 @@ FROM f"""
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op5_secret_scans": op5_secret_scans,
