@@ -11,6 +11,7 @@ from .decontamination import find_leaks
 from .html_text import extract_text
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality_model import classify
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .token_files import token_files
@@ -36,6 +37,10 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scans": op5_secret_scans,
     "op6_warc": op6_warc,
     "op7_html_extraction": op7_html_extraction,
