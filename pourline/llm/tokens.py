@@ -4,22 +4,32 @@ A tokenizer of the two kinds used here never joins characters across the places
 where ``Encoder`` cuts a text, so the ids of a text are those of its pieces, and a
 piece met before need not be encoded again:
 
-* ``space``: the tokenizer drops white space, so a text is cut at blanks and line ends;
+* ``space``: the tokenizer drops white space and case, so a text is cut at blanks and line ends;
 * ``lead``: a word keeps the one blank before it, so a text is cut before a single
   blank or line end that stands between two other characters.  A text with any
   other white space is encoded whole.
+
+A text of Latin-1 characters without apostrophes (which start endings such as 's),
+raised digits and separator controls is cut further, into the runs of letters,
+digits and other characters that the tokenizers cut it into themselves.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 from tokenizers import Tokenizer
 
 #: Pieces and bytes that a worker remembers; beyond either the memory starts anew.
-MEMORY_PIECES, MEMORY_BYTES = 400_000, 40_000_000
+MEMORY_PIECES, MEMORY_BYTES = 700_000, 30_000_000
 LONGEST_PIECE = 64
 _LEAD = re.compile(r"[ \n]?[^ \n]+")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x26\x28-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*\Z")
+_RUNS = {
+    "space": re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+"),
+    "lead": re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"),
+}
 _OTHER_SPACE = re.compile(r"[ \n]\s|[^\S \n]|\s\Z")
 
 
@@ -38,15 +48,15 @@ class Encoder:
         self.used = 0
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [
-            np.array(e.ids, "<u4").tobytes()
+            array("I", e.ids).tobytes()
             for at in range(0, len(pieces), 1000)
-            for e in self.tokenizer.encode_batch(pieces[at : at + 1000], add_special_tokens=False)
+            for e in self.tokenizer.encode_batch_fast(pieces[at : at + 1000], add_special_tokens=False)
         ]
 
     def pieces(self, text: str) -> list[str]:
+        if _PLAIN.match(text):
+            return _RUNS[self.cut].findall(text.lower() if self.cut == "space" else text)
         if self.cut == "space":
             return text.replace("\n", " ").split(" ")
         return [text] if _OTHER_SPACE.search(text) else _LEAD.findall(text)
@@ -61,14 +71,15 @@ class Encoder:
             new.update(pieces)
         new.difference_update(self.memory)
         new = list(new)
-        known = self.memory
-        found = dict(zip(new, self._encode(new), strict=True))
-        short = {p: v for p, v in found.items() if len(p) <= LONGEST_PIECE}
-        known.update(short)
-        self.used += sum(map(len, short.values()))
-        if len(short) < len(found):
-            known = known | found
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        values = self._encode(new)
+        self.memory.update(zip(new, values, strict=True))
+        self.used += sum(map(len, values))
+        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        for piece, value in zip(new, values, strict=True):
+            if len(piece) > LONGEST_PIECE:  # not worth its room
+                del self.memory[piece]
+                self.used -= len(value)
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
