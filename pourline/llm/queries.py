@@ -9,6 +9,7 @@ from . import quality_rules as rules_module
 from .common import table
 from .decontamination import find_leaks
 from .html_text import extract_text
+from .lm_score import score
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_model import classify
@@ -67,6 +68,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cut="lead", end_id=2)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_html_extraction": op7_html_extraction,
     "op8_token_files": op8_token_files,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
