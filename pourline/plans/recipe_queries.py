@@ -322,7 +322,7 @@ def f4(spark, d):
 def f5(spark, d):
     A.register(spark, d)
     total = spark.table("part").agg(F.count("*").alias("total"))
-    return search.page_range(total.select("total", F.explode(F.array(F.lit(1), F.lit(3))).cast("long").alias("page"), F.lit(50).alias("size")))
+    return search.page_range(total.select("total", F.explode(F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("page"), F.lit(50).alias("size")))
 
 
 @query("f6_recipe_by_id", f"SELECT id, name FROM {_CAT} WHERE id = 7")
