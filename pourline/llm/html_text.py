@@ -43,6 +43,7 @@ _DROPPED_NAME = re.compile(
     r"alert|disclaimer|copyright|legal|tags?|byline-social|outbrain|taboola)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|review|ad|promo|related|teaser)(?:$|[\s_-])", re.IGNORECASE)
 _GOOD_NAME = re.compile(r"article|content|entry|post|story|text|body|main", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _TAG = re.compile(
@@ -66,6 +67,9 @@ class Tree:
             for m in _ATTRIBUTE.finditer(attributes):
                 found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
+        named = _DROPPED_NAME.search(name) if name and tag not in ("html", "body", "main", "article") else None
+        if named and "header" in named[0].lower() and "article" in self._above(parent):
+            named = None  # an article's own heading
         own = (
             tag in DROPPED
             or (tag == "header" and "article" not in self._above(parent))
@@ -73,7 +77,8 @@ class Tree:
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
             or bool(_HIDDEN.search(found.get("style", "")))
-            or (bool(name) and tag not in ("html", "body", "main") and bool(_DROPPED_NAME.search(name)))
+            or (named is not None)
+            or (tag == "article" and bool(_COMMENT_NAME.search(name)))
         )
         self.tags.append(tag)
         self.parents.append(parent)
@@ -187,6 +192,12 @@ def main_text(page: str | None) -> str:
         best = next((i for t in ("article", "main", "body", "#page") for i in with_text if tree.tags[i] == t), None)
         if best is None:
             return ""
+    node = best
+    while node > 0:  # the whole article, if the container is a part of one
+        if tree.tags[node] == "article":
+            best = node
+            break
+        node = tree.parents[node]
     kept = {best}
     for i in range(1, len(points)):
         if tree.parents[i] == tree.parents[best] and i != best and not tree.dropped[i]:

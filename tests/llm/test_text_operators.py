@@ -173,6 +173,8 @@ def test_main_text_without_boilerplate():
     body = "<h1>A title</h1><p>First paragraph, with a comma and enough words to count.<p>Second &amp; <b>bo</b>ld\n  text, see <a href=x>a link</a>, and so on for a while.<script>var x = '<p>no</p>'</script>"
     assert main_text(BOILER % body) == "A title First paragraph, with a comma and enough words to count. Second & bold text, see a link, and so on for a while."
     assert main_text("<article><p>Hi.</p></article>") == "Hi." and main_text("<nav>x</nav>") == "" and main_text(None) == "" and main_text("just text") == "just text"
+    inner = '<article class="post"><header class="entry-header"><h1>Title</h1></header><div class=body><p>Some words, and more words, that make a paragraph.</p></div><div class="share">Share it</div><footer>By X</footer></article>'
+    assert main_text(f"<nav>menu</nav>{inner}<article class=comment><p>I say, no, this is not so, dear sir.</p></article>") == "Title Some words, and more words, that make a paragraph."
     assert main_text("<p>a &lt;b&gt;<br>c<!-- x --> d") == "a <b> c d"
 
 
