@@ -36,7 +36,7 @@ LONGEST, SHORTEST, BLOCK = 64, 8, 20_000
 #: Walks, keys of each walk, places of each key.  At 10 % edits a key is shared by 0.3 of the pairs or more, so 32 keys miss fewer than 1 in 10,000.
 WALKS, SAMPLES, BITS = 4, 8, 5
 #: Windows that are embedded at a time.
-WINDOWS = 50_000
+WINDOWS = 10_000
 #: Words this near to their last occurrence count as repeats.
 NEAR = 8
 SEED = 977

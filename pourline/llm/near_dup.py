@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ from .graph import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker keeps; beyond it the memory starts anew.
-MEMORY = 400_000
-#: Characters that one vectorized step takes at most, unless one text is longer.
-STEP_CHARS = 4_000_000
+MEMORY = 250_000
+#: Bytes of text that one vectorized step takes at most, unless one text is longer.
+STEP_CHARS = 1_500_000
 SMALL_LIST = 64
 BLOCK = 1000
 
@@ -61,13 +62,16 @@ HASHES = WordHashes()
 
 
 def steps(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Cut a batch into parts of bounded text."""
-    texts, start, size = batch.column(column).to_pylist(), 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= STEP_CHARS or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
+    """Cut a batch into parts of bounded text (one text at least), and let go of what the last part needed."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        limit = (ends[start - 1] if start else 0) + STEP_CHARS
+        stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, part.column(column).to_pylist()
+        start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
