@@ -26,6 +26,8 @@ from .store import mapped, writing
 from .tokens import encoder
 
 NO_ID = np.iinfo(np.int64).min
+#: Pieces that a writer's younger memory holds: a blank before a word makes twice as many as there are words.
+MEMORY = 350_000
 #: Ids that a reader holds at a time, unless one document has more.
 READ_IDS = 4_000_000
 
@@ -34,7 +36,7 @@ def _write(folder: str, path: str, cut: str, end_id: int, width: int):
     kind = {16: "<u2", 32: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, cut), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, cut, MEMORY), np.array([end_id], "<u4").tobytes()
         shard, total, n = TaskContext.get().partitionId(), 0, 0
         with writing(folder, f"{shard:06d}", ".ids") as (ids_file, ids_uri), writing(folder, f"{shard:06d}", ".idx") as (idx_file, idx_uri):
             for batch in batches:

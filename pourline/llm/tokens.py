@@ -21,11 +21,21 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Pieces and bytes that a worker remembers; beyond either the memory starts anew.
-MEMORY_PIECES, MEMORY_BYTES = 700_000, 30_000_000
+#: Pieces that the younger of a worker's two memories holds; then it becomes the older one, and what is met again moves over.
+MEMORY_PIECES = 160_000
 LONGEST_PIECE = 64
 _LEAD = re.compile(r"[ \n]?[^ \n]+")
-_PLAIN = re.compile(r"[\x00-\x1b\x20-\x26\x28-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*\Z")
+#: Latin-1 but for separator controls, the apostrophe and raised digits.
+_PLAIN = bytes(c for c in range(256) if c not in (*range(0x1C, 0x20), 0x27, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE))
+
+
+def _plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 _RUNS = {
     "space": re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+"),
     "lead": re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"),
@@ -36,26 +46,42 @@ _OTHER_SPACE = re.compile(r"[ \n]\s|[^\S \n]|\s\Z")
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, most: int = MEMORY_PIECES):
         if cut not in ("space", "lead"):
             raise ValueError(f"unknown way to cut texts: {cut}")
-        self.cut = cut
+        self.cut, self.most = cut, most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.splitter = Tokenizer.from_file(path)
+        self.splitter.no_truncation()
+        self.splitter.no_padding()
+        special = sorted((k, v.content) for k, v in self.splitter.get_added_tokens_decoder().items())
+        (self.between_id, self.between), self.others = special[-1], [text for _, text in special[:-1]]
         self.memory: dict[str, bytes] = {}
-        self.used = 0
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [
-            array("I", e.ids).tobytes()
-            for at in range(0, len(pieces), 1000)
-            for e in self.tokenizer.encode_batch_fast(pieces[at : at + 1000], add_special_tokens=False)
-        ]
+        """Many pieces at a time, joined by a special token that none of them holds: its id shows where each one ends."""
+        out = []
+        for at in range(0, len(pieces), 100):
+            part = pieces[at : at + 100]
+            joined = self.between.join(part)
+            if joined.count(self.between) >= len(part) or any(x in joined for x in self.others):
+                out += [array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in part]
+                continue
+            ids = array("I", self.splitter.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            raw, start = ids.tobytes(), 0
+            for _ in range(len(part) - 1):
+                end = ids.index(self.between_id, start)
+                out.append(raw[4 * start : 4 * end])
+                start = end + 1
+            out.append(raw[4 * start :])
+        return out
 
     def pieces(self, text: str) -> list[str]:
-        if _PLAIN.match(text):
+        if _plain(text):
             return _RUNS[self.cut].findall(text.lower() if self.cut == "space" else text)
         if self.cut == "space":
             return text.replace("\n", " ").split(" ")
@@ -63,30 +89,28 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        if len(self.memory) > MEMORY_PIECES or self.used > MEMORY_BYTES:
-            self.memory.clear()
-            self.used = 0
+        if len(self.memory) > self.most:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
         new = set()
         for pieces in cut:
             new.update(pieces)
-        new.difference_update(self.memory)
-        new = list(new)
-        values = self._encode(new)
-        self.memory.update(zip(new, values, strict=True))
-        self.used += sum(map(len, values))
-        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
-        for piece, value in zip(new, values, strict=True):
+        new = new.difference(memory)
+        memory.update((p, older[p]) for p in new if p in older)
+        new = list(new.difference(older))
+        memory.update(zip(new, self._encode(new), strict=True))
+        out = [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
             if len(piece) > LONGEST_PIECE:  # not worth its room
-                del self.memory[piece]
-                self.used -= len(value)
+                del memory[piece]
         return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, most: int = MEMORY_PIECES) -> Encoder:
     """The worker's encoder for a tokenizer file; workers outlive tasks, and so does what they remember."""
     if (path, cut) not in _ENCODERS:
-        _ENCODERS[path, cut] = Encoder(path, cut)
+        _ENCODERS[path, cut] = Encoder(path, cut, most)
     return _ENCODERS[path, cut]
