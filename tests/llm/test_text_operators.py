@@ -212,6 +212,14 @@ def test_counts_are_exact_and_the_model_beats_them(spark):
     assert sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
 
 
+def test_the_word_two_before_is_a_context_of_its_own(spark):
+    rng = random.Random(5)
+    kinds = [[rng.randrange(20) for _ in range(60)] for _ in range(400)]
+    rows = [(i, " ".join(w for a in k for w in (f"a{a}", f"m{rng.randrange(600)}", f"b{a}"))) for i, k in enumerate(kinds)]
+    held = score(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).where("held_out").collect()
+    assert sum(r["score"] for r in held) > 0.7 * sum(r["base_score"] for r in held)
+
+
 def test_probabilities_of_one_word_texts_sum_to_at_most_one(spark):
     rows = [(i, w) for i, w in enumerate(WORDS * 20)]
     got = score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
