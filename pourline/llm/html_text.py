@@ -3,7 +3,8 @@
 A page becomes a tree of elements.  Paragraphs pass points for their length and
 their commas to the elements around them, the nearest most; an element's points
 are discounted by its link density.  The element with the most points is the
-container, and siblings that score well, or read like paragraphs, are kept with it.
+container; it is kept with the page's heading and what is beside it up to the smallest
+element that holds both, and siblings that score well or are content elements.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are dropped wherever they stand, by element, role and name.
 """
@@ -31,19 +32,26 @@ BLOCKS = frozenset(
     "html body main article section div p pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "h1 h2 h3 h4 h5 h6 header footer nav aside form fieldset figure figcaption address details summary center hr br".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = HEADINGS | frozenset("p ul ol dl pre blockquote table figure details address".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section div main body html blockquote aside nav header footer form".split())
 HOLDERS = frozenset("body main article section div td blockquote center".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_DROPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
-    r"sidebar|side-bar|aside|widget|comments?|comment-\w+|disqus|respond|replies|reviews?|notice|cookies?|consent|gdpr|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip-link|hidden|"
-    r"alert|disclaimer|copyright|legal|tags?|byline-social|outbrain|taboola)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: A class token or id is boilerplate if all its parts, between - and _, are of these two kinds, at least one of the first.
+_NAMED = re.compile(
+    r"ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|"
+    r"widgets?|comments?|disqus|respond|reply|replies|reviews?|notice|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|"
+    r"subscription|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|hidden|alert|disclaimer|copyright|"
+    r"legal|tags?|outbrain|taboola"
 )
-_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|review|ad|promo|related|teaser)(?:$|[\s_-])", re.IGNORECASE)
+_NEUTRAL = re.compile(
+    r"\d+|site|page|main|global|primary|secondary|top|bottom|left|right|side|bar|box|block|area|container|wrapper|wrap|inner|outer|holder|"
+    r"list|item|links?|buttons?|icons?|form|section|panel|slot|unit|posts?|articles?|stories|content|mobile|desktop|sticky|fixed|thread|byline"
+)
+_READERS = re.compile(r"comments?|disqus|respond|reply|replies")
+_COMMENT_NAME = re.compile(r"comments?|reply|replies|review|ad|promo|related|teaser")
 _GOOD_NAME = re.compile(r"article|content|entry|post|story|text|body|main", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _TAG = re.compile(
@@ -54,11 +62,18 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 SHORT, CLIMB = 25, 3
 
 
+def _boilerplate(token: str) -> bool:
+    parts = [p for p in re.split(r"[-_]+", token) if p]
+    named = [bool(_NAMED.fullmatch(p)) for p in parts]
+    return any(named) and all(n or _NEUTRAL.fullmatch(p) for n, p in zip(named, parts, strict=True))
+
+
 class Tree:
     """Elements in page order (a parent comes before its children) and the texts between tags."""
 
     def __init__(self) -> None:
         self.tags, self.parents, self.names, self.dropped = ["#page"], [-1], [""], [False]
+        self.named: dict[int, list[str]] = {}  # elements that only their names speak against
         self.texts: list[tuple[int, str]] = []
 
     def add(self, tag: str, parent: int, attributes: str) -> int:
@@ -67,9 +82,14 @@ class Tree:
             for m in _ATTRIBUTE.finditer(attributes):
                 found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        named = _DROPPED_NAME.search(name) if name and tag not in ("html", "body", "main", "article") else None
-        if named and "header" in named[0].lower() and "article" in self._above(parent):
-            named = None  # an article's own heading
+        named = []
+        if name and tag not in ("html", "body", "main", "article"):
+            named = [t for t in name.lower().split() if _boilerplate(t)]
+            if any("header" in t for t in named) and "article" in self._above(parent):
+                named = [t for t in named if "header" not in t]  # an article's own heading
+        elif name and tag == "article":
+            named = [t for t in name.lower().split() if all(_COMMENT_NAME.fullmatch(p) or p.isdigit() for p in re.split(r"[-_]+", t) if p)]
+            named = [t for t in named if _COMMENT_NAME.search(t)]
         own = (
             tag in DROPPED
             or (tag == "header" and "article" not in self._above(parent))
@@ -77,13 +97,13 @@ class Tree:
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
             or bool(_HIDDEN.search(found.get("style", "")))
-            or (named is not None)
-            or (tag == "article" and bool(_COMMENT_NAME.search(name)))
         )
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(name)
         self.dropped.append(own or self.dropped[parent])
+        if named and not self.dropped[-1]:
+            self.named[len(self.tags) - 1] = named
         return len(self.tags) - 1
 
     def _above(self, node: int) -> Iterator[str]:
@@ -134,6 +154,35 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def _drop_named(tree: Tree, worth: list[float]) -> None:
+    """Drop what its name calls boilerplate, unless it holds most of the page's paragraph points.
+
+    Nothing is kept so beside an article or main part of its own, however short that is, and
+    readers' comments must also hold the heading, article or main part, or all points.
+    """
+    if not tree.named:
+        return
+    n = len(tree.tags)
+    held, titled = list(worth), [t in ("h1", "main") or (t == "article" and i not in tree.named) for i, t in enumerate(tree.tags)]
+    for i in range(n - 1, 0, -1):
+        held[tree.parents[i]] += held[i]
+        titled[tree.parents[i]] = titled[tree.parents[i]] or titled[i]
+    mains = [i for i in range(1, n) if tree.tags[i] in ("article", "main") and not tree.dropped[i] and i not in tree.named]
+
+    def apart(i: int, j: int) -> bool:
+        low, high = max(i, j), min(i, j)
+        while low > high:
+            low = tree.parents[low]
+        return low != high
+
+    for i, named in tree.named.items():
+        readers = any(_READERS.search(t) for t in named)
+        most = held[i] > 0.5 * held[0] and not any(apart(i, j) for j in mains) and (not readers or titled[i] or held[i] >= held[0] * (1 - 1e-9))
+        tree.dropped[i] = not most
+    for i in range(1, n):
+        tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parents[i]]
+
+
 def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     """Points, text length and link-text length of every element."""
     n = len(tree.tags)
@@ -148,12 +197,17 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
         if tree.dropped[node] or text.isspace():
             continue
         size = len(text.strip())
-        length[node] += size
         own[block[node]] += size
         commas[block[node]] += text.count(",")
         if in_link[node]:
-            linked[node] += size
             own_linked[block[node]] += size
+    worth = [(1 + commas[i] + min(own[i] / 100, 3)) * (1 - own_linked[i] / own[i]) if own[i] >= SHORT else 0.0 for i in range(n)]
+    _drop_named(tree, worth)
+    for node, text in tree.texts:
+        if not tree.dropped[node] and not text.isspace():
+            size = len(text.strip())
+            length[node] += size
+            linked[node] += size * in_link[node]
     for i in range(n - 1, 0, -1):
         up = tree.parents[i]
         length[up] += length[i]
@@ -167,10 +221,9 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     for i in range(n):
         if own[i] < SHORT or tree.dropped[i]:
             continue
-        worth = (1 + commas[i] + min(own[i] / 100, 3)) * (1 - own_linked[i] / own[i])
         node, far = (i if tree.tags[i] in HOLDERS else tree.parents[i]), 1
         while node > 0 and far <= CLIMB:
-            points[node] += worth / far
+            points[node] += worth[i] / far
             node, far = tree.parents[node], far + 1
     for i in range(1, n):
         if points[i]:
@@ -179,6 +232,48 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     return points, length, linked
 
 
+def _around(tree: Tree, best: int, points: list[float], length: list[int], linked: list[int]) -> tuple[set[int], set[int]]:
+    """(elements kept whole, elements whose own texts are kept) about the container.
+
+    From a container without the page's heading one climbs to the smallest element that
+    holds the last first-rank heading before it, and keeps what is beside the way and is
+    not mostly links; of the body only content elements, and what is between the two.
+    """
+    kept, loose = {best}, set()
+    if tree.tags[best] in ("article", "body", "html", "#page"):
+        top, title = tree.parents[best], best
+    else:
+        ends = best
+        while ends + 1 < len(tree.tags) and tree.parents[ends + 1] >= best:
+            ends += 1
+        inner = any(tree.tags[i] == "h1" and not tree.dropped[i] for i in range(best, ends + 1))
+        title = next((i for i in range(best - 1, 0, -1) if tree.tags[i] == "h1" and not tree.dropped[i] and length[i]), None) if not inner else None
+        above, top = set(), tree.parents[best]
+        node = title
+        while node is not None and node > 0:
+            above.add(node)
+            node = tree.parents[node]
+        while title is not None and top > 0 and top not in above:
+            top = tree.parents[top]
+        title = best if title is None else title
+    way, node = {best}, best
+    while node > 0 and node != top:
+        node = tree.parents[node]
+        way.add(node)
+    whole = tree.tags[best] not in ("article", "body", "html", "#page")
+    loose = {i for i in way if i != best and whole and tree.tags[i] not in ("body", "html", "#page")}
+    beyond = title == best  # no heading to climb to: content elements only
+    for i in range(1, len(points)):
+        if i in way or tree.parents[i] not in way or tree.parents[i] == best or tree.dropped[i]:
+            continue
+        wide = beyond or tree.tags[tree.parents[i]] in ("body", "html", "#page")
+        plain = tree.tags[i] == "p" and length[i] > 80 and linked[i] < 0.25 * length[i]
+        content = whole and linked[i] <= 0.25 * length[i] and (not wide or tree.tags[i] in CONTENT or title <= i < best)
+        if plain or content or i == title or (points[i] and points[i] >= max(10.0, 0.2 * points[best])):
+            kept.add(i)
+    return kept, loose
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: white space inside a block is one space, blocks are joined by one; empty if there is none."""
     if not page:
@@ -198,16 +293,11 @@ def main_text(page: str | None) -> str:
             best = node
             break
         node = tree.parents[node]
-    kept = {best}
-    for i in range(1, len(points)):
-        if tree.parents[i] == tree.parents[best] and i != best and not tree.dropped[i]:
-            plain = tree.tags[i] == "p" and length[i] > 80 and linked[i] < 0.25 * length[i]
-            if plain or (points[i] and points[i] >= max(10.0, 0.2 * points[best])):
-                kept.add(i)
+    kept, loose = _around(tree, best, points, length, linked)
     inside = [False] * len(points)
     for i in range(len(points)):
         inside[i] = i in kept or (i > 0 and inside[tree.parents[i]])
-    parts = [text for node, text in tree.texts if text == "\n" or (inside[node] and not tree.dropped[node])]
+    parts = [text for node, text in tree.texts if text == "\n" or ((inside[node] or node in loose) and not tree.dropped[node])]
     return " ".join(entities.unescape("".join(parts)).split())
 
 

@@ -184,6 +184,25 @@ def test_extract_odd_rows(odd_docs, no_docs):
     assert extract_text(no_docs).count() == 0
 
 
+def test_names_with_other_parts_and_large_named_elements_are_kept():
+    body = "<p>" + "The river rose in spring, and the old mill stood in water, as it had before. " * 3 + "</p>"
+    for name in ("class='content has-sidebar'", "class='post tag-soup'", "class='overflow-hidden'", "id='review'"):
+        text = main_text(f"<body><div {name}>{body}{body}</div><div class='site-footer'><p>All rights reserved, by the owners of this page.</p></div></body>")
+        assert text.count("river") == 6 and "rights" not in text, name
+    assert main_text(f"<body><article class='review'>{body}</article></body>").count("river") == 3
+    text = main_text(f"<body><div class=entry>{body}</div><div id=comments>{body.replace('river', 'reader') * 3}</div></body>")
+    assert "river" in text and "reader" not in text
+    assert main_text("<body><div class=ad>Buy one now, and get a second at no cost at all.</div><article><h1>Title</h1><p>Short.</article></body>") == "Title Short."
+
+
+def test_headings_and_short_siblings_of_the_container_are_kept():
+    body = "<p>" + "The river rose in spring, and the old mill stood in water, as it had before. " * 3 + "</p>"
+    links = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    page = f"<body><div class=post><h1>Title</h1><p>short lead</p><div class=entry>{body}{body}</div><ul><li>two lemons</li></ul>{links}</div><div class=footer>Foot</div></body>"
+    text = main_text(page)
+    assert text.startswith("Title short lead The river") and text.endswith("two lemons")
+
+
 # ---- 9: language model ----
 
 
