@@ -32,16 +32,36 @@ def dedup_key(name: Column, ingredients: Column) -> Column:
 def dedup_recipes(recipes: DataFrame) -> DataFrame:
     """recipes(id, name, ingredients) -> one row per key: dedup_key, id kept (the least), n_members.
 
-    Members are counted by partial aggregation; ``recipes`` joined on the key lists them.
+    Members are counted by partial aggregation; ``dedup_members`` lists them.
     """
     keyed = recipes.select("id", dedup_key(F.col("name"), F.col("ingredients")).alias("dedup_key"))
     return keyed.groupBy("dedup_key").agg(F.min("id").alias("id"), F.count("*").alias("n_members"))
 
 
+def dedup_members(recipes: DataFrame) -> DataFrame:
+    """recipes(id, name, ingredients) -> one row per recipe: id, dedup_key, class_id (the least id of its key)."""
+    keyed = recipes.select("id", dedup_key(F.col("name"), F.col("ingredients")).alias("dedup_key"))
+    least = keyed.groupBy("dedup_key").agg(F.min("id").alias("class_id"))
+    return keyed.join(least, "dedup_key").select("id", "dedup_key", "class_id")
+
+
+def overlap_members(recipes: DataFrame) -> DataFrame:
+    """recipes(id, ingredients) -> one row per recipe with ingredients: id, class_id.
+
+    class_id is the id under which ``ingredient_overlap`` states the recipe's set: the least
+    of its equal sets, met by an equi-join on the set's hash.
+    """
+    key = F.sha2(F.to_json("parts"), 256)
+    keyed = recipes.select("id", ingredient_set(F.col("ingredients")).alias("parts")).where(F.size("parts") > 0).select("id", key.alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("class_id"))
+    return keyed.join(least, "key").select("id", "class_id")
+
+
 def ingredient_overlap(recipes: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:
     """Per ingredient set the k most similar other sets by Jaccard, ties by id: (id, other_id, jaccard).
 
-    Recipes of equal sets count once, under their least id.  Sets are posted under a
+    Recipes of equal sets count once, under their least id; ``overlap_members`` has it for
+    every recipe.  Sets are posted under a
     prefix of their rarest ingredients, long enough that two sets of at least
     ``min_jaccard`` meet in it; each pair is verified once on the whole sets.
     """

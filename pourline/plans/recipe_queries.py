@@ -346,3 +346,13 @@ def r1(spark, d):
     SELECT id, other_id, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, other_id) AS rn FROM p WHERE jaccard >= 0.5) WHERE rn <= 5""")
 def r2(spark, d):
     return dedup.ingredient_overlap(parsed(spark, d))
+
+
+@query("r1_dedup_members", f"SELECT id, dedup_key, min(id) OVER (PARTITION BY dedup_key) AS class_id FROM (SELECT id, sha256(concat(nm, chr(10), array_to_string(parts, chr(10)))) AS dedup_key FROM {_SETS})")
+def r1_members(spark, d):
+    return dedup.dedup_members(parsed(spark, d))
+
+
+@query("r2_overlap_members", f"SELECT id, min(id) OVER (PARTITION BY parts) AS class_id FROM {_SETS} WHERE len(parts) > 0")
+def r2_members(spark, d):
+    return dedup.overlap_members(parsed(spark, d))

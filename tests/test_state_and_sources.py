@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pourline.functions.normalize import format_duration, group_steps, normalize_recipes, source_host
-from pourline.operators import labels, search, state, taxonomy
+from pourline.operators import dedup, labels, search, state, taxonomy
 from pourline.sources.files import expand_sitemap_index, read_eval_set, read_html_tree, read_sitemaps, write_html_cache
 
 
@@ -99,3 +99,11 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in read_html_tree(spark, str(tmp_path / "t")).collect()] == [("site/ab.html", "é")]
     write_html_cache(spark.createDataFrame([("s", "u", "s/x.html", "h")], "site string, url string, html_path string, html string"), str(tmp_path / "cache"))
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_every_recipe_has_its_class(spark):
+    rows = [(1, "Gin Sour", ["2 oz gin", "lemon"]), (2, "gin  sour", ["1 oz gin", "lemon"]), (3, "Other", ["lemon", "gin"]), (4, "Bare", [])]
+    recipes = spark.createDataFrame(rows, "id long, name string, ingredients array<string>")
+    found = {r["id"]: r for r in dedup.dedup_members(recipes).collect()}
+    assert {i: r["class_id"] for i, r in found.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and found[1]["dedup_key"] == found[2]["dedup_key"]
+    assert sorted(map(tuple, dedup.overlap_members(recipes).collect())) == [(1, 1), (2, 1), (3, 1)]
