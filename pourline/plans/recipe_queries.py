@@ -318,6 +318,18 @@ def f4(spark, d):
     return search.batch_search(catalog(spark, d), asked)
 
 
+_QS_ID = "(SELECT p_partkey AS query_id, concat(split_part(p_name, ' ', 1), CASE p_size % 3 WHEN 0 THEN ' sour' WHEN 1 THEN ' vermouth' ELSE '' END) AS q FROM part WHERE p_partkey % 100 = 0)"
+
+
+@query("f4_batch_search_by_id", f"SELECT query_id, id FROM {_QS_ID} JOIN {_CAT} c ON (contains(lower(name), split_part(q, ' ', 1)) OR contains(lower(lines), split_part(q, ' ', 1))) AND (split_part(q, ' ', 2) = '' OR contains(lower(name), split_part(q, ' ', 2)) OR contains(lower(lines), split_part(q, ' ', 2)))")
+def f4_by_id(spark, d):
+    """One query per part whose key is divisible by 100, so the queries grow with the table."""
+    A.register(spark, d)
+    extra = F.when(F.col("p_size") % 3 == 0, " sour").when(F.col("p_size") % 3 == 1, " vermouth").otherwise("")
+    asked = spark.table("part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), extra).alias("q"))
+    return search.batch_search(catalog(spark, d), asked)
+
+
 @query("f5_page_range", "SELECT total, page, 50 AS size, CAST(ceil(total / 50) AS BIGINT) AS total_pages, CAST((page - 1) * 50 + 1 AS BIGINT) AS first_row, least(page * 50, total) AS last_row FROM (SELECT count(*) AS total, CAST(1 AS BIGINT) AS page FROM part UNION ALL SELECT count(*), 3 FROM part)")
 def f5(spark, d):
     A.register(spark, d)
