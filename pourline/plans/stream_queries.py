@@ -69,6 +69,24 @@ def w3(spark, d):
     return spark.read.schema("site string, blocked long").parquet(f"{folder}/out").select("site")
 
 
+_CUT = "(SELECT id, site, status, CAST(floor(id * 3 / (1 + (SELECT max(id) FROM {log}))) AS INT) AS part FROM {log})"
+
+
+@query("w3_stream_breaker_log", f"""SELECT DISTINCT site FROM (SELECT e.b, l.site, l.status, row_number() OVER (PARTITION BY e.b, l.site ORDER BY l.id DESC) AS rn FROM (VALUES (0), (1), (2)) AS e(b) JOIN {_CUT} l ON l.part <= e.b WHERE l.status <> 'pending') WHERE rn <= 20
+    GROUP BY b, site HAVING count(*) = 20 AND count(*) FILTER (WHERE status = 'blocked') > 8""")
+def w3_log(spark, d):
+    """The whole log in order of id over three batches: the sites whose last 20 statuses at the end of any batch trip the breaker."""
+    folder = _folder(spark)
+    log = adapted(spark, d, A.FETCH_LOG)
+    part = F.floor(F.col("id") * 3 / (1 + F.col("most"))).cast("int")
+    cut = log.join(F.broadcast(log.agg(F.max("id").alias("most")))).withColumn("part", part).select(*log.columns, "part")
+    for k in range(3):  # one file a batch, the older first
+        cut.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_circuit_breaker(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("site string, blocked long").parquet(f"{folder}/out").select("site")
+
+
 @query(
     "s2_expand_sitemap_index",
     "SELECT url, concat('https://maps/', CAST(id % 50 AS VARCHAR), '.xml') AS sitemap_source FROM {recipes} WHERE id % 50 <> 7",
