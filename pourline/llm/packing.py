@@ -4,9 +4,15 @@ The lengths' histogram, which has at most ``capacity`` entries whatever the inpu
 is, gives a configuration linear program: use patterns (multisets of lengths that
 fit one sequence) so that every length is covered as often as it occurs, with as
 few patterns as possible.  It is solved by multiplicative weights: each round a
-knapsack dynamic program finds the pattern of most weight, and the weights of the
-lengths it covers well sink.  Rounding takes each pattern as often as its share
-allows; what is left of the histogram is filled best fit, decreasing.
+knapsack dynamic program over all lengths finds the pattern of most weight, which is
+used until the first of its lengths has grown by a set share of its need, and the
+weights of its lengths sink by how much of their need that covers.  Any weights also
+bound the program from below (what all lengths weigh over what the pattern of most
+weight does), so the gap of a solution is known.  What the rounds leave uncovered is
+covered by best fit, decreasing, in fractions; the cover is feasible.
+
+Rounding takes each pattern as often as its use, rounded up, allows; what is left of
+the histogram is filled best fit, decreasing.
 
 Pieces of one length are interchangeable, so a piece's place follows from its rank
 among the pieces of its length; ranks come from counts per partition and prefix
@@ -26,71 +32,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import durable
-from .near_dup import steps
 from .tokens import encoder
+from .words import steps
 
-#: Rounds of multiplicative weights, how fast weights sink, and
-#: how many lengths a round's pricing looks at: those of most weight a token, and as many at random, which fill what those leave.
-ROUNDS, RATE, SWAY, PRICED = 800, 0.03, 4.0, 160
-#: A pattern that leaves more tokens free is not rounded; its lengths are filled with the rest.
-SLACK = 4
+#: Rounds of multiplicative weights at most, and how far a length's weight sinks (as a power of e) until it is covered.
+ROUNDS, SINK = 600, 6.0
+#: How much more a token of the longest length weighs at first than one of the shortest.
+LARGE = 0.05
+#: Shares of the solution, from its first rounds on, that roundings take from it.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+#: The share of a length's need that one round covers at most: as small as the rounds allow, within these bounds.
+LEAST_STEP, MOST_STEP = 1 / 32, 1.0
 
 
 def _pieces(path: str, cut: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, cut), np.array([end_id], "<u4").tobytes()
+        encode = encoder(path, cut)
         for batch in batches:
             for part, texts in steps(batch, 1):
-                rows, piece, start, length, crc = [], [], [], [], []
-                for row, ids in enumerate(encode([t or "" for t in texts])):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        rows.append(row)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
+                ids, bounds = encode([t or "" for t in texts], end_id)
+                n = -(-np.diff(bounds) // capacity)
+                row = np.repeat(np.arange(len(texts)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(bounds)[row] - start)
+                raw, at = memoryview(ids).cast("B"), 4 * (bounds[:-1][row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()),
-                        pa.array(crc, pa.int64()),
-                    ],
+                    [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
     return run
 
 
-def _fullest(weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+def heaviest(weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
     """Counts by length of a pattern of most weight that fits, each length within its limit.
 
-    Bounded knapsack: a length with limit c enters as bundles of 1, 2, 4, ... and a rest.
+    Knapsack by dynamic programming, exact over all lengths.  A length whose limit
+    the capacity never reaches is unbounded; the others enter as bundles of 1, 2, 4, ... and a rest.
     """
-    best = np.zeros(capacity + 1)
+    lengths = np.arange(capacity + 1)
+    present = (limits > 0) & (weights > 0)
+    free = present & (limits >= capacity // np.maximum(lengths, 1))
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    if free.any():
+        gain = np.where(free, weights, -np.inf)
+        for room in range(int(np.argmax(free)), capacity + 1):
+            found = gain[1 : room + 1] + best[room - 1 :: -1] if room > 1 else gain[1:2] + best[0]
+            k = int(found.argmax())
+            if found[k] > best[room - 1]:
+                best[room], choice[room] = found[k], k + 1
+            else:  # one token stays free
+                best[room] = best[room - 1]
     took: list[tuple[int, int, np.ndarray]] = []
-    for length in np.flatnonzero((limits > 0) & (weights > 0))[::-1]:
-        most = min(int(limits[length]), capacity // int(length))
-        bundle = 1
+    for length in np.flatnonzero(present & ~free)[::-1].tolist():
+        most, bundle = min(int(limits[length]), capacity // length), 1
         while most > 0:
             k = min(bundle, most)
-            size, gain = k * int(length), k * weights[length]
-            better = best[: capacity + 1 - size] + gain
-            mask = better > best[size:] + 1e-12
-            best[size:] = np.where(mask, better, best[size:])
-            took.append((int(length), k, mask))
+            size = k * length
+            with_it = best[: capacity + 1 - size] + k * weights[length]
+            mask = with_it > best[size:] + 1e-12
+            np.maximum(best[size:], with_it, out=best[size:])
+            took.append((length, k, mask))
             most -= k
             bundle *= 2
-    pattern = np.zeros(len(limits), np.int64)
-    room = int(np.argmax(best))
+    pattern, room = np.zeros(len(limits), np.int64), capacity
     for length, k, mask in reversed(took):
         size = k * length
         if room >= size and mask[room - size]:
             pattern[length] += k
             room -= size
+    while room > 0:
+        length = int(choice[room])
+        pattern[length] += length > 0
+        room -= max(length, 1)
     return pattern
 
 
@@ -100,50 +116,68 @@ def _greedy(limits: np.ndarray, capacity: int) -> np.ndarray:
     left = np.flatnonzero(limits)
     while (at := int(np.searchsorted(left, room, "right")) - 1) >= 0:
         length = int(left[at])
-        pattern[length] = min(int(limits[length]), room // length)
+        pattern[length] = min(math.ceil(limits[length]), room // length)
         room -= int(pattern[length]) * length
         left = left[:at]
     return pattern
 
 
-def _shares(counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """A fractional solution of the configuration program: patterns and how often each is used, fullest use first."""
-    lengths, need = np.arange(len(counts)), counts.astype(float)
-    bound = float((counts * lengths).sum()) / capacity
-    share, covered, weights = bound / rounds, np.zeros(len(counts)), lengths / capacity
-    # A pattern holds no more of a length than four times its share of a sequence, and 1 at least.
-    due = np.where(counts > 0, np.maximum(np.ceil(need / bound * 4).astype(np.int64), 1), 0)
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(patterns and how often each is used, in the order of the rounds; a bound that no packing goes below).
+
+    The uses are a feasible solution of the configuration program: every length is
+    covered counts[length] times at least.  The bound is the best dual value met.
+    """
+    need = counts.astype(float)
+    held = counts > 0
+    lengths = np.arange(len(counts))
+    step = min(MOST_STEP, max(LEAST_STEP, 1.5 * int(held.sum()) / rounds))
+    # Of patterns that are equally full, those of few and large lengths come first: what is small fits anywhere later.
+    weights, covered = np.where(held, lengths / capacity * (1 + LARGE * lengths / capacity), 0.0), np.zeros(len(counts))
+    bound = max(float(need @ lengths) / capacity, float(need[lengths > capacity / 2].sum()))
     patterns: dict[bytes, list] = {}
-    rng = np.random.default_rng(7)
+
+    def use(pattern: np.ndarray, times: float) -> None:
+        patterns.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += times
+
     for _ in range(rounds):
-        dense = np.where(counts > 0, weights / np.maximum(lengths, 1), -1.0)
-        order = np.argsort(-dense, kind="stable")
-        if len(order) > 2 * PRICED:
-            order = np.concatenate([order[:PRICED], rng.choice(order[PRICED:], PRICED, replace=False)])
-        limits = np.zeros(len(counts), np.int64)
-        limits[order] = due[order]
-        pattern = _fullest(weights, limits, capacity)
-        patterns.setdefault(pattern.tobytes(), [pattern, 0])[1] += 1
-        covered += pattern * share
-        ratio = np.divide(covered, need, out=np.zeros(len(counts)), where=need > 0)
-        weights = lengths / capacity * np.exp(-RATE * np.clip(ratio - ratio[need > 0].mean(), -SWAY, SWAY))
-    return [(pattern, times * share) for pattern, times in sorted(patterns.values(), key=lambda x: -x[1])]
-
-
-def _rounded(counts: np.ndarray, capacity: int, shares: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
-    """Whole uses of the patterns that are full, then best fit for what is left."""
+        if (covered[held] >= need[held] * (1 - 1e-9)).all():
+            break
+        pattern = heaviest(weights, counts, capacity)
+        bound = max(bound, float(weights @ need) / float(weights @ pattern))
+        own = np.flatnonzero(pattern)
+        # No longer than until all its lengths are covered.
+        times = min(step * (need[own] / pattern[own]).min(), max(((need[own] - covered[own]) / pattern[own]).max(), 1e-9))
+        use(pattern, times)
+        covered[own] += times * pattern[own]
+        weights[own] *= np.exp(-SINK * times * pattern[own] / need[own])
+        if weights[held].max() < 1e-6:
+            weights *= 1e6
+    left = np.where(held, np.maximum(need - covered, 0.0), 0.0)
+    left[left < 1e-9 * need] = 0.0
+    while left.any():
+        pattern = _greedy(left, capacity)
+        own = pattern > 0
+        times = (left[own] / pattern[own]).min()
+        use(pattern, times)
+        left[own] = np.maximum(left[own] - times * pattern[own], 0.0)
+        left[left < 1e-9 * need] = 0.0
+    return [(pattern, times) for pattern, times in patterns.values()], bound
+
+
+def _rounded(counts: np.ndarray, capacity: int, uses: list[tuple[np.ndarray, float]], whole=math.floor) -> list[tuple[np.ndarray, int]]:
+    """Whole uses of patterns, by ``whole`` of each use and within what is left; then best fit, decreasing."""
     left, plan = counts.copy(), []
 
     def use(pattern: np.ndarray, most: float = math.inf) -> None:
-        held = pattern > 0
-        times = int(min(most, (left[held] // pattern[held]).min())) if held.any() else 0
+        held = np.flatnonzero(pattern)
+        times = int(min(most, (left[held] // pattern[held]).min()))
         if times > 0:
             left[held] -= times * pattern[held]
             plan.append((pattern, times))
 
-    for pattern, times in shares:
-        if int((pattern * np.arange(len(counts))).sum()) >= capacity - SLACK:
-            use(pattern, times)
+    for pattern, times in uses:
+        use(pattern, whole(times))
     while left.any():
         use(_greedy(left, capacity))
     return plan
@@ -152,16 +186,21 @@ def _rounded(counts: np.ndarray, capacity: int, shares: list[tuple[np.ndarray, f
 def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; every length is used exactly counts[length] times.
 
-    The program's solution is rounded whole, by half and not at all (best fit
-    alone), and the rounding with the fewest sequences is kept.
+    The program's solution is rounded in several ways: all of it or what its first
+    rounds gave, in their order or the fullest patterns first, uses rounded up or down.
+    The rounding with the fewest sequences is kept.
     """
     counts = counts.astype(np.int64).copy()
     whole = int(counts[capacity])
     counts[capacity] = 0
     full = np.zeros_like(counts)
     full[capacity] = 1
-    shares = _shares(counts, capacity, rounds) if (counts * np.arange(len(counts))).sum() > 20 * capacity else []
-    plans = [_rounded(counts, capacity, [(p, x * part) for p, x in shares]) for part in (1, 0.5, 0)]
+    uses, _ = solve(counts, capacity, rounds) if counts.any() else ([], 0.0)
+    size, before, plans = np.arange(len(counts)), np.cumsum([0.0, *(times for _, times in uses)]), []
+    for share in SHARES:
+        part = uses[: max(1, int(np.searchsorted(before, share * before[-1])))]
+        by_fill = sorted(part, key=lambda x: -int(x[0] @ size))
+        plans += [_rounded(counts, capacity, way, to) for way in (part, by_fill) for to in (math.ceil, math.floor)]
     best = min(plans, key=lambda plan: sum(times for _, times in plan))
     return [(full, whole)] * (whole > 0) + best
 

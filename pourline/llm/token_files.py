@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, fresh_folder
-from .near_dup import steps
 from .store import mapped, writing
 from .tokens import encoder
+from .words import steps
 
 NO_ID = np.iinfo(np.int64).min
-#: Pieces that a writer's younger memory holds: a blank before a word makes twice as many as there are words.
-MEMORY = 350_000
 #: Ids that a reader holds at a time, unless one document has more.
 READ_IDS = 4_000_000
 
@@ -36,23 +34,20 @@ def _write(folder: str, path: str, cut: str, end_id: int, width: int):
     kind = {16: "<u2", 32: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, cut, MEMORY), np.array([end_id], "<u4").tobytes()
-        shard, total, n = TaskContext.get().partitionId(), 0, 0
+        encode, shard, total, n = encoder(path, cut), TaskContext.get().partitionId(), 0, 0
         with writing(folder, f"{shard:06d}", ".ids") as (ids_file, ids_uri), writing(folder, f"{shard:06d}", ".idx") as (idx_file, idx_uri):
             for batch in batches:
                 for part, texts in steps(batch, 1):
-                    found = encode([t or "" for t in texts])
-                    lengths = np.array([len(x) // 4 + 1 for x in found], np.int64)
-                    joined = np.frombuffer(end.join(found) + end, "<u4")
-                    if width == 16 and joined.max(initial=0) > 0xFFFF:
+                    ids, bounds = encode([t or "" for t in texts], end_id)
+                    if width == 16 and ids.max(initial=0) > 0xFFFF:
                         raise ValueError("a token id needs more than 16 bits")
-                    ids_file.write(joined.astype(kind).tobytes())
-                    rows = np.empty((len(found), 2), "<i8")
+                    ids_file.write(ids.astype(kind).tobytes())
+                    rows = np.empty((len(texts), 2), "<i8")
                     rows[:, 0] = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                    rows[:, 1] = total + np.cumsum(lengths)
+                    rows[:, 1] = total + bounds[1:]
                     idx_file.write(rows.tobytes())
-                    total += int(lengths.sum())
-                    n += len(found)
+                    total += len(ids)
+                    n += len(texts)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "ids": [ids_uri], "idx": [idx_uri], "n_docs": [n], "n_tokens": [total]})
 
     return run
