@@ -246,6 +246,115 @@ def test_probabilities_of_one_word_texts_sum_to_at_most_one(spark):
     assert sum(seen.values()) <= 1 + 1e-9
 
 
+def noisy_chain(n=240, seed=8):
+    rng = random.Random(seed)
+    chain = {w: rng.sample(WORDS, 3) for w in WORDS}
+    rows = []
+    for i in range(n):
+        words, w = [], rng.choice(WORDS)
+        for _ in range(rng.randint(0, 90)):
+            words.append(w if rng.random() < 0.9 else f"x{rng.randrange(3000)}")
+            w = rng.choice(chain[w])
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    import pourline.llm.lm_score as module
+
+    monkeypatch.setattr(module, "SHARD_BYTES", 10_000)  # several shards, and two levels of sums
+    monkeypatch.setattr(module, "FAN", 3)
+    rows = noisy_chain()
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, rows[7][1])], "doc_id long, text string")
+    found = [sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"], r["base_score"]) for r in score(docs.repartition(k)).collect()) for k in (1, 8, 32)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_scores_match_a_scorer_that_goes_bit_by_bit(spark, monkeypatch):
+    import numpy as np
+
+    import pourline.llm.lm_score as m
+
+    monkeypatch.setattr(m, "OWN", 12)
+    made = []
+    read = m.read_model
+    monkeypatch.setattr(m, "read_model", lambda *a: made.append(read(*a)) or made[0])
+    rows = noisy_chain(120)
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    model = made[0]
+    mask, full = 2**64 - 1, 2**32 - 1
+    m1, m2, start = int(m._M1), int(m._M2), int(m.START)
+    key = {w: int(k) for w in {w for _, t in rows for w in t.split()} for k in [m.token_keys([w])[0].view(np.uint64)[0]]}
+    end = int(np.int64(m.END)) & mask
+    symbol = lambda k: int(model.code.symbols(np.array([k], np.uint64).view(np.int64))[0])
+
+    def mixed(x):
+        return ((x ^ (x >> 29)) * m2 & mask) >> 32
+
+    def events(text):
+        """(symbol, bits with their slots in the four tables) of every token."""
+        keys = [*(key[w] for w in text.split()), end]
+        for i, k in enumerate(keys):
+            before, second = keys[i - 1] if i else start, keys[i - 2] if i > 1 else start
+            far = next((x for x in reversed(keys[:i]) if model.code.size[symbol(x)] <= m.FREQUENT), start)
+            first = before * m1 & mask
+            hashes = [mixed(first), mixed((first ^ second) * m2 & mask), mixed((second + 977) * m2 & mask), mixed(((far + 31) * m1 & mask) ^ (1 << 60))]
+            s = symbol(k)
+            size, code = int(model.code.size[s]), int(model.code.code[s])
+            bits = []
+            for d in range(size):
+                prefix = code >> (size - d)
+                salt = ((prefix + (1 << d)) * int(m._K1)) & full
+                bits.append(((code >> (size - d - 1)) & 1, [(((h ^ salt) * int(m._K2)) & full) >> (32 - b) for h, b, deep in zip(hashes, model.bits, m.DEEP, strict=True) if d < deep]))
+            yield k, s, bits
+
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    tables, counts = [{} for _ in model.bits], Counter()
+    for _, text in train:
+        for k, _, bits in events(text):
+            counts[k] += 1
+            for bit, slots in bits:
+                for table, slot in zip(tables, slots, strict=False):
+                    table.setdefault(slot, [0, 0])[bit] += 1
+    weight = Counter()
+    for k, c in counts.items():
+        weight[symbol(k)] += c + 0.5
+    for b in range(m.BUCKETS):
+        weight[b] += 0.5
+    size, code = model.code.size.tolist(), model.code.code.tolist()
+    for i, text in rows[:10]:
+        total = 0.0
+        for k, s, bits in events(text):
+            for d, (bit, slots) in enumerate(bits):
+                under = [sum(w for x, w in weight.items() if size[x] > d and code[x] >> (size[x] - d - 1) == ((code[s] >> (size[s] - d)) << 1) | v) for v in (0, 1)]
+                p = under[1] / sum(under)
+                plain = math.log(p / (1 - p))
+                state = [m.states(np.array([(z[1] << 32) + z[0]]))[0] for z in (t.get(x, [0, 0]) for t, x in zip(tables, slots, strict=False))]
+                gate = int(m._STATE_CLASS[state[1]] * 4 + m._STATE_CLASS[state[0]])
+                odds = float(model.weights[0][gate]) + float(model.weights[1][gate]) * plain
+                for w, x in zip(model.weights[2:], state, strict=False):
+                    odds += float(w[gate]) * (math.log((m._ONES[x] + m.PRIOR * p) / (m._ZEROS[x] + m.PRIOR * (1 - p))) - plain)
+                place = round(max(-m.REACH, min(m.REACH, odds)) * m.FINE) + m.FINE * m.REACH
+                total += model.costs[(gate + m.GATES * bit) * len(m._MIXED) + place] / m.UNIT
+            if s < m.BUCKETS:
+                total += math.log10((counts[k] + 0.5) / weight[s])
+        assert got[i] == pytest.approx(total, rel=2e-3)
+
+
+def test_code_lengths_are_those_of_an_optimal_code():
+    import numpy as np
+
+    from pourline.llm.lm_score import Code, code_lengths
+
+    assert sorted(code_lengths(np.array([1.0, 1, 2, 4, 8])).tolist()) == [1, 2, 3, 4, 4]
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.integers(1, 10_000, 300))
+    code = Code(np.arange(300) * 7, counts.astype(float), np.zeros(1024), np.zeros(1024))
+    words = {f"{c:0{n}b}" for c, n in zip(code.code.tolist(), code.size.tolist(), strict=True)}
+    assert len(words) == 1324 and sum(2.0 ** -len(w) for w in words) == 1.0
+    assert not any(w[:k] in words for w in words for k in range(1, len(w)))
+
+
 def test_score_odd_rows(odd_docs, no_docs):
     got = score(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
