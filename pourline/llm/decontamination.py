@@ -13,28 +13,34 @@ size in every document:
 4. candidates are verified by exact edit distance between the piece and the best
    stretch of words around the window.
 
+Items of fewer words than allow a single edit have no edits to bound: their windows are
+looked up whole, by one key of all words.
+
 All this happens where the document is read: the index of a block of the benchmark,
-of at most ``BLOCK`` pieces, is broadcast, and larger benchmarks take several blocks.
-No document is shuffled, so neither hot passages nor long texts gather anywhere.
+of at most ``BLOCK`` pieces, is made in a task, written to the shared folder and
+broadcast, and larger benchmarks take several blocks.  No document is shuffled, so
+neither hot passages nor long texts gather anywhere.
 """
 
 from __future__ import annotations
 
+import codecs
+import pickle
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import steps
+from .common import durable
+from .words import Words, steps
 
-#: Words of a piece at most, words of an item at least, and pieces of a block at most.
-LONGEST, SHORTEST, BLOCK = 64, 8, 20_000
-#: Walks, keys of each walk, places of each key.  At 10 % edits a key is shared by 0.3 of the pairs or more, so 32 keys miss fewer than 1 in 10,000.
-WALKS, SAMPLES, BITS = 4, 8, 5
+#: Words of a piece at most, and pieces of a block at most.
+LONGEST, BLOCK = 64, 20_000
+#: Walks, keys of each walk, places of each key.  Keys of one walk fail together where the walk goes astray, so more walks help most.
+WALKS, SAMPLES, BITS = 8, 8, 5
 #: Windows that are embedded at a time.
 WINDOWS = 10_000
 #: Words this near to their last occurrence count as repeats.
@@ -42,12 +48,29 @@ NEAR = 8
 SEED = 977
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What a character outside Windows-1252 is written as begins with a byte that no character of it has.
+_ESCAPE = 0x81
+_NO_WORD = np.array([not (b == _ESCAPE or (c := bytes([b]).decode("cp1252", "replace")).isalnum() and c != "\ufffd") for b in range(256)])
+
+
+def _escaped(error: UnicodeEncodeError) -> tuple[bytes, int]:
+    found = error.object[error.start : error.end]
+    return b"".join(b"%c%06x" % (_ESCAPE, ord(c)) if c.isalnum() else b" " for c in found), error.end
+
+
+codecs.register_error("pourline-words", _escaped)
 
 
 def normal_words(text: str) -> list[str]:
+    """Runs of letters and digits, lower-cased."""
     return _WORDS.findall(text.lower())
 
 
+def cut_words(texts: list[str | None]) -> Words:
+    """The same words of many texts."""
+    return Words([(t or "").lower().encode("cp1252", "pourline-words") for t in texts], _NO_WORD)
+
+
 def edit_stretch(piece: list[int], around: list[int]) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of ``around`` with the least edit distance to piece, the first of equals."""
     row = [(0, j) for j in range(len(around) + 1)]
@@ -86,7 +109,7 @@ def embed(words: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
 
 
 def keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """WALKS * SAMPLES keys for each row of word ids; places are drawn within three times a row's size."""
+    """WALKS * SAMPLES keys, one row each, for each row of word ids; places are drawn within three times a row's size."""
     rng, out, rows = np.random.default_rng(SEED), [], np.arange(len(words))
     for walk in range(WALKS):
         embedded = embed(words, sizes, walk)
@@ -95,104 +118,171 @@ def keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             for draw in rng.random(BITS):
                 key = (key ^ (key >> np.uint64(29))) * _MIX + embedded[(draw * 3 * sizes).astype(np.int64), rows]
             out.append(key ^ (key >> np.uint64(32)))
-    return np.stack(out, axis=1)
+    return np.stack(out)
+
+
+def pieces_of(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text number, first word, keys of the words) of every piece, in the order of the texts; texts without words have none."""
+    words = cut_words(texts)
+    keys = words.keys()
+    for number, (low, high) in enumerate(zip(words.bounds.tolist(), words.bounds[1:].tolist(), strict=False)):
+        parts = -(-(high - low) // LONGEST)
+        cuts = [(high - low) * k // parts for k in range(parts + 1)] if parts else []
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            yield number, start, keys[low + start : low + stop]
 
 
 class Index:
-    """One block of benchmark pieces, ready to search."""
+    """One block of benchmark pieces (item, first word, keys of the words), ready to search."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.rate, self.vocabulary = rate, {}
-        self.pieces: list[tuple[int, int, list[int]]] = []
+    def __init__(self, pieces: list[tuple[int, int, np.ndarray]], rate: float):
+        self.rate = rate
+        self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, _, k in pieces)]))
+        self.pieces = [(item, start, (np.searchsorted(self.vocabulary, keys) + 1).tolist()) for item, start, keys in pieces]
         by_size: dict[int, list[int]] = {}
-        for item_id, text in items:
-            words = normal_words(text)
-            if len(words) < SHORTEST:
-                continue
-            parts = -(-len(words) // LONGEST)
-            cuts = [len(words) * k // parts for k in range(parts + 1)]
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words[start:stop]]
-                by_size.setdefault(len(ids), []).append(len(self.pieces))
-                self.pieces.append((item_id, start, ids))
-        self.sizes = []
+        for number, (_, _, ids) in enumerate(self.pieces):
+            by_size.setdefault(len(ids), []).append(number)
+        self.sizes, self.exact = [], {}
         for size, numbers in sorted(by_size.items()):
-            different = min(len(set(self.pieces[p][2])) for p in numbers)
-            self.sizes.append((size, int(rate * size), different))
-        rows = np.zeros((len(self.pieces), LONGEST), np.int32)
-        for p, (_, _, ids) in enumerate(self.pieces):
-            rows[p, : len(ids)] = ids
-        found = keys(rows, np.array([len(x[2]) for x in self.pieces], np.int64))
-        order = np.argsort(found, axis=0, kind="stable")
-        self.sorted_keys, self.numbers = np.take_along_axis(found, order, 0), order
-
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item, first word, words, distance) of every piece found, the nearest stretch of each item and text."""
-        gap = np.zeros(LONGEST, np.int32)
-        known, rows, starts, at = self.vocabulary, [gap], [], LONGEST
-        for text in texts:
-            own = np.array([known.get(w, 0) for w in normal_words(text)], np.int32)
-            rows += [own, gap]
-            starts.append((at, at + len(own)))
-            at += len(own) + LONGEST
-        words = np.concatenate(rows)
-        begins = np.array([a for a, _ in starts])
-        known_before = np.concatenate([[0], np.cumsum(words > 0)])
+            if int(rate * size):
+                different = min(len(set(self.pieces[p][2])) for p in numbers)
+                self.sizes.append((size, int(rate * size), different))
+            else:
+                whole = self.exact.setdefault(size, {})
+                for p in numbers:
+                    whole.setdefault(tuple(self.pieces[p][2]), []).append(p)
+        edited = np.array([p for p, (_, _, ids) in enumerate(self.pieces) if int(rate * len(ids))], np.int64)
+        rows = np.zeros((len(edited), LONGEST), np.int32)
+        for row, p in enumerate(edited.tolist()):
+            rows[row, : len(self.pieces[p][2])] = self.pieces[p][2]
+        found = keys(rows, np.array([len(self.pieces[p][2]) for p in edited.tolist()], np.int64))
+        order = np.argsort(found, axis=1, kind="stable")
+        self.sorted_keys, self.numbers = np.take_along_axis(found, order, 1), edited[order]
+
+    def _windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, size) of the windows that could be made of a piece by edits within the bound."""
+        known = words > 0
+        known_before = np.concatenate([[0], np.cumsum(known)])
         near = np.zeros(len(words), bool)
         for back in range(1, NEAR + 1):
             near[back:] |= words[back:] == words[:-back]
-        near_before = np.concatenate([[0], np.cumsum(near & (words > 0))])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        spots, lengths = [], []
-        for size, edits, different in self.sizes:
-            if len(words) < size:
-                continue
-            enough = known_before[size:] - known_before[:-size] >= size - edits
-            repeats = near_before[size:] - near_before[np.minimum(np.arange(len(enough)) + NEAR, len(words))]
-            spots.append(np.flatnonzero(enough & (size - np.maximum(repeats, 0) >= different - edits)))
-            lengths.append(np.full(len(spots[-1]), size, np.int64))
-        spots, lengths = np.concatenate([*spots, np.empty(0, np.int64)]), np.concatenate([*lengths, np.empty(0, np.int64)])
+        near_before = np.concatenate([[0], np.cumsum(near & known)])
+        spots, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if self.sizes:
+            # No window has more unknown words at its start than the largest number of edits.
+            least, most = self.sizes[0][0], max(edits for _, edits, _ in self.sizes)
+            hopeful = np.flatnonzero(known_before[least:] - known_before[:-least] >= least - most) if len(words) >= least else np.empty(0, np.int64)
+            for size, edits, different in self.sizes:
+                at = hopeful[: np.searchsorted(hopeful, len(words) - size, "right")]
+                at = at[known_before[at + size] - known_before[at] >= size - edits]
+                repeats = near_before[at + size] - near_before[np.minimum(at + NEAR, at + size)]
+                at = at[size - repeats >= different - edits]
+                spots.append(at)
+                lengths.append(np.full(len(at), size, np.int64))
+        return np.concatenate(spots), np.concatenate(lengths)
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item, first word, words, distance) of every item found: of its pieces, the nearest stretch of each text.
+
+        Of pieces or stretches of equal distance for their size, the first in the text counts.
+        """
+        cut = cut_words(texts)
+        own = cut.keys()
+        at = np.minimum(np.searchsorted(self.vocabulary, own), max(len(self.vocabulary) - 1, 0))
+        ids = np.where(self.vocabulary[at] == own, at + 1, 0).astype(np.int32) if len(self.vocabulary) else np.zeros(len(own), np.int32)
+        # Between texts stand as many unknown words as the longest piece has.
+        begins = cut.bounds[:-1] + LONGEST * np.arange(1, len(texts) + 1)
+        ends = begins + cut.counts
+        words = np.zeros(int(cut.bounds[-1]) + LONGEST * (len(texts) + 1), np.int32)
+        words[np.arange(len(ids)) + LONGEST * (1 + np.repeat(np.arange(len(texts)), cut.counts))] = ids
+        best: dict[tuple[int, int], tuple] = {}
+        spots, lengths = self._windows(words)
+        met = [np.empty((2, 0), np.int64)]
         for part in range(0, len(spots), WINDOWS):
             at, sizes = spots[part : part + WINDOWS], lengths[part : part + WINDOWS]
             column = np.arange(LONGEST)
             rows = np.where(column < sizes[:, None], words[np.minimum(at[:, None] + column, len(words) - 1)], 0)
-            mine = keys(rows, sizes)
-            for k in range(mine.shape[1]):
-                low = np.searchsorted(self.sorted_keys[:, k], mine[:, k], "left")
-                high = np.searchsorted(self.sorted_keys[:, k], mine[:, k], "right")
-                for hit in np.flatnonzero(low < high):
-                    for piece in self.numbers[low[hit] : high[hit], k]:
-                        self._verify(int(at[hit]), int(piece), words, begins, starts, best)
-        return [(doc, item, first, length, distance) for (doc, item), (distance, first, length) in best.items()]
-
-    def _verify(self, spot: int, piece: int, words, begins, starts, best) -> None:
+            for own, sorted_own, numbers in zip(keys(rows, sizes), self.sorted_keys, self.numbers, strict=True):
+                low = np.searchsorted(sorted_own, own, "left")
+                hits = np.flatnonzero(sorted_own[np.minimum(low, len(sorted_own) - 1)] == own)
+                if len(hits):
+                    many = np.searchsorted(sorted_own, own[hits], "right") - low[hits]
+                    place = np.repeat(low[hits] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    met.append(np.stack([numbers[place], np.repeat(at[hits], many)]))
+        self._verify(np.unique(np.concatenate(met, axis=1), axis=1), words, begins, ends, best)
+        for size, whole in self.exact.items():
+            known = np.concatenate([[0], np.cumsum(words > 0)])
+            for spot in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
+                for piece in whole.get(tuple(words[spot : spot + size].tolist()), ()):
+                    doc = int(np.searchsorted(begins, spot, "right")) - 1
+                    self._keep(best, doc, piece, 0, spot - int(begins[doc]), size)
+        return [(doc, item, first, length, distance) for (doc, item), (_, first, distance, length) in best.items()]
+
+    def _keep(self, best: dict, doc: int, piece: int, distance: int, first: int, length: int) -> None:
         item, _, ids = self.pieces[piece]
-        edits = int(self.rate * len(ids))
-        doc = int(np.searchsorted(begins, spot + len(ids) // 2, "right")) - 1
-        if doc < 0 or starts[doc][1] == starts[doc][0]:
-            return
-        begin, end = starts[doc]
-        old = best.get((doc, item))
-        if old is not None and (old[0] == 0 or abs(begin + old[1] - spot) <= edits):
-            return
-        low, high = max(begin, spot - edits), min(end, spot + len(ids) + edits)
-        around = words[low:high].tolist()
-        if len(set(ids).difference(around)) > edits:
-            return
-        distance, first, stop = edit_stretch(ids, around)
-        if distance <= edits and (old is None or (distance, low - begin + first) < (old[0], old[1])):
-            best[doc, item] = (distance, low - begin + first, stop - first)
+        found = (distance / len(ids), first, distance, length)
+        if (doc, item) not in best or found < best[doc, item]:
+            best[doc, item] = found
+
+    def _verify(self, met: np.ndarray, words, begins, ends, best) -> None:
+        """Edit distances of candidates (piece, first word of the window), in order; near windows of a piece share one stretch of words."""
+        pieces, spots = met[0].tolist(), met[1]
+        half = np.array([len(self.pieces[p][2]) // 2 for p in pieces], np.int64)
+        docs = np.searchsorted(begins, spots + half, "right") - 1
+        at = 0
+        while at < len(pieces):
+            piece, doc, last = pieces[at], int(docs[at]), at
+            _, _, ids = self.pieces[piece]
+            edits = int(self.rate * len(ids))
+            while last + 1 < len(pieces) and pieces[last + 1] == piece and docs[last + 1] == doc and spots[last + 1] - spots[last] <= len(ids):
+                last += 1
+            if doc >= 0 and begins[doc] < ends[doc]:
+                low, high = max(int(begins[doc]), int(spots[at]) - edits), min(int(ends[doc]), int(spots[last]) + len(ids) + edits)
+                around = words[low:high].tolist()
+                if len(set(ids).difference(around)) <= edits:
+                    distance, first, stop = edit_stretch(ids, around)
+                    if distance <= edits:
+                        self._keep(best, doc, piece, distance, low - int(begins[doc]) + first, stop - first)
+            at = last + 1
 
 
 def indexes(spark: SparkSession, benchmark: DataFrame, rate: float, item_id: str, text: str) -> list:
-    """Broadcast indexes of the benchmark's blocks; items of null or short text are not looked for."""
-    rows = benchmark.select(item_id, F.col(text).cast("string")).where(F.col(text).isNotNull()).toLocalIterator()
-    out = []
-    while block := [(r[0], r[1]) for r in islice(rows, BLOCK)]:
-        index = Index(block, rate)
-        if index.pieces:
-            out.append(spark.sparkContext.broadcast(index))
-    return out
+    """Broadcast indexes of the benchmark's blocks, each made in a task of its own; items without words are not looked for.
+
+    Blocks follow from a running count of pieces over ranges of the items, so each holds at most BLOCK of them.
+    """
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, 1):
+                found = list(pieces_of(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array([n for n, _, _ in found], pa.int64())),
+                        pa.array([start for _, start, _ in found], pa.int64()),
+                        pa.array([k.tobytes() for _, _, k in found], pa.binary()),
+                    ],
+                    names=["item_id", "start", "words"],
+                )
+
+    pieces = durable(rows.mapInArrow(cut, "item_id long, start long, words binary").withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["count"]) for r in pieces.groupBy("part").count().collect())  # one short row a task
+    blocks = max(1, -(-sum(n for _, n in sizes) // BLOCK)) if sizes else 0
+
+    def build(group: pa.Table) -> pa.Table:
+        found = sorted(
+            (item if item is not None else -1, item is None, start, raw) for item, start, raw in zip(*(group.column(c).to_pylist() for c in ("item_id", "start", "words")), strict=True)
+        )
+        index = Index([(None if none else item, start, np.frombuffer(raw, np.uint64)) for item, none, start, raw in found], rate)
+        return pa.table({"index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    if not blocks:
+        return []
+    # Half as many pieces a block on average: a hash does not deal evenly.
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("words", "item_id", "start"), F.lit(2 * blocks if blocks > 1 else 1)))
+    made = dealt.groupBy("block").applyInArrow(build, "index binary")
+    return [spark.sparkContext.broadcast(pickle.loads(r["index"])) for r in made.toLocalIterator()]
 
 
 def find_leaks(
@@ -206,8 +296,8 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance): documents that hold an item within rate * words edits.
 
-    One row for each document and item, for the nearest stretch found.  Items of fewer
-    than SHORTEST words are not looked for; a null or empty text holds nothing; of
+    One row for each document and item, for the nearest stretch found of any piece of it.
+    Items without words are not looked for; a null or empty text holds nothing; of
     repeated rows each has its own result.  Without items the result is empty.
     """
     schema = "doc_id long, item_id long, start_word long, n_words long, distance long"
@@ -218,7 +308,7 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in steps(batch, 1):
-                    found = sorted(shared.value.search([t or "" for t in texts]))
+                    found = sorted(shared.value.search(texts), key=lambda x: (x[0], x[1] is None, x[1] or 0))
                     columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "start_word", "n_words", "distance"]
@@ -238,7 +328,7 @@ def drop_leaks(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in steps(batch, at):
-                    leaks = {x[0] for x in shared.value.search([t or "" for t in texts])}
+                    leaks = {x[0] for x in shared.value.search(texts)}
                     yield part.filter(pa.array([i not in leaks for i in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

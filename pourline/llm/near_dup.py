@@ -30,62 +30,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, keep_ids, words_of
+from .common import durable, keep_ids
 from .graph import connected_components
+from .words import lower_words, steps
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Words whose hash a worker keeps; beyond it the memory starts anew.
-MEMORY = 250_000
-#: Bytes of text that one vectorized step takes at most, unless one text is longer.
-STEP_CHARS = 1_500_000
 SMALL_LIST = 64
 BLOCK = 1000
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within bounds."""
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; a shorter text is one shingle; no words, none."""
+    words = lower_words(texts)
+    keys, bounds = words.keys(), words.bounds.tolist()
 
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = value
-        return value
+    def rolled(h: np.ndarray, width: int) -> np.ndarray:
+        out = h[: len(h) - width + 1] * _M1 + np.uint64(width)
+        for k in range(1, width):
+            out = ((out ^ (out >> np.uint64(29))) * _M2) + h[k : len(h) - width + 1 + k]
+        out = (out ^ (out >> np.uint64(32))) * _M1
+        return out ^ (out >> np.uint64(29))
 
-
-HASHES = WordHashes()
-
-
-def steps(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Cut a batch into parts of bounded text (one text at least), and let go of what the last part needed."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        limit = (ends[start - 1] if start else 0) + STEP_CHARS
-        stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
-        part = batch.slice(start, stop - start)
-        yield part, part.column(column).to_pylist()
-        start = stop
-    pa.default_memory_pool().release_unused()
-
-
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle; no words, none."""
-    words = words_of(text or "")
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    out = h[: len(h) - width + 1] * _M1 + np.uint64(width)
-    for k in range(1, width):
-        out = ((out ^ (out >> np.uint64(29))) * _M2) + h[k : len(h) - width + 1 + k]
-    out = (out ^ (out >> np.uint64(32))) * _M1
-    return np.unique(out ^ (out >> np.uint64(29)))
+    # All windows of the step at once; those that cross into the next text are never looked at.
+    windows = rolled(keys, width) if len(keys) >= width else keys[:0]
+    out = []
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        n = high - low
+        out.append(np.unique(windows[low : high - width + 1]) if n >= width else rolled(keys[low:high], n) if n else keys[:0])
+    return out
 
 
 def _signatures(width: int, coordinates: int):
@@ -96,7 +72,7 @@ def _signatures(width: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, 1):
-                sets = [shingle_hashes(t, width) for t in texts]
+                sets = shingle_sets(texts, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 full = np.flatnonzero(n)
@@ -130,7 +106,7 @@ def _full_sets(width: int):
         for batch in batches:
             for part, texts in steps(batch, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingle_hashes(t, width).tobytes() for t in texts], pa.binary())],
+                    [part.column(0), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())],
                     names=["node", "shingles"],
                 )
 

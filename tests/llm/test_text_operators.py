@@ -7,11 +7,11 @@ from collections import Counter
 
 import pytest
 
-from pourline.llm.decontamination import Index, drop_leaks, edit_stretch, find_leaks, normal_words
+from pourline.llm.decontamination import Index, cut_words, drop_leaks, edit_stretch, find_leaks, normal_words, pieces_of
 from pourline.llm.guess_cost import guess_cost
 from pourline.llm.html_text import extract_text, main_text
 from pourline.llm.lm_score import score
-from pourline.llm.quality_model import classify, drop_poor, estimate, train
+from pourline.llm.quality_model import LABELLERS, classify, drop_poor, estimate, train, votes, weak_labels
 from pourline.llm.quality_rules import quality_rules
 from pourline.llm.secret_scan import LEAST_COST, redact_secrets, redacted, scan_secrets
 from pourline.llm.warc import archive, read_records, write_archives
@@ -30,9 +30,51 @@ def test_edit_stretch_is_the_least_distance():
     assert edit_stretch([1, 2], [])[0] == 2
 
 
+def indexed(known, rate=0.1):
+    return Index([(known[n][0], start, k) for n, start, k in pieces_of([t for _, t in known])], rate)
+
+
+def test_words_are_cut_like_the_pattern():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aBcÉß_-' 09\n漢ſİ🙂²ªŠ…’") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    words = cut_words(texts)
+    assert words.counts.tolist() == [len(normal_words(t)) for t in texts]
+    keys, seen = words.keys(), {}
+    for word, key in zip((w for t in texts for w in normal_words(t)), keys.tolist(), strict=True):
+        assert seen.setdefault(word, key) == key
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_leaks_match_a_sliding_edit_distance():
+    """Every window of every text against every item, by the plain dynamic program."""
+    rng = random.Random(7)
+    known = [(i, " ".join(f"k{rng.randrange(60)}" for _ in range(rng.choice([3, 7, 10, 20, 30])))) for i in range(12)]
+    texts = []
+    for _ in range(120):
+        words = [f"k{rng.randrange(60)}" if rng.random() < 0.6 else f"z{rng.randrange(50)}" for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            item = normal_words(rng.choice(known)[1])
+            for _ in range(rng.randint(0, 4)):
+                p = rng.randrange(len(item))
+                item[p : p + 1] = rng.choice([["zz"], [], [item[p], "zz"], ["k5"]])
+            at = rng.randint(0, len(words))
+            words[at:at] = item
+        texts.append(" ".join(words))
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in known:
+            ids, words = normal_words(item), normal_words(text)
+            distance = edit_stretch(ids, words)[0]
+            if distance <= int(0.1 * len(ids)):
+                want[d, i] = distance
+    found = {(d, i): distance for d, i, _, _, distance in indexed(known).search(texts)}
+    assert set(found) <= set(want) and len(found) >= 0.99 * len(want) and all(found[k] == want[k] for k in found)
+    assert {k for k, v in want.items() if v == 0} <= set(found)
+
+
 def test_leaks_are_found_whole_and_with_edits():
     rng, known = random.Random(1), items()
-    index, texts, want = Index(known, 0.1), [], set()
+    index, texts, want = indexed(known), [], set()
     for i, text in known:
         for trial in range(6):
             words = normal_words(text)
@@ -50,11 +92,11 @@ def test_leaks_are_found_whole_and_with_edits():
 
 
 def test_leaks_odd_rows(spark, odd_docs, no_docs):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, "too short"), (4, ""), (5, "ONE"), (6, "same words same")], "item_id long, text string")
     got = find_leaks(odd_docs, bench).collect()
-    assert sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 0)]
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (6, 5, 0), (8, 6, 0), (9, 6, 0)]
     kept = drop_leaks(odd_docs, bench)
-    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 3
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 6
     assert find_leaks(odd_docs, bench.where("false")).count() == 0 and find_leaks(no_docs, bench).count() == 0
 
 
@@ -89,18 +131,71 @@ def test_classifier_finds_the_poor_texts(spark):
 
 
 def test_em_keeps_exclusive_kinds_of_junk_together():
-    share, given = estimate({"000++": 800, "-00++": 60, "0-0++": 60, "00-++": 60})
-    assert 0.7 < share < 0.9 and (given[:3, 0, 0] > 10 * given[:3, 1, 0]).all()
+    """Each kind trips two labellers of its own, and no two kinds meet."""
+    found = estimate({"++++++": 800, "--++++": 40, "++--++": 40, "++++--": 40, "-+++++": 3, "0+++++": 5})
+    assert (found.posterior(["--++++", "++--++", "++++--"]) < 0.05).all() and found.posterior(["++++++"])[0] > 0.95
+    assert 0.8 < found.share[found.good].sum() < 0.95
+
+
+def test_em_overrules_a_labeller_that_cries_alone():
+    """The first labeller votes against one text in five at random: a veto would take those for poor, the posterior does not."""
+    rng = random.Random(3)
+    patterns, poor = Counter(), Counter()
+    for _ in range(4000):
+        bad = rng.random() < 0.15
+        said = ["-" if rng.random() < 0.2 else "+"] + [("-" if rng.random() < 0.8 else "0") if bad else ("-" if rng.random() < 0.02 else "+") for _ in range(4)]
+        patterns["".join(said)] += 1
+        poor["".join(said)] += bad
+    found = estimate(patterns)
+    posterior = dict(zip(patterns, found.posterior(list(patterns)), strict=True))
+    assert posterior["-++++"] > 0.9 and poor["-++++"] < 0.01 * patterns["-++++"]
+    assert posterior["+----"] < 0.05 and posterior["-----"] < 0.05
+    wrong = sum(poor[p] if posterior[p] > 0.5 else n - poor[p] for p, n in patterns.items())
+    vetoed = sum(n - poor[p] if "-" in p else poor[p] for p, n in patterns.items())
+    assert wrong < 0.02 * 4000 and vetoed > 0.2 * 4000
+    assert found.accuracies()[0][0] < 0.3 < 0.8 < found.accuracies()[1][0]
+
+
+def test_votes_match_counts_word_by_word():
+    texts = ["It rained, and then it stopped. We went on.", "BUY!! NOW!! CHEAP!! THINGS!! HERE!! TODAY!!", "same same same same same same same same same same same same same same same same same same same same same same", "", None, " \n", "a | b | c | d | e | f", "###$$$ @@@ %%% word&&& x***", "É 漢 1234 5678 90"]
+    got = votes(texts + texts)
+    assert (got[: len(texts)] == got[len(texts) :]).all() and set(map(tuple, got[3:6].tolist())) == {(-1,) * len(LABELLERS)}
+    by = {name: got[:, k].tolist() for k, name in enumerate(LABELLERS)}
+    for text, capital, repeat, shout, mark in zip(texts, by["capital_words"], by["repeats"], by["shouts"], by["marks"], strict=False):
+        words = (text or "").split()
+        if words:
+            n = len(words)
+            assert (capital == -1) == (sum(w.isupper() and len(w) > 1 for w in words) / n >= 0.4)
+            assert (repeat == -1) == (sum(a == b for a, b in zip(words, words[1:], strict=False)) / n >= 0.25)
+            assert (shout == -1) == (text.count("!") / n >= 0.25)
+            assert (mark == -1) == (sum(not any(c.isalnum() for c in w) for w in words) / n >= 0.15)
+
+
+def test_classifier_does_not_depend_on_ids_and_partitions(spark):
+    rows = labelled()
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t, _ in rows] + [(1, rows[1][1]), (1, rows[2][1])], "doc_id long, text string")
+    with_text = [sorted((r["text"], r["score"], r["kept"]) for r in docs.repartition(k).withColumn("doc_id", docs["doc_id"]).transform(lambda d: classified(d)).collect()) for k in (1, 5)]
+    assert with_text[0] == with_text[1]
+    good = {t for _, t, y in rows if y == 1}
+    assert sum(kept for t, _, kept in with_text[0] if t in good) >= 0.98 * sum(t in good for t, _, _ in with_text[0])
+
+
+def classified(docs):
+    """The scores beside the texts: rows are numbered, so that ids may repeat or be null."""
+    from pyspark.sql import functions as F
+
+    numbered = docs.withColumn("n", F.xxhash64("text", F.monotonically_increasing_id())).cache()
+    return classify(numbered, doc_id="n").withColumnRenamed("doc_id", "n").join(numbered.select("n", "text"), "n")
 
 
 def test_classifier_odd_rows(odd_docs, no_docs):
     model = train(odd_docs)
     got = classify(odd_docs, model).collect()
-    assert len(got) == odd_docs.count()
+    assert len(got) == odd_docs.count() == weak_labels(odd_docs, model).count()
     assert not any(r["kept"] for r in got if r["n_words"] == 0)
     kept = drop_poor(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r["kept"] for r in got)
-    assert classify(no_docs).count() == 0
+    assert classify(no_docs).count() == 0 and weak_labels(no_docs, train(no_docs)).count() == 0
 
 
 # ---- 5: secrets ----
