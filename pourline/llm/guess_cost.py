@@ -41,8 +41,32 @@ def _one(c: str) -> float:
     return log10(26) if c.isascii() and c.isalpha() else log10(33 if c.isascii() else 100)
 
 
-def segments(value: str, i: int) -> list[tuple[int, float, str]]:
+#: A repeat's block has at most so many characters; longer blocks are words, walks and brute force again.
+LONGEST_BLOCK = 8
+
+
+class Runs:
+    """How far repeats and walks reach from every place of a value; one pass for each block size and direction."""
+
+    def __init__(self, value: str):
+        n, low = len(value), value.lower()
+        self.equal = []
+        for block in range(1, LONGEST_BLOCK + 1):
+            run = [0] * (n + 1)
+            for i in range(n - block - 1, -1, -1):
+                run[i] = run[i + 1] + 1 if value[i] == value[i + block] else 0
+            self.equal.append(run)
+        self.walk = [1] * n
+        up, down = 1, 1
+        for i in range(n - 2, -1, -1):
+            step = _NEXT.get((low[i], low[i + 1]), ())
+            up, down = up + 1 if 1 in step else 1, down + 1 if -1 in step else 1
+            self.walk[i] = max(up, down)
+
+
+def segments(value: str, i: int, runs: Runs | None = None) -> list[tuple[int, float, str]]:
     """(length, cost, kind) of every segment that starts at i."""
+    runs = runs or Runs(value)
     out = [(1, _one(value[i]), "brute")]
     low = value[i : i + LONGEST_WORD].lower()
     plain = low.translate(LEET)
@@ -56,30 +80,20 @@ def segments(value: str, i: int) -> list[tuple[int, float, str]]:
         out.append((m.end() - i, log10(365 * 120), "date"))
         if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
             out.append((4, log10(120), "date"))
-    for block in range(1, 9):
-        piece = value[i : i + block]
-        times = 1
-        while value.startswith(piece, i + times * block) and len(piece) == block:
-            times += 1
+    for block, run in enumerate(runs.equal, 1):
+        times = run[i] // block + 1
         if times * block >= 3 and times > 1:
-            out.append((times * block, sum(map(_one, piece)) + log10(times), "repeat"))
-    ways, k, case = None, 1, value[i : i + 64].lower()
-    while k < len(case):
-        step = _NEXT.get((case[k - 1], case[k]), set())
-        ways = step if ways is None else ways & step
-        if not ways:
-            break
-        k += 1
-    if k >= 3:
+            out.append((times * block, sum(map(_one, value[i : i + block])) + log10(times), "repeat"))
+    if (k := runs.walk[i]) >= 3:
         out.append((k, log10(47 * 2 * k), "walk"))
     return out
 
 
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty one."""
-    least = [0.0] + [float("inf")] * len(value)
+    least, runs = [0.0] + [float("inf")] * len(value), Runs(value)
     for i in range(len(value)):
-        for length, cost, _ in segments(value, i):
+        for length, cost, _ in segments(value, i, runs):
             # Single characters in a row share one brute-force segment.
             total = least[i] + cost + (SEGMENT if length > 1 else 0.0)
             if total < least[i + length]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .words import steps
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea "
-    "input label fieldset dialog menu map audio video math".split()
+    "head script style noscript template iframe object embed svg canvas nav footer aside button select textarea "
+    "input fieldset dialog menu map audio video".split()
 )
 BLOCKS = frozenset(
     "html body main article section div p pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -38,7 +39,7 @@ CLOSES_P = BLOCKS - {"br", "td", "th", "html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section div main body html blockquote aside nav header footer form".split())
 HOLDERS = frozenset("body main article section div td blockquote center".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: A class token or id is boilerplate if all its parts, between - and _, are of these two kinds, at least one of the first.
 _NAMED = re.compile(
     r"ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|"
@@ -54,9 +55,9 @@ _READERS = re.compile(r"comments?|disqus|respond|reply|replies")
 _COMMENT_NAME = re.compile(r"comments?|reply|replies|review|ad|promo|related|teaser")
 _GOOD_NAME = re.compile(r"article|content|entry|post|story|text|body|main", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.DOTALL)
+#: The rest of a tag: quotes hide its end.  Nothing is tried twice.
+_REST = re.compile(r"((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s\"'=<>/]+)")
 #: A paragraph of fewer characters passes no points; a tree is climbed so far.
 SHORT, CLIMB = 25, 3
@@ -72,7 +73,7 @@ class Tree:
     """Elements in page order (a parent comes before its children) and the texts between tags."""
 
     def __init__(self) -> None:
-        self.tags, self.parents, self.names, self.dropped = ["#page"], [-1], [""], [False]
+        self.tags, self.parents, self.names, self.dropped, self.in_article = ["#page"], [-1], [""], [False], [False]
         self.named: dict[int, list[str]] = {}  # elements that only their names speak against
         self.texts: list[tuple[int, str]] = []
 
@@ -85,14 +86,16 @@ class Tree:
         named = []
         if name and tag not in ("html", "body", "main", "article"):
             named = [t for t in name.lower().split() if _boilerplate(t)]
-            if any("header" in t for t in named) and "article" in self._above(parent):
+            if any("header" in t for t in named) and self.in_article[parent]:
                 named = [t for t in named if "header" not in t]  # an article's own heading
         elif name and tag == "article":
             named = [t for t in name.lower().split() if all(_COMMENT_NAME.fullmatch(p) or p.isdigit() for p in re.split(r"[-_]+", t) if p)]
             named = [t for t in named if _COMMENT_NAME.search(t)]
+        if tag == "form" or found.get("role", "").lower() == "form":
+            named = [*named, "form"]  # some pages are one form
         own = (
             tag in DROPPED
-            or (tag == "header" and "article" not in self._above(parent))
+            or (tag == "header" and not self.in_article[parent])
             or found.get("role", "").lower() in DROPPED_ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"
@@ -101,56 +104,92 @@ class Tree:
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(name)
+        self.in_article.append(tag == "article" or self.in_article[parent])
         self.dropped.append(own or self.dropped[parent])
         if named and not self.dropped[-1]:
             self.named[len(self.tags) - 1] = named
         return len(self.tags) - 1
 
-    def _above(self, node: int) -> Iterator[str]:
-        while node > 0:
-            yield self.tags[node]
-            node = self.parents[node]
+
+class Open:
+    """The elements that are open, innermost last, with counts of their tags within each fence: looking for one costs nothing if there is none."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.counts = [0], ["#page"], [Counter()]
+        self.fences = Counter()
+
+    def push(self, node: int, tag: str) -> None:
+        self.nodes.append(node)
+        self.tags.append(tag)
+        if tag in FENCES:
+            self.fences[tag] += 1
+            self.counts.append(Counter())
+        else:
+            self.counts[-1][tag] += 1
+
+    def pop(self) -> str:
+        self.nodes.pop()
+        tag = self.tags.pop()
+        if tag in FENCES:
+            self.fences[tag] -= 1
+            self.counts.pop()
+        else:
+            self.counts[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of this tag and all within; other tags than fences are looked for within the fence alone."""
+        if self.fences[tag] if tag in FENCES else self.counts[-1][tag]:
+            while self.pop() != tag:
+                pass
+
+    def end(self, tags: set[str]) -> None:
+        """Close the innermost element of these tags, as far as the fence."""
+        if any(self.counts[-1][t] for t in tags):
+            while self.pop() not in tags:
+                pass
 
 
 def parse(page: str) -> Tree:
-    """A forgiving parse: unclosed paragraphs, items and cells end where the next one starts."""
-    tree, here, at = Tree(), 0, 0
-    while m := _TAG.search(page, at):
+    """A forgiving parse in linear time: unclosed paragraphs, items and cells end where the next one starts.
+
+    If a quote hides the end of a tag to the end of the page, quotes count no more from there on.
+    """
+    tree, open_, at, quotes = Tree(), Open(), 0, True
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
-            tree.texts.append((here, page[at : m.start()]))
-        at, tag = m.end(), (m[2] or "").lower()
+            tree.texts.append((open_.nodes[-1], page[at : m.start()]))
+        tag, attributes = (m[2] or "").lower(), ""
         if not tag:
+            at = m.end()
             continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest:
+            at, attributes = rest.end(), rest[1]
+        else:
+            quotes = False
+            if (end := page.find(">", m.end())) < 0:
+                tree.texts.append((open_.nodes[-1], page[m.start() :]))
+                return tree
+            at, attributes = end + 1, page[m.end() : end]
         if m[1]:
-            node = here
-            while node > 0 and tree.tags[node] != tag:
-                if tree.tags[node] in FENCES and tag not in FENCES:
-                    node = 0
-                    break
-                node = tree.parents[node]
-            if node > 0:
-                here = tree.parents[node]
+            open_.close(tag)
             if tag in BLOCKS:
-                tree.texts.append((here, "\n"))
+                tree.texts.append((open_.nodes[-1], "\n"))
             continue
         if tag in CLOSES_P or tag in SAME:
-            ends = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            node = here
-            while node > 0 and tree.tags[node] not in FENCES:
-                if tree.tags[node] in ends:
-                    here = tree.parents[node]
-                    break
-                node = tree.parents[node]
+            open_.end(SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set()))
+        here = open_.nodes[-1]
         if tag in BLOCKS:
             tree.texts.append((here, "\n"))
-        node = tree.add(tag, here, m[3])
+        node = tree.add(tag, here, attributes)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else len(page)
         elif tag not in VOID:
-            here = node
+            open_.push(node, tag)
     if at < len(page):
-        tree.texts.append((here, page[at:]))
+        tree.texts.append((open_.nodes[-1], page[at:]))
     return tree
 
 
@@ -169,11 +208,12 @@ def _drop_named(tree: Tree, worth: list[float]) -> None:
         titled[tree.parents[i]] = titled[tree.parents[i]] or titled[i]
     mains = [i for i in range(1, n) if tree.tags[i] in ("article", "main") and not tree.dropped[i] and i not in tree.named]
 
+    ends = list(range(n))  # the last element within each
+    for i in range(n - 1, 0, -1):
+        ends[tree.parents[i]] = max(ends[tree.parents[i]], ends[i])
+
     def apart(i: int, j: int) -> bool:
-        low, high = max(i, j), min(i, j)
-        while low > high:
-            low = tree.parents[low]
-        return low != high
+        return not (i <= j <= ends[i] or j <= i <= ends[j])
 
     for i, named in tree.named.items():
         readers = any(_READERS.search(t) for t in named)

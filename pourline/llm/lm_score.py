@@ -482,7 +482,7 @@ def learn_tables(training: DataFrame, code: Code, bits: list[int], doc_id: str =
     dealt = (
         training.select(F.xxhash64(doc_id, text).alias("deal"), F.col(text).alias("text"))
         .select(F.pmod("deal", F.lit(shards)).alias("shard"), "text", "deal")
-        .repartition("shard").sortWithinPartitions("shard", "deal", "text")
+        .repartition(shards, "shard").sortWithinPartitions("shard", "deal", "text")
     )
     schema = "name string, chunk int, shard long, value binary"
     summed = dealt.mapInArrow(_train(spark.sparkContext.broadcast({"code": code, "bits": bits})), schema)
