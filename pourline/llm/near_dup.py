@@ -213,6 +213,26 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, less all but one of each group of near duplicates: that with the smallest id.
+
+    Rows whose id is null or not theirs alone are told apart by a hash of id and text in
+    place of the id; of rows that are equal in both, one stays.
+    """
+    counted = docs.groupBy(doc_id).count()
+    shared = durable(counted.where((F.col("count") > 1) | F.col(doc_id).isNull()).select(F.col(doc_id).alias("__shared_id")))
+    if shared.isEmpty():
+        found = near_duplicates(docs, width, percent, doc_id=doc_id, text=text)
+        return keep_ids(docs, found.where("kept = false").select("doc_id"), doc_id=doc_id, how="left_anti")
+    own = docs.join(shared, F.col(doc_id).eqNullSafe(F.col("__shared_id")), "left_anti")
+    mixed = docs.join(shared, F.col(doc_id).eqNullSafe(F.col("__shared_id")), "left_semi")
+    # Hashes are above all ids of bounded size, so a row of its own id is kept before such a row.
+    hashed = F.shiftrightunsigned(F.xxhash64(doc_id, text), 2) + F.lit(1 << 61)
+    keyed = own.withColumn("__key", F.col(doc_id).cast("long")).unionByName(mixed.withColumn("__key", hashed).dropDuplicates(["__key"]))
+    found = near_duplicates(keyed, width, percent, doc_id="__key", text=text)
+    return keep_ids(keyed, found.where("kept = false").select("doc_id"), doc_id="__key", how="left_anti").select(*docs.columns)
+
+
 def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all that are similar."""
     posted = classes.select("node", F.explode("elements").alias("element"))
