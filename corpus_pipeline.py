@@ -5,17 +5,17 @@ return the columns of ``docs``.  A runner writes every stage's result and gives
 the next stage what it reads back; ``run`` does so in the shared folder.
 
 Stages take their rows as they are: null or empty texts are dropped by the quality
-stage, rows with equal ids are judged one by one, extra columns ride along to the
-last stage, and an empty table gives an empty result.
+stage, rows with equal or without ids are judged one by one (of equal rows one stays),
+extra columns ride along to the last stage, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pourline.llm.common import fresh_folder, keep_ids, table
+from pourline.llm.common import fresh_folder, table
 from pourline.llm.decontamination import drop_leaks
-from pourline.llm.near_dup import near_duplicates
+from pourline.llm.near_dup import drop_near_duplicates
 from pourline.llm.packing import pack
 from pourline.llm.quality_model import drop_poor
 from pourline.llm.queries import tokenizer
@@ -28,9 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, 0.8) the document with the smallest id."""
-    found = near_duplicates(docs, width=5, percent=80)
-    return keep_ids(docs, found.where("kept = false").select("doc_id"), how="left_anti")
+    """Keeps of each group of near duplicates (five words, 0.8) one document, that with the smallest id; see drop_near_duplicates."""
+    return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ STAGES = [
     ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]
-#: SQL states neither the fitted classifier nor the tokenizer; tests compare the stages with brute force.
+#: SQL states neither the fitted classifier nor the tokenizer; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 

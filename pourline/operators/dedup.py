@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import durable
 from .scoring import DRY, LIQUID
 
 _UNITS = r"\b(?:" + "|".join([*LIQUID, *DRY]) + r")\b"
@@ -65,7 +66,8 @@ def ingredient_overlap(recipes: DataFrame, k: int = 5, min_jaccard: float = 0.5)
     prefix of their rarest ingredients, long enough that two sets of at least
     ``min_jaccard`` meet in it; each pair is verified once on the whole sets.
     """
-    sets = recipes.select("id", ingredient_set(F.col("ingredients")).alias("parts")).where(F.size("parts") > 0).groupBy("parts").agg(F.min("id").alias("id"))
+    # Every branch below reads the sets; written once, the recipes are computed once.
+    sets = durable(recipes.select("id", ingredient_set(F.col("ingredients")).alias("parts")).where(F.size("parts") > 0).groupBy("parts").agg(F.min("id").alias("id")))
     posted = sets.select("id", F.explode("parts").alias("part"))
     seen = posted.groupBy("part").agg(F.count("*").alias("df"))
     ranked = posted.join(seen, "part").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "part"))).alias("ordered"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
 from .state import set_content_type, unclassified_queue, upsert_latest
 
 #: The labels a labeller may give.
@@ -134,7 +135,8 @@ def label_urls(
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "before": b["content_type"], "raw": labeller(b["message"])})
 
-    answered = queue.mapInPandas(run, "id long, before string, raw string").withColumn("label", parse_label_response(F.col("raw"))).cache()
+    # The labeller is asked once for each row: its answers are written before anything reads them.
+    answered = durable(queue.mapInPandas(run, "id long, before string, raw string").withColumn("label", parse_label_response(F.col("raw"))))
     seen = answered.agg(F.count("*").alias("n"), F.count("label").alias("good")).first()
     if seen["n"] and not seen["good"]:
         raise RuntimeError(f"no label for any of {seen['n']} urls")

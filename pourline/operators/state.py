@@ -87,8 +87,11 @@ def extract_queue(pages: DataFrame, extract_runs: DataFrame, recipes: DataFrame,
 
 
 def set_content_type(pages: DataFrame, extract_runs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """updates(id, new_type) -> (pages, extract_runs); a page that becomes extractable sheds its failures."""
-    new = updates.select(F.col("id").alias("_id"), "new_type")
+    """updates(id, new_type) -> (pages, extract_runs); a page that becomes extractable sheds its failures.
+
+    Of several updates of one page the last in the order of the types counts.
+    """
+    new = updates.groupBy(F.col("id").alias("_id")).agg(F.max("new_type").alias("new_type"))
     joined = pages.join(new, pages["id"] == new["_id"], "left")
     out = joined.withColumn("content_type", F.when(F.col("_id").isNotNull(), F.col("new_type")).otherwise(F.col("content_type"))).select(*pages.columns)
     known = new.where(F.col("new_type").isin(*EXTRACTABLE)).select("_id")
@@ -98,21 +101,30 @@ def set_content_type(pages: DataFrame, extract_runs: DataFrame, updates: DataFra
 
 
 def apply_fetch_results(pages: DataFrame, results: DataFrame, now) -> DataFrame:
-    """results(url, error, new_status, new_path): errors count attempts and fail at the third; others set status and path."""
-    new = results.select(F.col("url").alias("_url"), "error", "new_status", "new_path")
+    """results(url, error, new_status, new_path): errors count attempts and fail at the third; others set status and path.
+
+    Of several results of one url every error counts, and a page counts before errors:
+    the last in the order of status and path; of errors the last in their order is kept.
+    """
+    page = F.when(F.col("error").isNull(), F.struct("new_status", "new_path"))
+    new = (
+        results.groupBy(F.col("url").alias("_url"))
+        .agg(F.max("error").alias("error"), F.count("error").alias("_errors"), F.max(page).alias("_page"))
+        .select("_url", "error", "_errors", F.col("_page").isNotNull().alias("_good"), "_page.new_status", "_page.new_path")
+    )
     joined = pages.join(new, pages["url"] == new["_url"], "left")
-    hit, bad = F.col("_url").isNotNull(), F.col("error").isNotNull()
-    attempts = F.col("attempts") + F.when(hit & bad, 1).otherwise(0)
+    hit, bad, good = F.col("_url").isNotNull(), F.col("error").isNotNull(), F.coalesce("_good", F.lit(False))
+    attempts = (F.col("attempts") + F.coalesce("_errors", F.lit(0))).cast(pages.schema["attempts"].dataType)
     status = (
-        F.when(hit & bad & (attempts >= MAX_ATTEMPTS), F.lit("failed"))
-        .when(hit & ~bad, F.col("new_status")).otherwise(F.col("status"))
+        F.when(good, F.col("new_status"))
+        .when(hit & bad & (attempts >= MAX_ATTEMPTS), F.lit("failed")).otherwise(F.col("status"))
     )
     changed = {
         "status": status,
         "attempts": attempts,
         "fetch_error": F.when(hit & bad, F.col("error")).otherwise(F.col("fetch_error")),
-        "html_path": F.when(hit & ~bad, F.col("new_path")).otherwise(F.col("html_path")),
-        "fetched_at": F.when(hit & ~bad, F.lit(now).cast("timestamp")).otherwise(F.col("fetched_at")),
+        "html_path": F.when(good, F.col("new_path")).otherwise(F.col("html_path")),
+        "fetched_at": F.when(good, F.lit(now).cast("timestamp")).otherwise(F.col("fetched_at")),
     }
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in pages.columns])
 

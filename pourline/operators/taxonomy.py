@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
 ROLES = ("brand", "expression")
 
 
@@ -35,21 +36,17 @@ def resolve_aliases(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return texts.join(known, F.lower(F.trim("text")) == F.col("_alias"), "left").drop("_alias")
 
 
-def taxonomy_closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(ancestor, descendant, depth) with the least depth of each pair; a cycle ends when it gives no new pair."""
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+def taxonomy_closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth) with the least depth of each pair, however deep; it ends when a step gives no new pair."""
     step = edges.select(F.col("parent_id").alias("_from"), F.col("child_id").alias("_to")).distinct()
     known = step.select(F.col("_from").alias("ancestor"), F.col("_to").alias("descendant"), F.lit(1).alias("depth"))
     frontier = known
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         grown = frontier.join(step, frontier["descendant"] == step["_from"]).select("ancestor", F.col("_to").alias("descendant")).distinct()
-        frontier = grown.join(known, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = durable(grown.join(known, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return known
         known = known.unionByName(frontier)
-    return known
 
 
 def descendants(closure: DataFrame, nodes: DataFrame, slug: str) -> DataFrame:

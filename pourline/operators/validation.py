@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
 from ..functions.page_facts import PRIORITY, page_facts
 from .scoring import SCORER_VERSION, classify_pages
 from .state import set_content_type, upsert_latest, validate_queue
@@ -128,7 +129,7 @@ def revalidate(
     """
     joined = join_html_cache(validate_queue(pages, validate_runs, drink_runs, site, limit), cache)
     missing = joined.where("html IS NULL").agg(F.count("*").alias("missing"))
-    evaluated = evaluate(joined.where("html IS NOT NULL"))
+    evaluated = durable(evaluate(joined.where("html IS NOT NULL")))  # four results read it; pages are parsed once
     out = {"transitions": transitions(evaluated), "missing": missing, "evaluated": evaluated}
     if dry_run:
         return out | {"pages": pages, "validate_html_runs": validate_runs, "classify_drink_runs": drink_runs, "extract_runs": extract_runs}
@@ -156,7 +157,7 @@ def fetch_ingest(pages: DataFrame, results: DataFrame, run_id: int, now) -> dict
     from .state import apply_fetch_results
 
     known = pages.select("id", "site", "url", "status", "content_type")
-    evaluated = evaluate(results.where("error IS NULL AND html IS NOT NULL").select("url", "html").join(known, "url"))
+    evaluated = durable(evaluate(results.where("error IS NULL AND html IS NOT NULL").select("url", "html").join(known, "url")))
     path = html_path(F.col("site"), F.col("url"))
     good = evaluated.select("url", F.lit(None).cast("string").alias("error"), "new_status", path.alias("new_path"))
     bad = results.where("error IS NOT NULL").select("url", "error", F.lit(None).cast("string").alias("new_status"), F.lit(None).cast("string").alias("new_path"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.page_facts import page_facts
 from ..operators.state import site_circuit_breaker
 from ..operators.validation import html_path, join_html_cache
+from ..shared import new_folder
 from ..sources.files import expand_sitemap_index
 from ..streaming import jobs
 from . import adapters as A
@@ -22,10 +21,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared place that the session names."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _streamed(df: DataFrame, folder: str, files: int = 3) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import durable
+
 
 def read_sitemaps(spark: SparkSession, path: str, site: str) -> DataFrame:
     """(site, url, sitemap_source) of local sitemap files, .xml or .xml.gz; the source is the file's name."""
@@ -29,26 +29,23 @@ def _well_formed(docs: DataFrame) -> DataFrame:
     return docs.where(looks_like_sitemap(F.col("xml")) & F.col("xml").rlike(r"(?s)</(?:\w+:)?(?:urlset|sitemapindex)>\s*$"))
 
 
-def expand_sitemap_index(docs: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
+def expand_sitemap_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """docs(url, xml), roots(url) -> (url, sitemap_source): page urls with the leaf sitemap that lists them.
 
     A document with child sitemaps is an index and is followed; else its urls are
-    given.  Missing and malformed documents add nothing.  Each level is one equi-join.
+    given.  Missing and malformed documents add nothing.  Each level is one equi-join, and
+    levels follow until one names no new document.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     known = _well_formed(docs).select(
         F.col("url").alias("doc"), _locs("xml", "sitemap").alias("children"), _locs("xml", "url").alias("pages")
     )
     frontier, visited, out = roots.select(F.col("url").alias("doc")).distinct(), None, None
-    for _ in range(max_depth):
-        level = known.join(frontier, "doc", "left_semi").checkpoint()
+    while True:
+        level = durable(known.join(frontier, "doc", "left_semi"))
         pages = level.where(F.size("children") == 0).select(F.explode("pages").alias("url"), F.col("doc").alias("sitemap_source"))
         out = pages if out is None else out.unionByName(pages)
         visited = frontier if visited is None else visited.unionByName(frontier)
-        frontier = level.select(F.explode("children").alias("doc")).distinct().join(visited, "doc", "left_anti").checkpoint()
+        frontier = durable(level.select(F.explode("children").alias("doc")).distinct().join(visited, "doc", "left_anti"))
         if frontier.isEmpty():
             break
     return out.select(F.trim("url").alias("url"), "sitemap_source")

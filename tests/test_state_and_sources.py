@@ -107,3 +107,26 @@ def test_every_recipe_has_its_class(spark):
     found = {r["id"]: r for r in dedup.dedup_members(recipes).collect()}
     assert {i: r["class_id"] for i, r in found.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and found[1]["dedup_key"] == found[2]["dedup_key"]
     assert sorted(map(tuple, dedup.overlap_members(recipes).collect())) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_repeated_updates_and_results_keep_one_row_a_page(spark):
+    from pourline.operators.state import apply_fetch_results, set_content_type
+
+    pages = spark.createDataFrame([(1, "u1", "pending", None, 0, None, None, None), (2, "u2", "pending", None, 1, None, None, None)], "id long, url string, status string, content_type string, attempts int, fetch_error string, html_path string, fetched_at timestamp")
+    runs = spark.createDataFrame([(1, "no_recipe")], "page_id long, outcome string")
+    out, left = set_content_type(pages, runs, spark.createDataFrame([(1, "food"), (1, "drink_recipe"), (1, "food")], "id long, new_type string"))
+    assert sorted((r["id"], r["content_type"]) for r in out.collect()) == [(1, "food"), (2, None)]
+    results = spark.createDataFrame([("u1", None, "Recipe", "a"), ("u1", "late", None, None), ("u2", "e1", None, None), ("u2", "e2", None, None)], "url string, error string, new_status string, new_path string")
+    got = {r["id"]: (r["status"], r["attempts"], r["fetch_error"], r["html_path"]) for r in apply_fetch_results(pages, results, "2026-01-01").collect()}
+    assert got == {1: ("Recipe", 1, "late", "a"), 2: ("failed", 3, "e2", None)}
+
+
+def test_deep_sitemaps_and_taxonomies_are_followed_to_the_end(spark):
+    from pourline.operators.taxonomy import taxonomy_closure
+    from pourline.sources.files import expand_sitemap_index
+
+    docs = [(f"s{i}", f"<sitemapindex><sitemap><loc>s{i + 1}</loc></sitemap></sitemapindex>") for i in range(13)] + [("s13", "<urlset><url><loc>page</loc></url></urlset>")]
+    found = expand_sitemap_index(spark.createDataFrame(docs, "url string, xml string"), spark.createDataFrame([("s0",)], "url string"))
+    assert [tuple(r) for r in found.collect()] == [("page", "s13")]
+    closure = taxonomy_closure(spark.createDataFrame([(i, i + 1) for i in range(12)], "parent_id long, child_id long"))
+    assert closure.count() == 12 * 13 // 2
