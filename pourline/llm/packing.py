@@ -196,12 +196,14 @@ def pack_histogram(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> l
     full = np.zeros_like(counts)
     full[capacity] = 1
     uses, _ = solve(counts, capacity, rounds) if counts.any() else ([], 0.0)
-    size, before, plans = np.arange(len(counts)), np.cumsum([0.0, *(times for _, times in uses)]), []
-    for share in SHARES:
+    size, before, best, least = np.arange(len(counts)), np.cumsum([0.0, *(times for _, times in uses)]), [], math.inf
+    for share in SHARES if uses else ():
         part = uses[: max(1, int(np.searchsorted(before, share * before[-1])))]
-        by_fill = sorted(part, key=lambda x: -int(x[0] @ size))
-        plans += [_rounded(counts, capacity, way, to) for way in (part, by_fill) for to in (math.ceil, math.floor)]
-    best = min(plans, key=lambda plan: sum(times for _, times in plan))
+        for way in (part, sorted(part, key=lambda x: -int(x[0] @ size))):
+            for to in (math.ceil, math.floor):
+                plan = _rounded(counts, capacity, way, to)
+                if (n := sum(times for _, times in plan)) < least:  # one plan is held at a time
+                    best, least = plan, n
     return [(full, whole)] * (whole > 0) + best
 
 
