@@ -12,9 +12,11 @@ posted under their elements and collisions are counted:
   elements, such as those of a passage that many texts quote, fall out of prefixes;
 * in a small posting list, pairs are joined, counted over all their elements and
   kept from ``matches`` on, each under its first common element alone;
-* a long posting list is cut into blocks, and each pair of blocks is one group
-  whose shared shingles are counted in full through an inverted list; it gives the
-  links of a spanning forest and never its pairs.
+* in a long posting list, every document is first held against a few hubs of the
+  list; that joins most large groups of near copies at a cost linear in the list.
+  Documents that are then outside the list's main group are counted against those
+  of every other group, in blocks of bounded rows and bytes, by the same rule; pairs
+  within a group that hangs together add nothing to it and are not looked at.
 
 Every link is confirmed on the full sets.  Documents of equal sets count as one
 until the end, so exact copies cost one row each.
@@ -39,8 +41,12 @@ from .graph import connected_components
 from .words import lower_words, steps
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SMALL_LIST = 64
-BLOCK = 1000
+#: Longest posting list whose pairs are joined directly, and hubs of a longer one.
+SMALL_LIST, HUBS = 64, 3
+#: Documents and shingles that one block of a long list has on average at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Parts over which the documents of one element or hub are dealt in joins.
+SALTS = 16
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -128,45 +134,60 @@ def _confirm(percent: int):
     return run
 
 
-def _forest(percent: int):
-    """Links of a spanning forest of one pair of blocks, from full counts of shared shingles."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids = group.column("node").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        raw = group.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order]
-        n = np.array([len(s) for s in sets])
-        joined = np.concatenate(sets)
-        _, codes = np.unique(joined, return_inverse=True)
-        owners = np.repeat(np.arange(len(ids)), n)
-        by_code = np.argsort(codes, kind="stable")
-        owners_by_code = owners[by_code]
-        ends = np.cumsum(np.bincount(codes))
-        begins = np.concatenate([[0], ends[:-1]])
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return int(i)
-
-        links, at = [], 0
-        for i in range(len(ids)):
-            mine = codes[at : at + n[i]]
-            at += n[i]
-            lengths = ends[mine] - begins[mine]
-            spots = np.repeat(begins[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            common = np.bincount(owners_by_code[spots], minlength=len(ids))
-            near = np.flatnonzero(100 * common >= percent * (n[i] + n - common))
-            for j in near[near > i]:
-                x, y = root(i), root(int(j))
-                if x != y:
+def _between_groups(percent: int, matches: int):
+    """Confirmed links between documents outside the main group (``rest``) and those of other groups, for one pair of blocks.
+
+    A pair is counted under the first element that both prefixes have, and confirmed
+    only while no link found here has joined the two groups.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = {name: table.column(name).to_numpy() for name in ("node", "n", "component", "posts", "rest", "asks")}
+        found = table.column("found").chunk(0)
+        sizes = np.diff(found.offsets.to_numpy())
+        values, codes = np.unique(found.flatten().to_numpy(), return_inverse=True)
+        here = int(np.searchsorted(values, table.column("element")[0].as_py()))
+        spots = np.arange(sizes.max())[None, :] < sizes[:, None]
+        grid = np.full(spots.shape, len(values))
+        grid[spots] = codes
+        posted = np.arange(grid.shape[1])[None, :] < column["posts"][:, None]
+        shingles = table.column("shingles").chunk(0)
+        asked = np.flatnonzero(~column["asks"])
+        node, n, component, rest = (column[name][asked] for name in ("node", "n", "component", "rest"))
+        grid_asked, posted_asked = grid[asked], posted[asked]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        links = []
+        mine, prefix = np.zeros(len(values) + 1, bool), np.zeros(len(values) + 1, bool)
+        for i in np.flatnonzero(column["asks"]):
+            mine[grid[i][spots[i]]] = prefix[grid[i][posted[i]]] = True
+            size, home, me = column["n"][i], int(column["component"][i]), int(column["node"][i])
+            near = (
+                (component != home)
+                & (~rest | (node > me))
+                & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+                & (np.count_nonzero(mine[grid_asked], axis=1) >= matches)
+            )
+            near = np.flatnonzero(near)
+            both = prefix[grid_asked[near]] & posted_asked[near]
+            near = near[grid_asked[near, both.argmax(axis=1)] == here] if len(near) else near
+            mine[grid[i]] = prefix[grid[i]] = False
+            own = np.frombuffer(shingles[i].as_buffer(), np.uint64)
+            for j in near:
+                x, y = root(home), root(int(component[j]))
+                if x == y:
+                    continue
+                common = len(np.intersect1d(own, np.frombuffer(shingles[asked[j]].as_buffer(), np.uint64), assume_unique=True))
+                if 100 * common >= percent * (size + n[j] - common):
                     parent[max(x, y)] = min(x, y)
-                    links.append((int(ids[i]), int(ids[j])))
+                    links.append((me, int(node[j])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -263,28 +284,86 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = durable(met.distinct())
 
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    long_lists = (
-        postings.join(lists.where(F.col("m") > SMALL_LIST), "element")
-        .select("node", "element", blocks.alias("blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    )
+    long_lists = durable(
+        postings.join(lists.where(F.col("m") > SMALL_LIST).select("element"), "element")
+        .select("element", "node", "n", "found", F.size("prefix").alias("posts"))
+    )
     wanted = (
         pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         .unionByName(long_lists.select("node")).distinct()
     )
-    sets = durable(keep_ids(source, wanted).mapInArrow(_full_sets(width), "node long, shingles binary"))
+    sets = durable(keep_ids(source, wanted).mapInArrow(_full_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
     confirmed = (
         pairs.join(first, "a").join(second, "b").select("a", "b", "shingles_a", "shingles_b")
         .mapInArrow(_confirm(percent), "a long, b long")
     )
-    in_blocks = (
-        long_lists.join(sets, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("element", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
-        .groupBy("element", "low", "high")
-        .applyInArrow(_forest(percent), "a long, b long")
+    if long_lists.isEmpty():
+        return confirmed
+    labels = connected_components(confirmed.unionByName(_to_hubs(long_lists, sets, percent, matches)), "a", "b")
+    joined = durable(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return joined.unionByName(_between(long_lists, joined, sets, percent, matches))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _to_hubs(long_lists: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Confirmed links of documents to the hubs of their long lists; lists of the same documents have the same hubs."""
+    one = F.struct("node", "n", "found")
+    hubs = long_lists.groupBy("element").agg(F.array_distinct(F.array(*(F.min_by(one, F.xxhash64("node", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    spokes = durable(
+        long_lists.select("*", salt).join(_salted(hubs), ["element", "salt"])
+        .select("node", "n", "found", F.explode("hubs").alias("hub"))
+        .where(F.col("node") != F.col("hub.node"))
+        .where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+        .where(F.size(F.array_intersect("found", "hub.found")) >= matches)
+        .select("node", F.col("hub.node").alias("hub")).distinct()
+    )
+    centre = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("shingles_hub"))
+    centre = _salted(centre.join(spokes.select("hub").distinct(), "hub"))
+    return (
+        spokes.join(sets, "node").select("*", salt).join(centre, ["hub", "salt"])
+        .select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("shingles").alias("shingles_a"), F.col("shingles_hub").alias("shingles_b"))
+        .mapInArrow(_confirm(percent), "a long, b long")
+    )
+
+
+def _between(long_lists: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Confirmed links that join the groups (``joined``: a node, b its group) which still lie apart in a long list."""
+    grouped = long_lists.join(joined.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
-    return confirmed.unionByName(in_blocks)
+
+    def blocks(rows: str, shingles: str):
+        return F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+    apart = (
+        grouped.groupBy("element", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        .groupBy("element").agg(
+            F.max(F.struct("rows", "component", "shingles")).alias("main"),
+            F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("groups"),
+        )
+        .where("groups > 1")
+        .select(
+            "element", F.col("main.component").alias("main"), blocks("rows", "shingles").alias("blocks"),
+            (F.col("rows") - F.col("main.rows")).alias("rows"), (F.col("shingles") - F.col("main.shingles")).alias("shingles"),
+        )
+        .select("element", "main", "blocks", blocks("rows", "shingles").alias("rest_blocks"))
+    )
+    rows = grouped.join(apart, "element").withColumn("rest", F.col("component") != F.col("main")).join(sets, "node")
+    kept = ["element", "node", "n", "component", "found", "posts", "rest", "shingles"]
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    asking = rows.where("rest").select(*kept, F.lit(True).alias("asks"), block("rest_blocks").alias("x"), every("blocks").alias("y"))
+    asked = rows.select(*kept, F.lit(False).alias("asks"), every("rest_blocks").alias("x"), block("blocks").alias("y"))
+    return asking.unionByName(asked).groupBy("element", "x", "y").applyInArrow(_between_groups(percent, matches), "a long, b long")

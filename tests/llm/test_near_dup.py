@@ -2,7 +2,7 @@ import random
 import re
 
 from pourline.llm.graph import connected_components
-from pourline.llm.near_dup import BLOCK, SMALL_LIST, near_duplicates
+from pourline.llm.near_dup import SMALL_LIST, near_duplicates
 
 
 def brute(rows, width, percent):
@@ -52,8 +52,7 @@ def test_matches_brute_force_with_a_long_posting_list(spark):
 def test_blocks_of_a_longer_list_meet(spark, monkeypatch):
     import pourline.llm.near_dup as module
 
-    monkeypatch.setattr(module, "BLOCK", 40)
-    assert BLOCK == 1000
+    monkeypatch.setattr(module, "BLOCK_ROWS", 40)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(200)]
     rows = [(i, edited(rng, base, rng.choice([0, 1, 5, 9]))) for i in range(150)]
@@ -62,6 +61,27 @@ def test_blocks_of_a_longer_list_meet(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_groups_that_a_long_list_holds_are_told_apart_and_joined(spark, monkeypatch):
+    """A chain of versions: the hubs reach only their own stretch, so the rest must meet in blocks of rows or of bytes."""
+    import pourline.llm.near_dup as module
+
+    monkeypatch.setattr(module, "SMALL_LIST", 8)
+    monkeypatch.setattr(module, "HUBS", 1)
+    monkeypatch.setattr(module, "BLOCK_SHINGLES", 4000)
+    rng = random.Random(6)
+    words, rows = [f"b{i}" for i in range(200)], []
+    for i in range(160):
+        if i % 40:
+            words[(7 * i) % 200] = f"step{i}"
+        else:  # a version too far from all before it
+            for k in rng.sample(range(200), 30):
+                words[k] = f"jump{i}_{k}"
+        rows.append(((i * 37) % 1009, " ".join(words)))
+    want, _ = brute(rows, 4, 80)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert len(set(want.values())) > 1 and {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = near_duplicates(odd_docs, width=4).collect()
     assert len(got) == odd_docs.count()
