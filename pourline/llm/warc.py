@@ -26,6 +26,8 @@ from .common import durable, fresh_folder
 from .store import mapped, writing
 
 LEAST_BYTES = 1000
+#: Repeated payloads (some 100 bytes each) that every executor may hold; more are joined by a shuffle, each dealt over ``SALTS`` parts.
+BROADCAST_ROWS, SALTS = 200_000, 16
 #: What one archive's dictionary is trained on at most, and its own size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 4_000_000, 64 * 1024
 #: Fixed values of the format: skippable frame for a dictionary, and a Zstandard frame's start.
@@ -119,15 +121,22 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    again = (
-        rows.where(F.octet_length("payload") >= LEAST_BYTES)
+    short = F.octet_length("payload") < LEAST_BYTES
+    again = durable(
+        rows.where(~short)
         .groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
         .where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
     )
-    marked = rows.join(again, "digest", "left").withColumn(
+    if again.count() <= BROADCAST_ROWS:
+        long = rows.where(~short).join(F.broadcast(again), "digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        spread = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        long = rows.where(~short).withColumn("salt", salt).join(spread, ["digest", "salt"], "left").drop("salt")
+    # Short payloads are never revisits: they stay where they are, however many are equal.
+    marked = long.unionByName(rows.where(short).withColumn("refers_to", F.lit(None).cast("long"))).withColumn(
         "revisit", F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     )
-    # A revisit needs the payload's length only, but rows of one digest are few or split by the join; the payload goes along.
     return durable(marked.mapInArrow(_write(folder), "uri string, n_records long"))
 
 

@@ -276,6 +276,17 @@ def test_archives_round_trip(spark, odd_docs, no_docs):
     assert archive(odd_docs).count() == odd_docs.count() and archive(no_docs).count() == 0
 
 
+def test_many_repeated_payloads_are_marked_by_a_dealt_shuffle_alike(spark, monkeypatch):
+    import pourline.llm.warc as module
+
+    rows = [(i, f"http://x/{i}", f"<p>payload {i % 7} " + "long enough " * 100) for i in range(60)] + [(100 + i, None, None) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    held = sorted(map(tuple, archive(pages).collect()), key=str)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, archive(pages).collect()), key=str) == held
+    assert sum(r[4] == "revisit" for r in held) == 53
+
+
 def test_every_record_is_a_frame_that_needs_the_dictionary(spark, tmp_path):
     import zstandard
 
