@@ -80,6 +80,14 @@ def _hit(values: Column) -> Column:
     return F.coalesce(F.exists(values, lambda v: F.arrays_overlap(tokens(v), _set(METADATA))), F.lit(False))
 
 
+def breadcrumb_names(json: Column) -> Column:
+    """Names along a recipe's breadcrumb: each entry's item, or the item's name; null where an entry has no text, or all is missing."""
+    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    at = lambda entry, path: said(F.try_variant_get(entry, path, "variant"))
+    entries = F.try_variant_get(F.try_parse_json(json), "$.mainEntityOfPage.breadcrumb.itemListElement", "array<variant>")
+    return F.transform(entries, lambda e: F.coalesce(at(e, "$.item"), at(e, "$.item.name")))
+
+
 def bartender_hits(ingredients: Column) -> Column:
     """Distinct bartender words in the order they first appear."""
     return F.array_distinct(F.filter(F.flatten(F.transform(ingredients, tokens)), lambda t: t.isin(*BARTENDER)))
@@ -108,7 +116,7 @@ def rules_of(recipe: Column, with_tokens: Column | None = None) -> Column:
     after = [
         ("metadata_category_drink", 3, _hit(recipe["category"])),
         ("metadata_keywords_drink", 3, _hit(recipe["keywords"])),
-        ("metadata_breadcrumb_drink", 3, _hit(recipe["breadcrumbs"])),
+        ("metadata_breadcrumb_drink", 3, _hit(breadcrumb_names(recipe["json"]))),
         ("cook_time_long", -1, F.coalesce(iso_minutes(recipe["cook_time"]) > 10, F.lit(False))),
     ]
     fired = lambda rows: [F.when(F.coalesce(held, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(w).alias("weight"))) for n, w, held in rows]

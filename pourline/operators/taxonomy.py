@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import durable
+
 ROLES = ("brand", "expression")
 
 

@@ -215,6 +215,20 @@ def u6(spark, d):
     return state.finish_run(runs, 1, NOW, '{"n": 1}').select("id", "stage", "summary").join(F.broadcast(n))
 
 
+@query("u6_runs_of_orders", """SELECT o_orderkey AS id, 'fetch' AS stage, o_orderkey = 32 AS finished, CASE WHEN o_orderkey = 32 THEN '{"n": 2}' END AS summary FROM orders
+    UNION ALL SELECT -1, 'validate', true, '{"n": 1}' UNION ALL SELECT -2, 'label', false, NULL""")
+def u6_orders(spark, d):
+    """A ledger with a run for each order, to which two runs are added and in which two are finished."""
+    A.register(spark, d)
+    runs = spark.table("orders").select(
+        F.col("o_orderkey").alias("id"), F.lit("fetch").alias("stage"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"),
+        F.lit(None).cast("string").alias("site"), F.lit(None).cast("string").alias("args"), F.lit(None).cast("string").alias("summary"),
+    )
+    runs = state.start_run(state.start_run(runs, -1, "validate", NOW), -2, "label", NOW)
+    runs = state.finish_run(state.finish_run(runs, -1, NOW, '{"n": 1}'), 32, NOW, '{"n": 2}')
+    return runs.select("id", "stage", F.col("finished_at").isNotNull().alias("finished"), "summary")
+
+
 # ---- labels ----
 
 
@@ -339,3 +353,28 @@ def t1(spark, d):
     _, aliases = taxonomy.build_taxonomy(nodes, spark.createDataFrame([], "parent string, child string"), pairs)
     texts = nation.select(F.col("n_nationkey").alias("row_id"), F.concat("n_name", F.lit("  ")).alias("text"))
     return taxonomy.resolve_aliases(texts, aliases).select("row_id", "node_id")
+
+
+_PART_EDGES = "(SELECT CAST(p_partkey // 10 AS BIGINT) AS parent_id, CAST(p_partkey AS BIGINT) AS child_id FROM part WHERE p_partkey > 0 AND p_partkey // 10 IN (SELECT p_partkey FROM part))"
+
+
+def part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a tree: the parent of a part has its key without the last digit; pairs of parts that do not exist drop out."""
+    A.register(spark, d)
+    part = spark.table("part").select(F.col("p_partkey").cast("long").alias("id"))
+    slug = lambda key: F.concat(F.lit("part-"), key.cast("string"))
+    nodes = part.select("id", slug(F.col("id")).alias("slug"))
+    pairs = part.where("id > 0").select(slug(F.floor(F.col("id") / 10).cast("long")).alias("parent"), slug(F.col("id")).alias("child"))
+    gone = part.where("id % 7 = 0").select(slug(F.col("id")).alias("parent"), F.lit("gone").alias("child"))
+    none = spark.createDataFrame([], "alias string, slug string")
+    return taxonomy.build_taxonomy(nodes, pairs.unionByName(gone), none)[0]
+
+
+@query("t1_edges_of_parts", f"SELECT parent_id, child_id FROM {_PART_EDGES}")
+def t1_edges(spark, d):
+    return part_edges(spark, d)
+
+
+@query("t3_closure_of_parts", _CLOSURE.replace("{tax}", _PART_EDGES))
+def t3_parts(spark, d):
+    return taxonomy.taxonomy_closure(part_edges(spark, d))

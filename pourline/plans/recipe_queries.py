@@ -185,6 +185,19 @@ def d_rules(spark, d):
     return rows.select("id", "x.rule", "x.weight")
 
 
+@query("d14_breadcrumb_rule", "SELECT id, id % 6 IN (1, 4, 5) AS held FROM {recipes}")
+def d14(spark, d):
+    """Recipes under a breadcrumb of several shapes: items that are texts, objects with a name, numbers, and no list."""
+    crumb = F.expr("""CASE id % 6 WHEN 0 THEN '[{"item":"Home"},{"item":{"name":"Dinner"}}]' WHEN 1 THEN '[{"item":"Home"},{"item":{"name":"Easy Cocktails"}}]'
+        WHEN 2 THEN '[{"item":7},{"name":"Cocktails"},null]' WHEN 3 THEN '{"item":"Cocktails"}' WHEN 4 THEN '[7,{"item":"COCKTAILS"}]' ELSE '[{"item":{"name":["x"]}},{"item":{"name":"cocktail"}}]' END""")
+    html = F.concat(
+        F.lit('<script type="application/ld+json">{"@type":"Recipe","name":"'), F.col("site"),
+        F.lit('","mainEntityOfPage":{"breadcrumb":{"itemListElement":'), crumb, F.lit("}}}</script>"),
+    )
+    rows = extraction.first_recipe(recipe_pages(spark, d).select("id", page_facts(html).alias("facts")))
+    return rows.select("id", F.exists(scoring.rules_of(F.col("recipe")), lambda x: x["rule"] == "metadata_breadcrumb_drink").alias("held"))
+
+
 @query("d16_classify_pages", f"SELECT id, CAST(score AS INT) AS score, label FROM {_PAGE_SCORE}")
 def d16(spark, d):
     return scoring.classify_pages(with_facts(spark, d)).select("id", "score", "label")
@@ -330,6 +343,17 @@ def f4_by_id(spark, d):
     return search.batch_search(catalog(spark, d), asked)
 
 
+_QS_BLANK = "(SELECT r_regionkey AS query_id, CASE r_regionkey WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '(a), b' ELSE 'vermouth' END AS q FROM region)"
+
+
+@query("f4_batch_search_blank", f"SELECT query_id, id FROM {_QS_BLANK} JOIN {_CAT} c ON query_id < 3 OR contains(lower(name), q) OR contains(lower(lines), q)")
+def f4_blank(spark, d):
+    """Some of the queries have no terms: these match the whole catalog."""
+    A.register(spark, d)
+    q = F.when(F.col("r_regionkey") == 0, "").when(F.col("r_regionkey") == 2, "(a), b").when(F.col("r_regionkey") > 2, "vermouth")
+    return search.batch_search(catalog(spark, d), spark.table("region").select(F.col("r_regionkey").alias("query_id"), q.alias("q")))
+
+
 @query("f5_page_range", "SELECT total, page, 50 AS size, CAST(ceil(total / 50) AS BIGINT) AS total_pages, CAST((page - 1) * 50 + 1 AS BIGINT) AS first_row, least(page * 50, total) AS last_row FROM (SELECT count(*) AS total, CAST(1 AS BIGINT) AS page FROM part UNION ALL SELECT count(*), 3 FROM part)")
 def f5(spark, d):
     A.register(spark, d)

@@ -9,7 +9,7 @@ from ..functions.page_facts import page_facts
 from ..operators.state import site_circuit_breaker
 from ..operators.validation import html_path, join_html_cache
 from ..shared import new_folder
-from ..sources.files import expand_sitemap_index
+from ..sources.files import expand_sitemap_index, read_eval_set, read_sitemaps
 from ..streaming import jobs
 from . import adapters as A
 from .adapters import adapted
@@ -99,6 +99,26 @@ def s2(spark, d):
     return expand_sitemap_index(leaves.unionByName(root), root.select("url"))
 
 
+@query("s1_read_sitemaps", "SELECT 'punch' AS site, url, CASE WHEN id % 3 = 0 THEN '.gz' ELSE 'xml' END AS suffix FROM {recipes}")
+def s1(spark, d):
+    """Sitemap files of all recipe urls, a third of them gzipped, written and read back."""
+    folder = _folder(spark)
+    pages = recipe_pages(spark, d).select("id", F.concat(F.lit("\n  "), "url", F.lit(" ")).alias("loc"))
+    for some, how in (("id % 3 = 0", "gzip"), ("id % 3 <> 0", "none")):
+        pages.where(some).select("loc").write.format("xml").option("rowTag", "url").option("rootTag", "urlset").option("compression", how).mode("append").save(f"{folder}/maps")
+    return read_sitemaps(spark, f"{folder}/maps", "punch").select("site", "url", F.expr("right(sitemap_source, 3)").alias("suffix"))
+
+
+@query("s6_read_eval_set", "SELECT concat('d/', CAST(doc_id AS VARCHAR), '.html') AS html_path, CASE quality WHEN 1 THEN 'confirmed_drink' ELSE 'abstain' END AS expected FROM labels")
+def s6(spark, d):
+    """An evaluation file of all labels, with a blank line after every other entry, written and read back."""
+    A.register(spark, d)
+    folder = _folder(spark)
+    entry = F.to_json(F.struct(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("html_path"), F.when(F.col("quality") == 1, "confirmed_drink").otherwise("abstain").alias("expected")))
+    spark.table("labels").select(F.concat(entry, F.when(F.col("doc_id") % 2 == 0, "\n\n  ").otherwise("")).alias("value")).write.text(f"{folder}/eval")
+    return read_eval_set(spark, f"{folder}/eval", "html_path string, expected string")
+
+
 @query("s3_join_html_cache", "SELECT site, count(*) AS n, CAST(sum(CASE WHEN id % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM {recipes} GROUP BY site")
 def s3(spark, d):
     pages = recipe_pages(spark, d)
@@ -113,7 +133,10 @@ def s4(spark, d):
     return recipe_pages(spark, d).select("id", html_path(F.col("site"), F.col("url")).alias("html_path"))
 
 
-@query("x3_microdata_items", None)
+_MICRO = '{"@type":"Recipe","name":"\' || site || \' \' || CAST(id AS VARCHAR) || \'","author":{"@type":"Person","name":"Ann"},"recipeIngredient":["2 oz gin","ice"]}'
+
+
+@query("x3_microdata_items", f"SELECT id, ['{_MICRO}'] AS microdata, 'Recipe' AS type FROM {{recipes}}")
 def x3(spark, d):
     """Microdata of recipe pages that carry the title, the site and two lines as nested items."""
     body = F.concat(
@@ -127,3 +150,10 @@ def x3(spark, d):
 @query("v6_visible_text_len", None)
 def v6(spark, d):
     return adapted(spark, d, A.CRAWL_PAGES).select("id", page_facts(F.col("html"))["text_len"].alias("text_len"))
+
+
+@query("v6_text_len_of_recipes", "SELECT id, CAST(length(regexp_extract(html, '<p>(.*?)</p>', 1)) + 1 + length(site) + 1 + 5 AS INT) AS text_len FROM {recipes}")
+def v6_recipes(spark, d):
+    """Recipe pages with styles, hidden parts and a tail: the title, the site and the tail are joined by blanks."""
+    html = F.concat("html", F.lit("<style>p {}</style><noscript>off</noscript><b>"), "site", F.lit("</b> tail "))
+    return recipe_pages(spark, d).select("id", page_facts(html)["text_len"].alias("text_len"))
