@@ -7,7 +7,9 @@ least total cost counts.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from math import log10
 
 #: Words that people put in passwords, the commonest first.
@@ -20,8 +22,6 @@ WORDS = (
     "public service account guest demo sample placeholder dummy value string none null your here insert my the and "
     "correct horse battery staple monday friday january june july august march april"
 ).split()
-RANKS = {w: log10(i + 10) for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 #: The rows of a common keyboard, and what stands for which letter.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("4@8310!$57", "aabeioisst")
@@ -41,15 +41,48 @@ def _one(c: str) -> float:
     return log10(26) if c.isascii() and c.isalpha() else log10(33 if c.isascii() else 100)
 
 
-#: A repeat's block has at most so many characters; longer blocks are words, walks and brute force again.
-LONGEST_BLOCK = 8
+#: Values whose guesses reach this power of ten resist guessing; what costs as much needs no exact figure.
+LEAST_COST = 8.0
+#: A repeat's block has at most so many characters: by its characters alone, each at least one power of ten, a longer one
+#: reaches LEAST_COST, so no segmentation below it holds one.
+LONGEST_BLOCK = int(LEAST_COST)
+
+
+class Dictionary:
+    """Words in order of commonness, with their costs and all their beginnings (so that a search ends with the last one)."""
+
+    def __init__(self, words: Iterable[str]):
+        self.costs: dict[str, float] = {}
+        for word in words:
+            self.costs.setdefault(word, log10(len(self.costs) + 10))
+        self.beginnings = {w[:k] for w in self.costs for k in range(1, len(w) + 1)}
+
+
+#: Words of passwords alone; a scan may go on with the words of a vocabulary.
+COMMON = Dictionary(WORDS)
+#: How a vocabulary of word pieces marks the end of a word.
+END_OF_WORD = "</w>"
+
+
+def vocabulary_words(path: str) -> tuple[str, ...]:
+    """Whole words of three letters or more of a tokenizer's vocabulary, in the order of its ids: the commonest first.
+
+    They number at most the vocabulary's size, whatever is scanned.
+    """
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    ends = (w.removesuffix(END_OF_WORD) for w in sorted(ids, key=ids.get) if w.endswith(END_OF_WORD))
+    return tuple(w for w in ends if len(w) >= 3 and w.isalpha())
 
 
 class Runs:
     """How far repeats and walks reach from every place of a value; one pass for each block size and direction."""
 
     def __init__(self, value: str):
-        n, low = len(value), value.lower()
+        n = len(value)
+        # Letters one by one: the lower case of a whole text may be longer than the text.
+        self.low = low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
+        self.plain = low.translate(LEET)
         self.equal = []
         for block in range(1, LONGEST_BLOCK + 1):
             run = [0] * (n + 1)
@@ -64,18 +97,16 @@ class Runs:
             self.walk[i] = max(up, down)
 
 
-def segments(value: str, i: int, runs: Runs | None = None) -> list[tuple[int, float, str]]:
+def segments(value: str, i: int, runs: Runs, words: Dictionary = COMMON) -> list[tuple[int, float, str]]:
     """(length, cost, kind) of every segment that starts at i."""
-    runs = runs or Runs(value)
     out = [(1, _one(value[i]), "brute")]
-    low = value[i : i + LONGEST_WORD].lower()
-    plain = low.translate(LEET)
-    for k in range(3, len(low) + 1):
-        for word, extra in ((low[:k], 0.0), (plain[:k], log10(4))):
-            if word in RANKS:
+    for low, extra in ((runs.low, 0.0), (runs.plain, log10(4))):
+        k = 1
+        while i + k <= len(value) and (word := low[i : i + k]) in words.beginnings:
+            if word in words.costs:
                 case = 0.0 if value[i : i + k].islower() else log10(3)
-                out.append((k, RANKS[word] + extra + case, "word"))
-                break
+                out.append((k, words.costs[word] + extra + case, "word"))
+            k += 1
     if m := _DATE.match(value, i):
         out.append((m.end() - i, log10(365 * 120), "date"))
         if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
@@ -89,11 +120,11 @@ def segments(value: str, i: int, runs: Runs | None = None) -> list[tuple[int, fl
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Dictionary = COMMON) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty one."""
     least, runs = [0.0] + [float("inf")] * len(value), Runs(value)
     for i in range(len(value)):
-        for length, cost, _ in segments(value, i, runs):
+        for length, cost, _ in segments(value, i, runs, words):
             # Single characters in a row share one brute-force segment.
             total = least[i] + cost + (SEGMENT if length > 1 else 0.0)
             if total < least[i + length]:

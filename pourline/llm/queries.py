@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality_rules as rules_module
 from .common import table
 from .decontamination import find_leaks
+from .guess_cost import vocabulary_words
 from .html_text import extract_text
 from .lm_score import score
 from .near_dup import near_duplicates
@@ -58,7 +59,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    return scan_secrets(table(spark, sf_dir, "documents"), words=vocabulary_words(tokenizer("word_bpe_49k.json")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ from collections import Counter
 import pytest
 
 from pourline.llm.decontamination import Index, cut_words, drop_leaks, edit_stretch, find_leaks, normal_words, pieces_of
-from pourline.llm.guess_cost import guess_cost
+from pourline.llm.guess_cost import WORDS as PASSWORD_WORDS, Dictionary, guess_cost, vocabulary_words
 from pourline.llm.html_text import extract_text, main_text
 from pourline.llm.lm_score import score
 from pourline.llm.quality_model import LABELLERS, classify, drop_poor, estimate, train, votes, weak_labels
 from pourline.llm.quality_rules import quality_rules
+from pourline.llm.queries import tokenizer
 from pourline.llm.secret_scan import LEAST_COST, redact_secrets, redacted, scan_secrets
 from pourline.llm.warc import archive, read_records, write_archives
 
@@ -210,11 +211,23 @@ def test_guess_cost_orders_passwords():
         assert guess_cost(value) <= len(value) * math.log10(33) + 1e-9
 
 
+def test_words_of_a_vocabulary_are_cheap_and_random_values_stay_dear():
+    words = vocabulary_words(tokenizer("word_bpe_49k.json"))
+    known = Dictionary((*PASSWORD_WORDS, *words))
+    assert len(words) > 10_000 and known.costs["password"] == 1 and all(w.isalpha() for w in words)
+    assert guess_cost("yesterday-coffee", known) < LEAST_COST <= guess_cost("yesterday-coffee")
+    rng = random.Random(5)
+    for _ in range(300):
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(12))
+        assert LEAST_COST <= guess_cost(value, known) <= guess_cost(value) + 1e-9
+    assert guess_cost("İSTANBUL" * 3, known) > 0  # a lower case of two characters
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     """Every cut of short values, with costs stated anew."""
 
 
-    from pourline.llm.guess_cost import RANKS, ROWS
+    from pourline.llm.guess_cost import COMMON, ROWS
 
     one = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33 if c.isascii() else 100)
     leet = dict(zip("4@8310!$57", "aabeioisst", strict=True))
@@ -224,7 +237,7 @@ def test_guess_cost_is_the_least_over_all_segmentations():
         low = s.lower()
         case = 0.0 if s.islower() else math.log10(3)
         plain = "".join(leet.get(c, c) for c in low)
-        costs += [RANKS[w] + extra + case + 0.3 for w, extra in ((low, 0.0), (plain, math.log10(4))) if w in RANKS]
+        costs += [COMMON.costs[w] + extra + case + 0.3 for w, extra in ((low, 0.0), (plain, math.log10(4))) if w in COMMON.costs]
         for b in range(1, 9):
             if len(s) >= 3 and len(s) % b == 0 and len(s) > b and s == s[:b] * (len(s) // b):
                 costs.append(sum(map(one, s[:b])) + math.log10(len(s) // b) + 0.3)
