@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pourline.llm.common import fresh_folder, table
 from pourline.llm.decontamination import drop_leaks
+from pourline.llm.guess_cost import vocabulary_words
 from pourline.llm.near_dup import drop_near_duplicates
 from pourline.llm.packing import pack
 from pourline.llm.quality_model import drop_poor
@@ -39,7 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document and replaces the secrets in its text; n_chars follows."""
-    return redact_secrets(docs)
+    return redact_secrets(docs, words=vocabulary_words(tokenizer("word_bpe_49k.json")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
