@@ -1,8 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of elements.  Paragraphs pass points for their length and
-their commas to the elements around them, the nearest most; an element's points
-are discounted by its link density.  The element with the most points is the
+their commas to all elements around them, half as many with every step; an element's
+points are discounted by its link density.  The element with the most points is the
 container; it is kept with the page's heading and what is beside it up to the smallest
 element that holds both, and siblings that score well or are content elements.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
@@ -59,8 +59,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>
 #: The rest of a tag: quotes hide its end.  Nothing is tried twice.
 _REST = re.compile(r"((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s\"'=<>/]+)")
-#: A paragraph of fewer characters passes no points; a tree is climbed so far.
-SHORT, CLIMB = 25, 3
+#: A paragraph of fewer characters passes no points; of what an element gets, this share goes on to the one around it.
+SHORT, PASSED_ON = 25, 0.5
 
 
 def _boilerplate(token: str) -> bool:
@@ -259,12 +259,11 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     for i in range(1, n):
         tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parents[i]]
     for i in range(n):
-        if own[i] < SHORT or tree.dropped[i]:
-            continue
-        node, far = (i if tree.tags[i] in HOLDERS else tree.parents[i]), 1
-        while node > 0 and far <= CLIMB:
-            points[node] += worth[i] / far
-            node, far = tree.parents[node], far + 1
+        if own[i] >= SHORT and not tree.dropped[i]:
+            points[i if tree.tags[i] in HOLDERS else tree.parents[i]] += worth[i]
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        points[tree.parents[i]] += PASSED_ON * points[i]
+    points[0] = 0.0  # the page itself is no container
     for i in range(1, n):
         if points[i]:
             bonus = 25 * (tree.tags[i] in ("article", "main")) + 5 * bool(_GOOD_NAME.search(tree.names[i]))

@@ -345,6 +345,13 @@ def test_hostile_pages_and_values_take_linear_time():
     assert time.process_time() - start < 20
 
 
+def test_points_reach_every_element_around_a_paragraph():
+    line = "Some words, and more words, that make a paragraph of the article."
+    deep = "".join(f"<div><div><div><div><div><p>{line} {i}</p></div></div></div></div></div>" for i in range(3))
+    page = f"<body><div><p>Short teaser, no more than this one.</p></div><div class=wrap><main>{deep}</main></div></body>"
+    assert main_text(page) == " ".join(f"{line} {i}" for i in range(3))
+
+
 def test_text_of_formulas_labels_and_page_wide_forms_is_kept():
     assert main_text("<article><p>Let <math>x</math> be, as <label>above</label>, a number of some size.</p></article>") == "Let x be, as above, a number of some size."
     body = "<p>" + "The river rose in spring, and the old mill stood in water, as it had before. " * 3 + "</p>"
