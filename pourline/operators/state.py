@@ -51,6 +51,11 @@ def add_urls(pages: DataFrame, new: DataFrame, order: list[str], now) -> DataFra
     )
 
 
+def new_by_site(added: DataFrame) -> DataFrame:
+    """Rows that ``add_urls`` gave each site; sites without a new row are not listed."""
+    return added.groupBy("site").agg(F.count("*").alias("n_new"))
+
+
 def pending_queue(pages: DataFrame, site: str | None = None, limit: int | None = None, content_type: str | None = None) -> DataFrame:
     held = (F.col("status") == "pending") & F.col("disabled_reason").isNull() & _at(site)
     if content_type:
@@ -100,6 +105,12 @@ def set_content_type(pages: DataFrame, extract_runs: DataFrame, updates: DataFra
     return out, kept
 
 
+def set_content_type_by_url(pages: DataFrame, extract_runs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """set_content_type for updates(url, new_type); urls that no page has change nothing."""
+    known = updates.groupBy("url").agg(F.max("new_type").alias("new_type"))
+    return set_content_type(pages, extract_runs, pages.select("id", "url").join(known, "url").select("id", "new_type"))
+
+
 def apply_fetch_results(pages: DataFrame, results: DataFrame, now) -> DataFrame:
     """results(url, error, new_status, new_path): errors count attempts and fail at the third; others set status and path.
 

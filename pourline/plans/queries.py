@@ -91,6 +91,15 @@ def q1(spark, d):
     return state.add_urls(pages, batch, [f"o{k}" for k in range(1, 9)], NOW)
 
 
+@query(
+    "q1_new_urls_by_site",
+    """WITH f AS (SELECT url, site, row_number() OVER (PARTITION BY url ORDER BY o1, o2, o3, o4, o5, o6, o7, o8, site, sitemap_source) AS rn FROM {batches})
+    SELECT site, count(*) AS n_new FROM f WHERE rn = 1 AND url NOT IN (SELECT url FROM {batches} WHERE regexp_matches(url, '[05]$')) GROUP BY site""",
+)
+def q1_counts(spark, d):
+    return state.new_by_site(q1(spark, d))
+
+
 @query("q2_pending_queue", "SELECT id, site, url, discovered_at FROM {frontier} WHERE status = 'pending' AND disabled_reason IS NULL AND content_type = 'likely_drink_recipe' ORDER BY site, discovered_at, id LIMIT 500")
 def q2(spark, d):
     return state.pending_queue(frontier(spark, d), limit=500, content_type="likely_drink_recipe").select("id", "site", "url", "discovered_at")
@@ -135,6 +144,21 @@ def _updated(spark, d):
     return state.set_content_type(f, extract_runs(spark, d), updates)
 
 
+@query(
+    "q7_set_content_type_by_url",
+    """WITH u AS (SELECT url, max(new_type) AS new_type FROM (SELECT url, CASE WHEN id % 2 = 0 THEN 'confirmed_drink' ELSE 'likely_junk' END AS new_type FROM {frontier} WHERE id % 10 < 4
+    UNION ALL SELECT url, 'likely_food_recipe' FROM {frontier} WHERE id % 15 = 0 UNION ALL SELECT url || '/unknown', 'likely_junk' FROM {frontier} WHERE id % 15 = 0) GROUP BY url)
+    SELECT f.id, CASE WHEN u.url IS NOT NULL THEN u.new_type ELSE f.content_type END AS content_type FROM {frontier} f LEFT JOIN u USING (url)""",
+)
+def q7_urls(spark, d):
+    f = frontier(spark, d)
+    first = f.where("id % 10 < 4").select("url", F.when(F.col("id") % 2 == 0, "confirmed_drink").otherwise("likely_junk").alias("new_type"))
+    again = f.where("id % 15 = 0")
+    updates = first.unionByName(again.select("url", F.lit("likely_food_recipe").alias("new_type")))
+    updates = updates.unionByName(again.select(F.concat("url", F.lit("/unknown")).alias("url"), F.lit("likely_junk").alias("new_type")))
+    return state.set_content_type_by_url(f, extract_runs(spark, d), updates)[0].select("id", "content_type")
+
+
 @query("q7_set_content_type", f"SELECT f.id, CASE WHEN u.id IS NOT NULL THEN u.new_type ELSE f.content_type END AS content_type FROM {{frontier}} f LEFT JOIN ({_UPDATES}) u USING (id)")
 def q7(spark, d):
     return _updated(spark, d)[0].select("id", "content_type")
