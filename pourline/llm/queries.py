@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality_rules as rules_module
 from .common import table
 from .decontamination import find_leaks
+from .exact_dup import exact_duplicates
 from .guess_cost import vocabulary_words
 from .html_text import extract_text
 from .lm_score import score
@@ -134,6 +135,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f"""
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS body, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size, row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY content ORDER BY length(body) DESC, doc_id)"""
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -145,9 +156,11 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES = {
     "op3_minhash_near_dup": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op10_quality_rules": _op10_sql(),
+    "op12_exact_dedup": OP12_SQL,
 }
