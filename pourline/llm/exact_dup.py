@@ -38,8 +38,8 @@ TABLE_BYTES = 48 << 20
 FOLD_ROWS = 1 << 18
 #: Bytes of contents in one Arrow batch of records.
 BATCH_BYTES = 4 << 20
-#: Rounds of partitioning; every round has a hash of its own.
-MAX_ROUNDS = 64
+#: Partitions of a round at most; what they do not hold goes on to further rounds, each of which has a hash of its own.
+FAN_OUT, MAX_ROUNDS = 1 << 14, 64
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Sorts rows without an id after all others.
 _NO_ID = (1 << 63) - 1
@@ -210,7 +210,7 @@ def _settle(table_bytes: int):
     return run
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table_bytes: int = TABLE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
     Of rows with equal texts that with the most code points in its original text stays, then
@@ -234,7 +234,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         if number == MAX_ROUNDS:
             raise RuntimeError(f"texts were still spilled after {MAX_ROUNDS} rounds")
         # Half full on average: a partition that is dealt more than a table holds spills the rest.
-        parts = max(1, -(-2 * size // table_bytes))
+        parts = min(fan_out, -(-2 * size // table_bytes))
         path = f"{folder}/round-{number}"
         dealt = records.repartition(max(parts, spark.sparkContext.defaultParallelism), F.xxhash64("digest", F.lit(number)))
         dealt.mapInArrow(_settle(table_bytes), _SETTLED).write.options(**packed).partitionBy("spilled").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as rules_module
+from .align import align_tokenizers
 from .common import table
 from .decontamination import find_leaks
 from .exact_dup import exact_duplicates
@@ -145,6 +146,10 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW w AS (PARTITION BY content ORDER BY length(body) DESC, doc_id)"""
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -157,6 +162,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 ORACLES = {
     "op3_minhash_near_dup": OP3_SQL,

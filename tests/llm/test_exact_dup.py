@@ -36,8 +36,8 @@ def test_tables_that_hold_little_spill_until_all_is_settled(spark):
     rows += [(n, "a hot text\t" + " " * (n % 3)) for n in range(700)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = brute(rows)
-    for table_bytes in (1, 40, 400, 1 << 20):
-        assert got(exact_duplicates(docs, table_bytes=table_bytes)) == want
+    for table_bytes, fan_out in ((120, 8), (1 << 20, 1)):
+        assert got(exact_duplicates(docs, table_bytes=table_bytes, fan_out=fan_out)) == want
 
 
 def test_equal_digests_do_not_make_texts_equal():
