@@ -39,6 +39,8 @@ from .tokens import _spread
 BUCKET_PAIRS = 1 << 16
 #: Units that a worker remembers, and the longest of them; longer ones are aligned where they are met.
 MEMORY_UNITS, LONGEST_UNIT = 300_000, 64
+#: Characters of units that are encoded in one text.
+JOINED_CHARS = 2000
 #: Different pairs that a task folds before it writes them.
 FOLDED_PAIRS = 1 << 20
 #: Vectors that are summed into one.
@@ -92,11 +94,48 @@ class Pair:
         self.sizes_b = np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
         self.blank_b = self.b.piece_to_id("▁")
 
-    def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        texts = [[np.array([f"{i}{mark}" for i in range(len(known))], object) for mark in marks] for known, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
+        self.texts_a, self.texts_b = texts
+
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that start with a blank; the second tokenizer puts its own before what it is given."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return a, [[self.blank_b] if u == " " else x for u, x in zip(units, b, strict=True)]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return a, [[self.blank_b] if t == " " else x for t, x in zip(texts, b, strict=True)]
+
+    def spelled(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, ids of B, whether each unit is exact); a unit that is not has no ids.
+
+        Units go to the tokenizers some at a time, joined, which gives their ids one after another.  White space at
+        a unit's end would run on into the next one's blank, so such a unit is the last of its text.
+        """
+        starts, size = [0], 0
+        for n, u in enumerate(units[:-1], 1):
+            size += len(u)
+            if size >= JOINED_CHARS or u[-1].isspace():
+                starts.append(n)
+                size = 0
+        parts = [units[i:j] for i, j in zip(starts, [*starts[1:], len(units)], strict=True)] if units else []
+        a, b, exact = [], [], []
+        for part, ids_a, ids_b, fits in self._checked(["".join(p) for p in parts], parts):
+            if fits or len(part) == 1:
+                alone = [(ids_a, ids_b, fits)]
+                exact += [fits] * len(part)
+            else:
+                alone = [(x, y, ok) for _, x, y, ok in self._checked(part, [[u] for u in part])]
+                exact += [ok for _, _, ok in alone]
+            for x, y, ok in alone:
+                if ok:
+                    a.append(np.array(x, np.int64))
+                    b.append(np.array(y, np.int64))
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(exact, bool)
+
+    def _checked(self, texts: list[str], units: list[list[str]]) -> Iterator[tuple[list[str], list[int], list[int], bool]]:
+        known_a, known_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for part, text, x, y in zip(units, texts, *self.ids(texts), strict=True):
+            raw = text.encode()
+            yield part, x, y, b"".join(map(known_a, x)) == raw and b"".join(map(known_b, y)) == raw
 
 
 @dataclass
@@ -112,44 +151,28 @@ class Aligned:
     exact: np.ndarray
 
 
-def _ends(ids: list[list[int]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all ids, their counts, the byte after each id counted from the first unit's start)."""
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for part in ids for x in part), np.int64, int(counts.sum()))
-    return flat, counts, np.cumsum(sizes[flat])
-
-
 def align(tokenizers: Pair, units: list[str]) -> Aligned:
     """Every unit on its own.  A unit whose tokens do not spell it is not exact and has nothing."""
-    list_a, list_b = tokenizers.ids(units)
-    raw = [u.encode() for u in units]
-    exact = np.fromiter(
-        (b"".join([tokenizers.bytes_a[i] for i in x]) == r == b"".join([tokenizers.bytes_b[i] for i in y]) for x, y, r in zip(list_a, list_b, raw, strict=True)), bool, len(units)
-    )
-    if not exact.all():
-        list_a = [x if ok else [] for x, ok in zip(list_a, exact.tolist(), strict=True)]
-        list_b = [x if ok else [] for x, ok in zip(list_b, exact.tolist(), strict=True)]
-    a, n_a, end_a = _ends(list_a, tokenizers.sizes_a)
-    b, n_b, end_b = _ends(list_b, tokenizers.sizes_b)
+    a, b, exact = tokenizers.spelled(units)
+    end_a, end_b = np.cumsum(tokenizers.sizes_a[a]), np.cumsum(tokenizers.sizes_b[b])
+    sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+    bounds = np.concatenate([[0], np.cumsum(np.where(exact, sizes, 0))])  # where units end, in bytes of the exact ones
     cuts = np.union1d(end_a, end_b)  # every stretch between two cuts lies in one token of each side
-    in_a, in_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-    pairs = (a[in_a] << 32) | b[in_b] if len(cuts) else np.empty(0, np.int64)
+    pairs = (a[np.searchsorted(end_a, cuts)] << 32) | b[np.searchsorted(end_b, cuts)]
     both = np.intersect1d(end_a, end_b, assume_unique=True)
-    total = np.concatenate([[0], end_a])
-    bounds = total[np.concatenate([[0], np.cumsum(n_a)])]  # where units end, in bytes
-    n_links = np.diff(np.searchsorted(cuts, bounds, "right"))
-    n_groups = np.diff(np.searchsorted(both, bounds, "right"))
-    # The tokens of each group, as text: groups end at the places in ``both``.
-    stop_a, stop_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    said, from_a, from_b = [], 0, 0
-    for x, y in zip(stop_a, stop_b, strict=True):
-        said.append(f"{','.join(text_a[from_a:x])}|{','.join(text_b[from_b:y])}")
-        from_a, from_b = x, y
-    groups, at = [], 0
-    for n in n_groups.tolist():
-        groups.append(";".join(said[at : at + n]))
-        at += n
+    n_a, n_b, n_links, n_groups = (np.diff(np.searchsorted(ends, bounds, "right")) for ends in (end_a, end_b, cuts, both))
+    # Groups as text: the tokens by group and side, each with the mark that follows it.
+    side = np.concatenate([2 * np.searchsorted(both, end_a), 2 * np.searchsorted(both, end_b) + 1])
+    last = np.empty(len(side), np.int64)
+    last[:-1] = side[1:] != side[:-1]
+    last[-1:] = 1
+    last[len(a) - 1 : len(a)] = 1
+    text = np.empty(len(side), object)
+    for own, held, marked in ((slice(0, len(a)), a, tokenizers.texts_a), (slice(len(a), None), b, tokenizers.texts_b)):
+        text[own] = np.where(last[own] == 1, marked[1][held], marked[0][held])
+    said = text[np.argsort(side, kind="stable")].tolist()
+    ends = np.cumsum(n_a + n_b).tolist()
+    groups = ["".join(said[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends, strict=False)]
     return Aligned(pairs, n_links, n_a, n_b, n_groups, groups, exact)
 
 
