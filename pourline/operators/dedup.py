@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..shared import durable
 from .scoring import DRY, LIQUID
 
+#: Entries of a part's list that one block holds on average.
+LIST_ROWS = 2000
 _UNITS = r"\b(?:" + "|".join([*LIQUID, *DRY]) + r")\b"
 
 
@@ -58,30 +60,54 @@ def overlap_members(recipes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").select("id", "class_id")
 
 
-def ingredient_overlap(recipes: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:
-    """Per ingredient set the k most similar other sets by Jaccard, ties by id: (id, other_id, jaccard).
+def similar_sets(sets: DataFrame, min_jaccard: float = 0.5, list_rows: int = LIST_ROWS) -> DataFrame:
+    """sets(id, parts), parts a set of texts -> (id, other_id, jaccard) of all pairs id < other_id of at least min_jaccard.
 
-    Recipes of equal sets count once, under their least id; ``overlap_members`` has it for
-    every recipe.  Sets are posted under a
-    prefix of their rarest ingredients, long enough that two sets of at least
-    ``min_jaccard`` meet in it; each pair is verified once on the whole sets.
+    Parts are ordered by how many sets hold them, the rarest first; two similar sets meet in the prefixes of
+    that order.  A meeting counts at the first part they share, and only if their sizes and what is left of both behind
+    it can still give the overlap needed; what passes is verified once.  The list of a part with more than ``list_rows``
+    entries is dealt over blocks by a hash of the id, and each two of its blocks meet on their own, so that no
+    task has more than two blocks of a list.
     """
-    # Every branch below reads the sets; written once, the recipes are computed once.
-    sets = durable(recipes.select("id", ingredient_set(F.col("ingredients")).alias("parts")).where(F.size("parts") > 0).groupBy("parts").agg(F.min("id").alias("id")))
+    sets = durable(sets.where(F.size("parts") > 0).select("id", "parts"))
     posted = sets.select("id", F.explode("parts").alias("part"))
     seen = posted.groupBy("part").agg(F.count("*").alias("df"))
-    ranked = posted.join(seen, "part").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "part"))).alias("ordered"))
-    prefix = F.slice("ordered", F.lit(1), F.size("ordered") - F.ceil(F.size("ordered") * min_jaccard).cast("int") + 1)
-    with_parts = ranked.select("id", F.transform("ordered", lambda x: x["part"]).alias("parts"), F.transform(prefix, lambda x: x["part"]).alias("prefix"))
-    entries = with_parts.select("id", "parts", "prefix", F.explode("prefix").alias("part"))
-    a, b = entries.alias("a"), entries.alias("b")
+    ranked = posted.join(seen, "part").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "part"))), lambda x: x["part"]).alias("parts"))
+    size = F.size("parts")
+    ranked = ranked.withColumn("n", size).withColumn("prefix", F.slice("parts", F.lit(1), size - F.ceil(size * min_jaccard).cast("int") + 1))
+    entries = durable(ranked.select("id", "n", "parts", "prefix", F.posexplode("prefix").alias("at", "part")))
+    blocks = entries.groupBy("part").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))
+    dealt = entries.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A block meets itself and every other of its list: under (smaller, larger) of the two numbers.
+    meets = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meets = meets.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+    a, b = meets.alias("a"), meets.alias("b")
+    need = F.ceil(F.lit(min_jaccard) / (1 + min_jaccard) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # shared parts at most, from this one on
+    fits = (
+        (F.col("a.n") >= F.col("b.n") * min_jaccard - 1e-9) & (F.col("b.n") >= F.col("a.n") * min_jaccard - 1e-9) & (left >= need)
+        & (F.get(F.array_intersect("a.prefix", "b.prefix"), F.lit(0)) == F.col("a.part"))
+    )
+    # Within one block every pair meets once; between two blocks each pair meets as (own of a, own of b) only.
+    once = (F.col("a.id") < F.col("b.id")) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own")))
     common = F.size(F.array_intersect("a.parts", "b.parts"))
-    jaccard = common / (F.size("a.parts") + F.size("b.parts") - common)
-    pairs = a.join(
-        b,
-        (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))
-        & (F.get(F.array_intersect("a.prefix", "b.prefix"), F.lit(0)) == F.col("a.part")) & (jaccard >= min_jaccard),
-    ).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), jaccard.alias("jaccard"))
-    both = pairs.unionByName(pairs.select(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "jaccard"))
+    jaccard = common / (F.col("a.n") + F.col("b.n") - common)
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & once & fits)
+    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+
+
+def most_similar(sets: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:
+    """sets(id, parts) -> (id, other_id, jaccard): of each set the k most similar others, ties by id."""
+    pairs = similar_sets(sets, min_jaccard)
+    both = pairs.select(F.explode(F.array(F.struct("id", "other_id", "jaccard"), F.struct(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "jaccard"))).alias("x")).select("x.*")
     top = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("jaccard"), "other_id"))
     return both.withColumn("_rank", top).where(F.col("_rank") <= k).drop("_rank")
+
+
+def ingredient_overlap(recipes: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:
+    """Per ingredient set the k most similar other sets by Jaccard, ties by id: (id, other_id, jaccard).
+
+    Recipes of equal sets count once, under their least id; ``overlap_members`` has it for every recipe.
+    """
+    sets = recipes.select("id", ingredient_set(F.col("ingredients")).alias("parts")).where(F.size("parts") > 0).groupBy("parts").agg(F.min("id").alias("id"))
+    return most_similar(sets, k, min_jaccard)

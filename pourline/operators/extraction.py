@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.page_facts import page_facts
+from ..shared import durable
 from .state import extract_queue, upsert_latest
 from .validation import join_html_cache
 
@@ -32,6 +33,7 @@ def extract_recipes(
     found = first_recipe(joined.withColumn("facts", page_facts(F.col("html")))).withColumn(
         "outcome", F.when(F.col("html").isNull(), "html_missing").when(F.col("recipe").isNull(), "no_recipe").otherwise("extracted")
     ).drop("html", "facts")
+    found = durable(found)  # four results read it; pages are parsed once
     runs = found.select(
         F.col("id").alias("page_id"), F.lit(run_id).cast("long").alias("run_id"), "outcome", F.lit(None).cast("string").alias("error"),
         F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.lit(now).cast("timestamp").alias("evaluated_at"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -120,33 +122,57 @@ def null_labels(pages: DataFrame, rules: list[Rule], keys: list[str] | None = No
     return pages.withColumn("content_type", F.when(~hit, F.col("content_type")))
 
 
-def label_urls(
-    pages: DataFrame, runs: DataFrame, extract_runs: DataFrame, labeller: Callable[[pd.Series], pd.Series],
-    model: str, version: str, run_id: int, now, limit: int | None = None, site: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Label the unclassified queue with a caller's function from request texts to raw responses.
+def _answers(labeller: Callable[[str], str], in_flight: int, tries: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Ask the labeller about every row with ``in_flight`` calls of the task under way at most, in the rows' order."""
 
-    Returns (pages, runs, extract_runs).  Rows whose response is an error or names no
-    known label stay unlabelled.  A queue with rows and no label at all is an error.
-    """
-    queue = unclassified_queue(pages, site, limit).select("id", "content_type", label_message_col(F.col("url"), F.col("sitemap_source")).alias("message"))
+    def ask(message: str) -> tuple[str | None, str | None, int]:
+        began, error = time.monotonic(), None
+        for _ in range(tries):
+            try:
+                return labeller(message), None, round(1000 * (time.monotonic() - began))
+            except Exception as failure:  # whatever the caller's function raises is that row's error
+                error = f"{type(failure).__name__}: {failure}"
+        return None, error, round(1000 * (time.monotonic() - began))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "before": b["content_type"], "raw": labeller(b["message"])})
+        with ThreadPoolExecutor(in_flight) as pool:
+            for b in batches:
+                found = []
+                for at in range(0, len(b), 16 * in_flight):  # calls of so many rows wait at a time
+                    found += pool.map(ask, b["message"].iloc[at : at + 16 * in_flight])
+                raw, error, took = zip(*found, strict=True) if found else ((), (), ())
+                yield pd.DataFrame({"id": b["id"], "before": b["content_type"], "raw": pd.Series(raw, b.index, object), "error": pd.Series(error, b.index, object), "latency_ms": pd.Series(took, b.index, "int64")})
+
+    return run
 
+
+def label_urls(
+    pages: DataFrame, runs: DataFrame, extract_runs: DataFrame, labeller: Callable[[str], str],
+    model: str, version: str, run_id: int, now, limit: int | None = None, site: str | None = None, in_flight: int = 4, tries: int = 2,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Label the unclassified queue with a caller's function from a request text to a raw response.
+
+    Returns (pages, runs, extract_runs, asked); asked(id, raw, error, label, latency_ms) has every row of the queue.  A call
+    that raises is made ``tries`` times; its row then keeps the error and stays unlabelled, as does one whose response
+    names no known label.  A queue with rows and no label at all is an error.
+    """
+    queue = pages.where(F.col("content_type").isNull() & (F.lit(True) if site is None else F.col("site") == site))
+    if limit:
+        queue = unclassified_queue(pages, site, limit)  # only a limit needs the order
+    queue = queue.select("id", "content_type", label_message_col(F.col("url"), F.col("sitemap_source")).alias("message"))
     # The labeller is asked once for each row: its answers are written before anything reads them.
-    answered = durable(queue.mapInPandas(run, "id long, before string, raw string").withColumn("label", parse_label_response(F.col("raw"))))
-    seen = answered.agg(F.count("*").alias("n"), F.count("label").alias("good")).first()
+    answered = queue.mapInPandas(_answers(labeller, in_flight, tries), "id long, before string, raw string, error string, latency_ms long")
+    answered = durable(answered.withColumn("label", parse_label_response(F.col("raw"))))
+    seen = answered.agg(F.count("*").alias("n"), F.count("label").alias("good"), F.min("error").alias("error")).first()
     if seen["n"] and not seen["good"]:
-        raise RuntimeError(f"no label for any of {seen['n']} urls")
+        raise RuntimeError(f"no label for any of {seen['n']} urls" + (f"; one error is {seen['error']}" if seen["error"] else ""))
     good = answered.where("label IS NOT NULL")
     new_runs = good.select(
         F.col("id").alias("page_id"), F.lit(run_id).cast("long").alias("run_id"), "label", F.lit(model).alias("model"), F.lit(version).alias("prompt_version"),
-        F.col("raw").alias("raw_response"), F.lit(now).cast("timestamp").alias("evaluated_at"), F.col("before").alias("pages_content_type_before"),
+        F.col("raw").alias("raw_response"), "latency_ms", F.lit(now).cast("timestamp").alias("evaluated_at"), F.col("before").alias("pages_content_type_before"),
     )
     out, left = set_content_type(pages, extract_runs, good.select("id", F.col("label").alias("new_type")))
-    return out, upsert_latest(runs, new_runs, "page_id", [F.col("page_id")]), left
+    return out, upsert_latest(runs, new_runs, "page_id", [F.col("page_id")]), left, answered.select("id", "raw", "error", "label", "latency_ms")
 
 
 def label_counts(pages: DataFrame, urls: DataFrame) -> DataFrame:

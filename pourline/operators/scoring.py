@@ -141,7 +141,9 @@ def score_recipes(recipes: Column) -> Column:
 def classify_pages(pages: DataFrame) -> DataFrame:
     """pages(…, facts) -> with score, rules and label of the page's best recipe, the first of equals; no recipe: 0, none, null."""
     scored = pages.withColumn("_scored", score_recipes(F.col("facts.recipes")))
-    best = F.get(F.filter("_scored", lambda s: s["score"] == F.array_max(F.transform(F.col("_scored"), lambda x: x["score"]))), F.lit(0))
+    # One fold over the page's recipes: a later one counts only with more points.
+    first = F.get("_scored", F.lit(0))
+    best = F.aggregate("_scored", first, lambda top, s: F.when(s["score"] > top["score"], s).otherwise(top))
     out = scored.withColumn("_best", best)
     score = F.coalesce(F.col("_best.score"), F.lit(0))
     found = F.col("_best").isNotNull()

@@ -159,9 +159,14 @@ def drop_paused(queue: DataFrame, breaker: DataFrame, force_site: str | None = N
 
 
 def upsert_latest(existing: DataFrame, updates: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row per key: the last update by ``order``, else the existing row."""
-    last = updates.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
-    return existing.join(last.select(key), key, "left_anti").unionByName(last)
+    """One row per key: the last update by ``order``, else the existing row.
+
+    Both meet in one window, so the updates are computed once.  Rows of ``existing`` without a key stay; of
+    updates without one the last is added.  A table at rest is merged bucket by bucket (``stored.KeyedTable``).
+    """
+    both = existing.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
+    ranked = both.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_new"), *order)))
+    return ranked.where((F.col("_rank") == 1) | (F.col(key).isNull() & (F.col("_new") == 0))).drop("_new", "_rank")
 
 
 def _selected(table: str, rows: DataFrame, pages: DataFrame, site: str | None, except_version: str | None, older_than) -> DataFrame:

@@ -12,6 +12,8 @@ from .state import set_content_type, upsert_latest, validate_queue
 
 VALIDATOR_VERSION = "v1"
 LEAST_BYTES, LEAST_TEXT = 5000, 500
+#: Bytes of queue rows that are sent to every task.
+BROADCAST_BYTES = 8 << 20
 #: Blocker fingerprints in order, each with its reason.
 FINGERPRINTS = (
     ("cf-challenge-running", "cf-challenge detected"),
@@ -25,6 +27,7 @@ FINGERPRINTS = (
     ("Please verify you are a human", "human verification page"),
     ("cf-mitigated", "cf-mitigated detected"),
 )
+#: Fixed value: the pattern of a canonical link.
 CANONICAL = r"(?i)<link[^>]+rel=[\"']canonical[\"'][^>]+href=[\"']([^\"']+)[\"']"
 
 
@@ -48,8 +51,8 @@ def type_rank(name: Column) -> Column:
 
 
 def page_type(facts: Column) -> tuple[Column, Column]:
-    """(type, reason): the better of JSON-LD and microdata, JSON-LD on ties; null without either."""
-    a, b = facts["jsonld_type"], facts["microdata_type"]
+    """(type, reason): the better of JSON-LD and microdata, JSON-LD on ties; null without either.  An empty type is none."""
+    a, b = F.nullif(facts["jsonld_type"], F.lit("")), F.nullif(facts["microdata_type"], F.lit(""))
     first = a.isNotNull() & (type_rank(a) <= type_rank(b))
     kind = F.when(first, a).otherwise(b)
     return kind, F.when(first, F.concat(F.lit("JSON-LD @type: "), a)).otherwise(F.concat(F.lit("microdata @type: "), b))
@@ -89,9 +92,23 @@ def evaluate(pages: DataFrame) -> DataFrame:
     return classify_pages(validate(pages.withColumn("facts", page_facts(F.col("html"))))).drop("html")
 
 
-def join_html_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """rows with html by html_path; rows without a cached page keep a null html."""
-    return rows.join(cache.select(F.col("html_path").alias("_path"), "html"), F.col("html_path") == F.col("_path"), "left").drop("_path")
+def join_html_cache(rows: DataFrame, cache: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with html by html_path; rows without a cached page keep a null html.
+
+    No page is shuffled.  The rows, narrow as they are, are written and counted; while they take at most
+    ``broadcast_bytes`` they go to every task that scans the cache, and rows without a page are found over its path column.
+    Beyond it they are dealt as the cache is, which for a table of ``write_bucketed_cache`` moves the rows
+    alone; a cache without buckets is dealt too.
+    """
+    rows = durable(rows)
+    pages = cache.select(F.col("html_path").alias("_path"), "html")
+    on = F.col("html_path") == F.col("_path")
+    size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in rows.schema), F.lit(0)))).first()[0] or 0
+    if size > broadcast_bytes:
+        return rows.join(pages, on, "left").drop("_path")
+    found = pages.join(F.broadcast(rows), on).select(*rows.columns, "html")
+    without = rows.join(cache.select(F.col("html_path").alias("_path")), on, "left_anti").withColumn("html", F.lit(None).cast("string"))
+    return found.unionByName(without)
 
 
 def transitions(evaluated: DataFrame) -> DataFrame:

@@ -270,14 +270,14 @@ def l2(spark, d):
     return frontier(spark, d).select("id", labels.parse_label_response(F.expr(_RAW)).alias("label"))
 
 
-def _fake_labeller(messages):
+def _fake_labeller(message: str) -> str:
     """Deterministic: recipes by path, junk for videos, an unknown label for stories."""
-    return messages.map(lambda m: '{"label": "likely_junk"}' if "/videos/" in m else '{"label": "nonsense"}' if "/story/" in m else '{"label": "likely_drink_recipe"}')
+    return '{"label": "likely_junk"}' if "/videos/" in message else '{"label": "nonsense"}' if "/story/" in message else '{"label": "likely_drink_recipe"}'
 
 
 @query("l3_label_urls", "SELECT id, CASE WHEN content_type IS NOT NULL THEN content_type WHEN contains(url, '/videos/') THEN 'likely_junk' WHEN contains(url, '/story/') THEN NULL ELSE 'likely_drink_recipe' END AS content_type FROM {frontier}")
 def l3(spark, d):
-    none = spark.createDataFrame([], "page_id long, run_id long, label string, model string, prompt_version string, raw_response string, evaluated_at timestamp, pages_content_type_before string")
+    none = spark.createDataFrame([], "page_id long, run_id long, label string, model string, prompt_version string, raw_response string, latency_ms long, evaluated_at timestamp, pages_content_type_before string")
     return labels.label_urls(frontier(spark, d), none, extract_runs(spark, d), _fake_labeller, "fake", "v1", 1, NOW)[0].select("id", "content_type")
 
 

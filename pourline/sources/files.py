@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..shared import durable
 
+_SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _bad string"
+
 
 def read_sitemaps(spark: SparkSession, path: str, site: str) -> DataFrame:
     """(site, url, sitemap_source) of local sitemap files, .xml or .xml.gz; the source is the file's name."""
@@ -20,13 +22,17 @@ def looks_like_sitemap(xml: Column) -> Column:
     return F.substring(head, 1, 100).contains("<?xml") | F.substring(head, 1, 200).rlike("<urlset|<sitemapindex")
 
 
-def _locs(xml: str, parent: str) -> Column:
-    return F.expr(f"""xpath({xml}, '//*[local-name()="{parent}"]/*[local-name()="loc"]/text()')""")
-
+def parsed_sitemaps(docs: DataFrame) -> DataFrame:
+    """docs(url, xml) -> (doc, children, pages): the locations of the child sitemaps and of the pages of each sitemap.
 
-def _well_formed(docs: DataFrame) -> DataFrame:
-    """docs(url, xml) that look like sitemaps and are complete; the others add nothing and fail nothing."""
-    return docs.where(looks_like_sitemap(F.col("xml")) & F.col("xml").rlike(r"(?s)</(?:\w+:)?(?:urlset|sitemapindex)>\s*$"))
+    XML is parsed as a record of its own with its errors kept beside it, so a text that is no XML, breaks off, has a bare
+    ``&`` or an entity that XML does not know gives no row and stops nothing.  Entities that a document declares itself
+    are not expanded: it counts as malformed.  Namespaces and their prefixes are passed over.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}
+    read = docs.where(looks_like_sitemap(F.col("xml"))).select(F.col("url").alias("doc"), F.from_xml("xml", _SITEMAP, options).alias("x"))
+    locs = lambda items: F.filter(F.transform(F.coalesce(items, F.array().cast("array<struct<loc:string>>")), lambda i: F.trim(i["loc"])), lambda t: t != "")
+    return read.where("x._bad IS NULL").select("doc", locs(F.col("x.sitemap")).alias("children"), locs(F.col("x.url")).alias("pages"))
 
 
 def expand_sitemap_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -36,9 +42,7 @@ def expand_sitemap_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
     given.  Missing and malformed documents add nothing.  Each level is one equi-join, and
     levels follow until one names no new document.
     """
-    known = _well_formed(docs).select(
-        F.col("url").alias("doc"), _locs("xml", "sitemap").alias("children"), _locs("xml", "url").alias("pages")
-    )
+    known = parsed_sitemaps(docs)
     frontier, visited, out = roots.select(F.col("url").alias("doc")).distinct(), None, None
     while True:
         level = durable(known.join(frontier, "doc", "left_semi"))
@@ -48,7 +52,7 @@ def expand_sitemap_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = durable(level.select(F.explode("children").alias("doc")).distinct().join(visited, "doc", "left_anti"))
         if frontier.isEmpty():
             break
-    return out.select(F.trim("url").alias("url"), "sitemap_source")
+    return out
 
 
 def read_eval_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,3 +69,11 @@ def read_html_tree(spark: SparkSession, root: str) -> DataFrame:
 def write_html_cache(pages: DataFrame, path: str) -> None:
     """Cached pages (site, url, html_path, html) as Parquet by site; a site of any size is spread over its tasks' files."""
     pages.select("site", "url", "html_path", "html").write.mode("append").partitionBy("site").parquet(path)
+
+
+def write_bucketed_cache(pages: DataFrame, table: str, buckets: int) -> None:
+    """Cached pages (html_path, html, …) as a table in buckets by html_path, sorted within them.
+
+    A join on html_path reads the buckets as they lie; ``buckets`` is the cache's size over what a task should read.
+    """
+    pages.repartition(buckets, "html_path").write.mode("overwrite").bucketBy(buckets, "html_path").sortBy("html_path").saveAsTable(table)

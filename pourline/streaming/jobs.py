@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.state import upsert_latest
 from ..operators.validation import eval_rows, evaluate
+from ..shared import durable
 
 WINDOW, THRESHOLD = 20, 0.4
 
@@ -43,7 +44,7 @@ def stream_validate(pages: DataFrame, runs_path: str, checkpoint: str, run_id: i
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        validated, scored = eval_rows(evaluate(batch), run_id, now)
+        validated, scored = eval_rows(durable(evaluate(batch)), run_id, now)  # both read it; pages are parsed once
         rows = validated.join(scored.select("page_id", "label", "score"), "page_id").withColumn("batch", F.lit(number))
         rows.drop("batch").write.mode("overwrite").parquet(f"{runs_path}/batch={number}")
 

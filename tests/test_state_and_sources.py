@@ -42,9 +42,9 @@ def test_upsert_is_idempotent_and_unknown_tables_are_refused(spark):
 
 def test_labeller_without_any_label_fails(spark):
     pages = spark.createDataFrame([(1, "s", "u", None, None)], "id long, site string, url string, sitemap_source string, content_type string")
-    none = spark.createDataFrame([], "page_id long, run_id long, label string, model string, prompt_version string, raw_response string, evaluated_at timestamp, pages_content_type_before string")
+    none = spark.createDataFrame([], "page_id long, run_id long, label string, model string, prompt_version string, raw_response string, latency_ms long, evaluated_at timestamp, pages_content_type_before string")
     with pytest.raises(RuntimeError):
-        labels.label_urls(pages, none, spark.createDataFrame([], "page_id long, outcome string"), lambda m: m.map(lambda _: "x"), "m", "v", 1, "2024-01-01")
+        labels.label_urls(pages, none, spark.createDataFrame([], "page_id long, outcome string"), lambda _: "x", "m", "v", 1, "2024-01-01")
 
 
 def test_rules_see_earlier_changes_but_not_in_a_dry_run(spark):
