@@ -20,6 +20,7 @@ from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .token_files import token_files
 from .warc import archive
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -136,6 +137,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f"""
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -161,6 +166,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
