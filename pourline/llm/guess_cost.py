@@ -27,6 +27,7 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("4@8310!$57", "aabeioisst")
 SEGMENT = 0.3
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d))")
+_YEAR = re.compile(r"(?:19|20)\d\d")
 _NEXT = {}
 for _row in (*ROWS, "abcdefghijklmnopqrstuvwxyz", "0123456789"):
     for _a, _b in zip(_row, _row[1:], strict=False):
@@ -75,58 +76,86 @@ def vocabulary_words(path: str) -> tuple[str, ...]:
     return tuple(w for w in ends if len(w) >= 3 and w.isalpha())
 
 
-class Runs:
-    """How far repeats and walks reach from every place of a value; one pass for each block size and direction."""
-
-    def __init__(self, value: str):
-        n = len(value)
-        # Letters one by one: the lower case of a whole text may be longer than the text.
-        self.low = low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
-        self.plain = low.translate(LEET)
-        self.equal = []
-        for block in range(1, LONGEST_BLOCK + 1):
-            run = [0] * (n + 1)
-            for i in range(n - block - 1, -1, -1):
-                run[i] = run[i + 1] + 1 if value[i] == value[i + block] else 0
-            self.equal.append(run)
-        self.walk = [1] * n
-        up, down = 1, 1
-        for i in range(n - 2, -1, -1):
-            step = _NEXT.get((low[i], low[i + 1]), ())
-            up, down = up + 1 if 1 in step else 1, down + 1 if -1 in step else 1
-            self.walk[i] = max(up, down)
-
-
-def segments(value: str, i: int, runs: Runs, words: Dictionary = COMMON) -> list[tuple[int, float, str]]:
-    """(length, cost, kind) of every segment that starts at i."""
-    out = [(1, _one(value[i]), "brute")]
-    for low, extra in ((runs.low, 0.0), (runs.plain, log10(4))):
+class Run:
+    """The open repeats of one block size, or walks of one direction, that may end at the place now reached.
+
+    A segment from start to end costs ``least[start] + base + log10(units)``, where units grow with its length.  The
+    logarithm grows ever slower, so a start that an earlier one undercuts at its own shortest segment is undercut at
+    all later ends and is never kept: few starts are left, however long the run.
+    """
+
+    def __init__(self, unit: int, shortest: int):
+        self.unit, self.shortest = unit, shortest  # characters of a unit, units of the shortest segment
+        self.starts: list[list[int]] = [[] for _ in range(unit)]  # by their place within a unit
+
+    def clear(self) -> None:
+        if any(self.starts):
+            self.starts = [[] for _ in range(self.unit)]
+
+    def add(self, start: int, least: list[float]) -> None:
+        held, bound = self.starts[start % self.unit], least[start] + log10(self.shortest)
+        if all(least[i] + log10((start - i) // self.unit + self.shortest) > bound for i in held):
+            held.append(start)
+
+    def cheapest(self, end: int, least: list[float]) -> float:
+        """The least of ``least[start] + log10(units)`` over the starts of segments that end here."""
+        out = float("inf")
+        for i in self.starts[end % self.unit]:
+            units = (end - i) // self.unit
+            if units >= self.shortest:
+                out = min(out, least[i] + log10(units))
+        return out
+
+
+def words_at(value: str, low: str, plain: str, i: int, words: Dictionary) -> list[tuple[int, float]]:
+    """(length, cost) of every word that starts at i, as it is written or with marks for letters."""
+    out = []
+    for text, extra in ((low, 0.0), (plain, log10(4))):
         k = 1
-        while i + k <= len(value) and (word := low[i : i + k]) in words.beginnings:
+        while i + k <= len(value) and (word := text[i : i + k]) in words.beginnings:
             if word in words.costs:
-                case = 0.0 if value[i : i + k].islower() else log10(3)
-                out.append((k, words.costs[word] + extra + case, "word"))
+                out.append((k, words.costs[word] + extra + (0.0 if value[i : i + k].islower() else log10(3))))
             k += 1
-    if m := _DATE.match(value, i):
-        out.append((m.end() - i, log10(365 * 120), "date"))
-        if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
-            out.append((4, log10(120), "date"))
-    for block, run in enumerate(runs.equal, 1):
-        times = run[i] // block + 1
-        if times * block >= 3 and times > 1:
-            out.append((times * block, sum(map(_one, value[i : i + block])) + log10(times), "repeat"))
-    if (k := runs.walk[i]) >= 3:
-        out.append((k, log10(47 * 2 * k), "walk"))
     return out
 
 
+def dates_at(value: str, i: int) -> list[tuple[int, float]]:
+    """(length, cost) of every date that starts at i; a year alone has fewer guesses."""
+    if not value[i].isdigit():
+        return []
+    out = [(k, log10(365 * 120)) for k in range(3, 11) if i + k <= len(value) and _DATE.fullmatch(value, i, i + k)]
+    return [*out, (4, log10(120))] if _YEAR.match(value, i) else out
+
+
 def guess_cost(value: str, words: Dictionary = COMMON) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty one."""
-    least, runs = [0.0] + [float("inf")] * len(value), Runs(value)
-    for i in range(len(value)):
-        for length, cost, _ in segments(value, i, runs, words):
-            # Single characters in a row share one brute-force segment.
-            total = least[i] + cost + (SEGMENT if length > 1 else 0.0)
-            if total < least[i + length]:
-                least[i + length] = total
+    """log10 of the guesses that the cheapest segmentation of value needs; 0 for an empty one.
+
+    Every word, date, walk and repeat counts at each of its lengths, from three characters on.  Exact below LEAST_COST;
+    at or above it a repeat of a longer block could be cheaper, but not below LEAST_COST.
+    """
+    n = len(value)
+    # Letters one by one: the lower case of a whole text may be longer than the text.
+    low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
+    plain = low.translate(LEET)
+    least, sums = [0.0] + [float("inf")] * n, [0.0]
+    repeats = [Run(block, 3 if block == 1 else 2) for block in range(1, LONGEST_BLOCK + 1)]
+    walks = {1: Run(1, 3), -1: Run(1, 3)}
+    for end in range(n + 1):
+        if end:
+            sums.append(sums[-1] + _one(value[end - 1]))
+            least[end] = min(least[end], least[end - 1] + _one(value[end - 1]))  # single characters in a row share one segment
+            step = _NEXT.get((low[end - 2], low[end - 1]), ()) if end > 1 else ()
+            for way, run in walks.items():
+                if way not in step:
+                    run.clear()
+                run.add(end - 1, least)
+                least[end] = min(least[end], run.cheapest(end, least) + log10(47 * 2) + SEGMENT)
+            for block, run in enumerate(repeats[:end], 1):
+                if end <= block or value[end - 1] != value[end - 1 - block]:
+                    run.clear()
+                run.add(end - block, least)
+                least[end] = min(least[end], run.cheapest(end, least) + sums[end] - sums[end - block] + SEGMENT)
+        if end < n:
+            for length, cost in words_at(value, low, plain, end, words) + dates_at(value, end):
+                least[end + length] = min(least[end + length], least[end] + cost + SEGMENT)
     return least[-1]
