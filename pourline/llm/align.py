@@ -20,9 +20,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ BUCKET_PAIRS = 1 << 16
 MEMORY_UNITS, LONGEST_UNIT = 300_000, 64
 #: Characters of units that are encoded in one text.
 JOINED_CHARS = 2000
-#: Different pairs that a task folds before it writes them.
+#: Different pairs that a worker numbers before it starts anew.
 FOLDED_PAIRS = 1 << 20
 #: Vectors that are summed into one.
 FAN_IN = 16
@@ -140,9 +141,9 @@ class Pair:
 
 @dataclass
 class Aligned:
-    """Units, or texts, one after another: links as pairs of ids with the number of links of each, counts, and groups as text."""
+    """Units one after another: the linked pairs as numbers of the worker's, how many each has, counts, and groups as text."""
 
-    pairs: np.ndarray
+    codes: np.ndarray
     n_links: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
@@ -151,15 +152,21 @@ class Aligned:
     exact: np.ndarray
 
 
-def align(tokenizers: Pair, units: list[str]) -> Aligned:
-    """Every unit on its own.  A unit whose tokens do not spell it is not exact and has nothing."""
+def _different(values: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats, by a sort (much faster here than numpy's unique, which hashes)."""
+    out = np.sort(values)
+    return out[np.concatenate([np.ones(min(len(out), 1), bool), out[1:] != out[:-1]])]
+
+
+def align(tokenizers: Pair, units: list[str], number: Callable[[np.ndarray], np.ndarray]) -> Aligned:
+    """Every unit on its own; ``number`` gives pairs their numbers.  A unit whose tokens do not spell it is not exact and has nothing."""
     a, b, exact = tokenizers.spelled(units)
     end_a, end_b = np.cumsum(tokenizers.sizes_a[a]), np.cumsum(tokenizers.sizes_b[b])
     sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
     bounds = np.concatenate([[0], np.cumsum(np.where(exact, sizes, 0))])  # where units end, in bytes of the exact ones
-    cuts = np.union1d(end_a, end_b)  # every stretch between two cuts lies in one token of each side
+    cuts = _different(np.concatenate([end_a, end_b]))  # every stretch between two cuts lies in one token of each side
     pairs = (a[np.searchsorted(end_a, cuts)] << 32) | b[np.searchsorted(end_b, cuts)]
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
+    both = end_b[end_a[np.minimum(np.searchsorted(end_a, end_b), len(end_a) - 1)] == end_b] if len(end_a) else end_b
     n_a, n_b, n_links, n_groups = (np.diff(np.searchsorted(ends, bounds, "right")) for ends in (end_a, end_b, cuts, both))
     # Groups as text: the tokens by group and side, each with the mark that follows it.
     side = np.concatenate([2 * np.searchsorted(both, end_a), 2 * np.searchsorted(both, end_b) + 1])
@@ -173,7 +180,7 @@ def align(tokenizers: Pair, units: list[str]) -> Aligned:
     said = text[np.argsort(side, kind="stable")].tolist()
     ends = np.cumsum(n_a + n_b).tolist()
     groups = ["".join(said[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends, strict=False)]
-    return Aligned(pairs, n_links, n_a, n_b, n_groups, groups, exact)
+    return Aligned(number(pairs), n_links, n_a, n_b, n_groups, groups, exact)
 
 
 def cut_units(text: str) -> list[str]:
@@ -190,45 +197,84 @@ def cut_units(text: str) -> list[str]:
 class Memory:
     """Alignments of units met before, in flat arrays; ``numbers`` gives a unit's place in them.
 
-    ``epoch`` changes when all is forgotten.  Units too long to be met often are aligned for the step
-    alone and follow the ``size`` remembered ones.
+    When they are too many, those met once since the last time are forgotten.  Units too long to be met often
+    are aligned for the step alone and follow the ``size`` remembered ones.  Pairs are numbered as they come;
+    ``pairs`` has the pair of each number.
     """
 
     def __init__(self, tokenizers: Pair, most: int = MEMORY_UNITS):
-        self.tokenizers, self.most, self.epoch = tokenizers, most, -1
-        self.clear()
+        self.tokenizers, self.most = tokenizers, most
+        self.start_anew()
 
-    def clear(self) -> None:
+    def start_anew(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat = align(self.tokenizers, [])
-        self.size = 0
-        self.epoch += 1
+        self.codes: dict[int, int] = {}
+        self.pairs = np.empty(0, np.int64)
+        self.flat = self._align([])
+        self.size, self.uses = 0, np.empty(0, np.int64)
+
+    def _align(self, units: list[str]) -> Aligned:
+        return align(self.tokenizers, units, self._number)
+
+    def _number(self, pairs: np.ndarray) -> np.ndarray:
+        different = _different(pairs)
+        known = self.codes
+        own = np.fromiter((known.setdefault(p, len(known)) for p in different.tolist()), np.int64, len(different))
+        fresh = different[own >= len(self.pairs)]
+        self.pairs = np.concatenate([self.pairs, fresh])  # numbers were given in this order
+        return own[np.searchsorted(different, pairs)]
+
+    def _forget(self) -> None:
+        """Keep the units that were met again."""
+        stay = np.flatnonzero(self.uses > 1)
+        if 2 * len(stay) > self.most:
+            stay = stay[-self.most // 2 :]
+        old, kept = self.flat, stay.tolist()
+        names = list(self.numbers)
+        start = np.cumsum(old.n_links) - old.n_links
+        rest = [x[stay] for x in (old.n_links, old.n_a, old.n_b, old.n_groups)]
+        self.flat = Aligned(old.codes[_spread(start[stay], old.n_links[stay])], *rest, [old.groups[k] for k in kept], old.exact[stay])
+        self.numbers = {names[k]: n for n, k in enumerate(kept)}
+        self.size, self.uses = len(kept), np.zeros(len(kept), np.int64)
 
     def __call__(self, units: list[list[str]]) -> tuple[Aligned, np.ndarray, np.ndarray]:
         """(alignments, the place in them of every unit of the texts, units of each text)."""
-        if self.size > self.most:
-            self.clear()
-        known = self.numbers
-        new = list(dict.fromkeys(u for text in units for u in text if u not in known))
+        if len(self.pairs) > FOLDED_PAIRS:
+            self.start_anew()
+        elif self.size > self.most:
+            self._forget()
+        every = list(chain.from_iterable(units))
+        places = np.fromiter(map(self.numbers.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(places < 0).tolist()
+        new = list(dict.fromkeys([every[k] for k in missing]))
         short = [u for u in new if len(u) <= LONGEST_UNIT]
         if short:
-            known.update(zip(short, range(self.size, self.size + len(short)), strict=True))
-            self.flat = _joined(self.flat, align(self.tokenizers, short))
+            self.numbers.update(zip(short, range(self.size, self.size + len(short)), strict=True))
+            self.flat = _joined(self.flat, self._align(short))
             self.size += len(short)
-        flat, find = self.flat, known
+            self.uses = np.concatenate([self.uses, np.zeros(len(short), np.int64)])
+        flat, find = self.flat, self.numbers
         if len(short) < len(new):
             long = [u for u in new if len(u) > LONGEST_UNIT]
-            flat = _joined(flat, align(self.tokenizers, long))
-            find = ChainMap(dict(zip(long, range(self.size, self.size + len(long)), strict=True)), known)
-        counts = np.fromiter(map(len, units), np.int64, len(units))
-        return flat, np.fromiter((find[u] for text in units for u in text), np.int64, int(counts.sum())), counts
+            flat = _joined(flat, self._align(long))
+            find = ChainMap(dict(zip(long, range(self.size, self.size + len(long)), strict=True)), find)
+        places[missing] = [find[every[k]] for k in missing]
+        self.uses += np.bincount(places[places < self.size], minlength=self.size)
+        return flat, places, np.fromiter(map(len, units), np.int64, len(units))
 
 
 def _joined(first: Aligned, second: Aligned) -> Aligned:
-    numbers = [np.concatenate([getattr(first, f), getattr(second, f)]) for f in ("pairs", "n_links", "n_a", "n_b", "n_groups")]
+    numbers = [np.concatenate([getattr(first, f), getattr(second, f)]) for f in ("codes", "n_links", "n_a", "n_b", "n_groups")]
     return Aligned(*numbers, first.groups + second.groups, np.concatenate([first.exact, second.exact]))
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of stretches of so many values, one after another."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 @lru_cache(2)
 def _memory(path_a: str, path_b: str) -> Memory:
     """The worker's memory for two tokenizer files; workers outlive tasks."""
@@ -274,35 +320,27 @@ def _count_pairs(path_a: str, path_b: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(path_a, path_b)
-        held, n_held, waiting, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            pairs, at = np.unique(np.concatenate([held, *(p for p, _ in waiting)]), return_inverse=True)
-            return pairs, np.bincount(at, np.concatenate([n_held, *(n for _, n in waiting)]), len(pairs)).astype(np.int64)
+        known, counts = memory.pairs, np.zeros(0, np.int64)
 
         def rows() -> Iterator[pa.RecordBatch]:
+            held = np.flatnonzero(counts)
             if len(held):
-                yield pa.RecordBatch.from_arrays([pa.array(_bucket_hash(held)), pa.array(held), pa.array(n_held)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket_hash(known[held])), pa.array(known[held]), pa.array(counts[held])], schema=schema)
 
         for _, texts in _texts_of(batches):
-            flat, places, counts = _step(memory, texts)
+            flat, places, per_text = _step(memory, texts)
+            if len(memory.pairs) < len(known) or (memory.pairs[: len(known)] != known).any():  # numbers were given anew
+                yield from rows()
+                counts = np.zeros(0, np.int64)
+            known = memory.pairs
             start = np.cumsum(flat.n_links) - flat.n_links
-            text = np.repeat(np.arange(len(texts)), counts)
-            once = np.unique((text << 32) | places)  # a unit counts once a text
+            once = _different((np.repeat(np.arange(len(texts)), per_text) << 32) | places)  # a unit counts once a text
             text, places = once >> 32, once & 0xFFFFFFFF
             links = flat.n_links[places]
-            pairs = flat.pairs[_spread(start[places], links)]
-            different, code = np.unique(pairs, return_inverse=True)
-            once = np.unique((np.repeat(text, links) << 32) | code)
-            waiting.append((different, np.bincount(once & 0xFFFFFFFF, minlength=len(different)).astype(np.int64)))
-            size += len(different)
-            if size >= FOLDED_PAIRS:
-                held, n_held = fold()
-                waiting, size = [], 0
-                if len(held) >= FOLDED_PAIRS:
-                    yield from rows()
-                    held, n_held = np.empty(0, np.int64), np.empty(0, np.int64)
-        held, n_held = fold()
+            once = _different((np.repeat(text, links) << 32) | flat.codes[_spread(start[places], links)])
+            found = np.bincount(once & 0xFFFFFFFF, minlength=len(known))
+            found[: len(counts)] += counts
+            counts = found
         yield from rows()
 
     return run
@@ -462,29 +500,20 @@ def _look_up(path_a: str, path_b: str, uris: dict[int, str], bits: int, count_ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, counts = _memory(path_a, path_b), Counts(Buckets(uris, bits), count_uris, tops)
-        epoch, best, total, uncounted = -1, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        known, count, top = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         for ids, texts in _texts_of(batches):
             flat, places, per_text = _step(memory, texts)
-            if memory.epoch != epoch:
-                epoch, best, total, uncounted = memory.epoch, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-            done, n_new = len(best), len(flat.n_links) - len(best)
-            if n_new:  # counts of the units that were not met before
-                n, top = counts.of(flat.pairs[int(flat.n_links[:done].sum()) :])
-                unit = np.repeat(np.arange(n_new), flat.n_links[done:])
-                best = np.concatenate([best, np.bincount(unit[top], minlength=n_new)])
-                sums = np.zeros(n_new, np.int64)
-                np.add.at(sums, unit, n)
-                total = np.concatenate([total, sums])
-                uncounted = np.concatenate([uncounted, np.bincount(unit[n < 0], minlength=n_new)])
+            if len(memory.pairs) < len(known) or (memory.pairs[: len(known)] != known).any():  # numbers were given anew
+                count, top = count[:0], top[:0]
+            if len(memory.pairs) > len(count):
+                more, highest = counts.of(memory.pairs[len(count) :])
+                count, top = np.concatenate([count, more]), np.concatenate([top, highest])
+            known = memory.pairs
+            linked = count[flat.codes]
             # Units met only in texts without tokens were not counted, and no other text holds them.
-            _all_known(uncounted[places] == 0)
-            text = np.repeat(np.arange(len(texts)), per_text)
-            columns = []
-            for values in (flat.n_a, flat.n_b, flat.n_groups, flat.n_links, best, total):
-                sums = np.zeros(len(texts), np.int64)
-                np.add.at(sums, text, values[places])
-                columns.append(sums)
-            best, total, uncounted = best[: memory.size], total[: memory.size], uncounted[: memory.size]
+            _all_known(_sums(linked < 0, flat.n_links)[places] == 0)
+            units = (flat.n_a, flat.n_b, flat.n_groups, flat.n_links, _sums(top[flat.codes], flat.n_links), _sums(linked, flat.n_links))
+            columns = [_sums(values[places], per_text) for values in units]
             hashes, at, where = [], 0, places.tolist()
             for n, held in zip(per_text.tolist(), columns[0].tolist(), strict=True):
                 hashes.append(hashlib.sha256(";".join([flat.groups[k] for k in where[at : at + n]]).encode()).hexdigest() if held else "")

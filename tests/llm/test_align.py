@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pourline.llm.align import Pair, align_tokenizers, cut_units
+from pourline.llm.align import Memory, Pair, align_tokenizers, cut_units
 from pourline.llm.perfect_hash import PerfectHash
 from pourline.llm.queries import tokenizer
 
@@ -96,3 +96,21 @@ def test_perfect_hash_is_minimal():
         hashed = PerfectHash.build(keys)
         assert sorted(hashed(keys).tolist()) == list(range(len(keys)))
         assert len(hashed.bits) < 4 * len(keys) + 16
+
+
+def test_a_small_memory_forgets_and_still_aligns(both):
+    rng = random.Random(9)
+    memory = Memory(both, most=12)
+    for _ in range(120):
+        texts = [" ".join(rng.choice(["gin", "sour", "x" * 80, f"w{rng.randrange(300)}", "it's"]) for _ in range(rng.randint(1, 6))) for _ in range(3)]
+        flat, places, counts = memory([cut_units(t) for t in texts])
+        at = 0
+        start = np.cumsum(flat.n_links) - flat.n_links
+        for text, n in zip(texts, counts.tolist(), strict=True):
+            own = places[at : at + n].tolist()
+            at += n
+            a, b, groups, links = plain(both, text)
+            assert ";".join(flat.groups[k] for k in own) == ";".join(groups)
+            found = [p for k in own for p in memory.pairs[flat.codes[start[k] : start[k] + flat.n_links[k]]].tolist()]
+            assert found == [(i << 32) | j for i, j in links]
+        assert memory.size <= 12 + 18
