@@ -13,12 +13,16 @@ from ..operators.stored import KeyedTable, merge_recipes
 from ..operators.validation import html_path, join_html_cache, validate
 from ..shared import new_folder
 from ..sources.files import expand_sitemap_index, write_bucketed_cache
+from ..streaming import jobs
+from ..streaming.frontier import UrlFrontier, discover_to
 from . import adapters as A
 from .adapters import adapted
 from .queries import NOW, ORACLES, QUERIES, eval_rows, extract_runs, frontier, query, recipe_pages
 
 __all__ = ["ORACLES", "QUERIES"]
 
+CUT_LOG = "(SELECT id, site, status, CAST(floor(id * 3 / (1 + (SELECT max(id) FROM {log}))) AS INT) AS part FROM {log})"
+
 #: Buckets of the tables below; a table at rest has its size over what a task should rewrite.
 BUCKETS = 16
 _RUNS = "page_id long, run_id long, validator_version string, evaluated_at timestamp, status string, price double, part long, supp long, qty double, disc double, tax double"
@@ -193,3 +197,39 @@ def s2_malformed(spark, d):
     roots = leaves.groupBy(F.floor(F.col("k") / 1000).alias("r")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
     roots = roots.select(F.concat(F.lit("https://maps/index-"), F.col("r").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "body", F.lit("</sitemapindex>")).alias("xml"))
     return expand_sitemap_index(leaves.select("url", "xml").unionByName(roots), roots.select("url"))
+
+
+@query("w1_discover_buckets", "SELECT DISTINCT url, site FROM {batches}")
+def w1_buckets(spark, d):
+    """Urls in three batches into a frontier of buckets with membership filters."""
+    folder = new_folder(spark, "stream")
+    rows = adapted(spark, d, A.URL_BATCHES).select("url", "site")
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    frontier_at = UrlFrontier(f"{folder}/frontier", BUCKETS)
+    discover_to(stream, frontier_at, f"{folder}/state").awaitTermination()
+    return frontier_at.read(spark).select("url", "site")
+
+
+_PARTS = 3
+
+
+@query("w3_stream_breaker_state", f"""SELECT DISTINCT site FROM (SELECT e.b, l.site, l.status, row_number() OVER (PARTITION BY e.b, l.site ORDER BY l.id DESC) AS rn FROM (VALUES (0), (1), (2)) AS e(b) JOIN {CUT_LOG} l ON l.part <= e.b WHERE l.status <> 'pending') W
+    WHERE rn <= 20 GROUP BY b, site HAVING count(*) = 20 AND count(*) FILTER (WHERE status = 'blocked') > 8""")
+def w3_state(spark, d):
+    """The whole log in three batches of four files each: the sites that trip the breaker at the end of any batch."""
+    folder = new_folder(spark, "stream")
+    log = adapted(spark, d, A.FETCH_LOG)
+    part = F.floor(F.col("id") * _PARTS / (1 + F.col("most"))).cast("int")
+    cut = log.join(F.broadcast(log.agg(F.max("id").alias("most")))).withColumn("part", part).select(*log.columns, "part")
+    for k in range(_PARTS):  # the older first
+        cut.where(F.col("part") == k).drop("part").repartition(4).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    before = spark.conf.get(jobs.ROCKSDB[0])
+    spark.conf.set(*jobs.ROCKSDB)
+    try:
+        out = jobs.stream_breaker_state(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(jobs.ROCKSDB[0], before)
+    return spark.read.schema("site string, blocked long").parquet(f"{folder}/out").select("site")

@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.state import upsert_latest
 from ..operators.validation import eval_rows, evaluate
 from ..shared import durable
 
 WINDOW, THRESHOLD = 20, 0.4
+#: The setting that keeps the state of streams in RocksDB, on disk and not in the executors' heaps.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_discover(urls: DataFrame) -> DataFrame:
@@ -73,3 +76,38 @@ def stream_circuit_breaker(statuses: DataFrame) -> DataFrame:
     return statuses.where("status <> 'pending'").groupBy("site").applyInPandasWithState(
         _ring, "site string, blocked long", "ring string, told boolean", "append", GroupStateTimeout.NoTimeout
     )
+
+
+class _Breaker(StatefulProcessor):
+    """The last WINDOW statuses of a site as a typed list, and whether its pause was told."""
+
+    def __init__(self, quiet_ms: int | None = None):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "id long, status string", self.quiet_ms)
+        self.told = handle.getValueState("told", "told boolean", self.quiet_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        ring = [tuple(x) for x in self.ring.get()] if self.ring.exists() else []
+        for batch in rows:  # late statuses take the place that their id gives them
+            ring = sorted(ring + list(zip(batch["id"].tolist(), batch["status"].tolist(), strict=True)))[-WINDOW:]
+        self.ring.put(ring)
+        blocked = sum(s == "blocked" for _, s in ring)
+        told = self.told.exists()
+        if not told and len(ring) >= WINDOW and blocked / len(ring) > THRESHOLD:
+            self.told.update((True,))
+            yield pd.DataFrame({"site": [key[0]], "blocked": [blocked]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_breaker_state(statuses: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """``stream_circuit_breaker`` with typed state; the session's state store must be RocksDB (``ROCKSDB``).
+
+    With ``quiet_ms`` a site without statuses for so long is forgotten, and may be told again.
+    """
+    rows = statuses.where("status <> 'pending' AND site IS NOT NULL").groupBy("site")
+    mode = "None" if quiet_ms is None else "ProcessingTime"
+    return rows.transformWithStateInPandas(_Breaker(quiet_ms), "site string, blocked long", "append", mode)

@@ -12,6 +12,7 @@ from pourline.operators.extraction import extract_recipes
 from pourline.operators.search_index import SearchIndex
 from pourline.operators.stored import KeyedTable, merge_recipes
 from pourline.operators.validation import evaluate, join_html_cache, page_type
+from pourline.streaming.frontier import UrlFrontier
 from pourline.sources.files import expand_sitemap_index, write_bucketed_cache
 
 
@@ -194,3 +195,17 @@ def test_extraction_parses_a_page_once(spark):
     for name in ("outcomes", "extract_runs", "recipes", "new_recipes"):
         assert "ArrowEvalPython" not in out[name]._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in evaluate(cache.withColumn("url", F.lit("u")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_frontier_reads_only_buckets_that_may_hold_a_url(spark, tmp_path):
+    frontier = UrlFrontier(str(tmp_path / "f"), 8, 1 << 14)
+    urls = lambda a, b: spark.range(a, b).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("s").alias("site"))
+    assert frontier.add(urls(0, 300).unionByName(urls(0, 40))) == []
+    assert frontier.read(spark).count() == 300
+    home = {r["url"]: r["bucket"] for r in frontier.read(spark).collect()}
+    assert frontier.add(urls(300, 340)) in ([], *([b] for b in range(8)))  # a filter of some 40 urls hardly errs
+    assert frontier.add(urls(7, 8).unionByName(urls(400, 402))) == [home["u7"]]
+    assert frontier.add(urls(0, 340)) == list(range(8))  # made again: nothing is added
+    assert frontier.add(spark.createDataFrame([(None, "s")], "url string, site string")) == []
+    got = [r["url"] for r in frontier.read(spark).collect()]
+    assert len(got) == len(set(got)) == 342
