@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.page_facts import page_facts
 from ..operators import dedup, labels, search, taxonomy
 from ..operators.scoring import classify_pages
+from ..operators.structured import jsonld_nodes
 from ..operators.search_index import SearchIndex
 from ..operators.stored import KeyedTable, merge_recipes
 from ..operators.validation import html_path, join_html_cache, validate
@@ -17,6 +18,7 @@ from ..streaming import jobs
 from ..streaming.frontier import UrlFrontier, discover_to
 from . import adapters as A
 from .adapters import adapted
+from .recipe_queries import _NODES
 from .queries import NOW, ORACLES, QUERIES, eval_rows, extract_runs, frontier, query, recipe_pages
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -233,3 +235,21 @@ def w3_state(spark, d):
     finally:
         spark.conf.set(jobs.ROCKSDB[0], before)
     return spark.read.schema("site string, blocked long").parquet(f"{folder}/out").select("site")
+
+
+@query("x2_nodes_without_helper", f"SELECT id, list_transform(nodes, lambda n: CAST(json(n) AS VARCHAR)) AS nodes, id % 17 <> 0 AND id % 5 = 3 AS by_helper FROM {_NODES}")
+def x2_plain(spark, d):
+    """JSON-LD objects of recipe pages by Spark's functions; only pages with a malformed block go through Python."""
+    return jsonld_nodes(recipe_pages(spark, d).select("id", "html")).select("id", "nodes", "by_helper")
+
+
+_EIGHTS = "SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS k FROM orders"
+
+
+@query("t3_closure_of_orders", f"""SELECT a.o_orderkey AS ancestor, b.o_orderkey AS descendant, CAST(b.k - a.k AS INT) AS depth FROM ({_EIGHTS}) a JOIN ({_EIGHTS}) b
+    ON a.o_custkey = b.o_custkey AND CAST(floor(a.k / 8) AS BIGINT) = CAST(floor(b.k / 8) AS BIGINT) AND a.k < b.k""")
+def t3_orders(spark, d):
+    """The closure of chains of eight orders of every customer."""
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    edges = spark.sql(f"SELECT a.o_orderkey AS parent_id, b.o_orderkey AS child_id FROM ({_EIGHTS}) a JOIN ({_EIGHTS}) b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1 AND b.k % 8 <> 0")
+    return taxonomy.taxonomy_closure(edges)

@@ -147,7 +147,11 @@ def x3(spark, d):
     return found.select("id", F.col("facts.microdata").alias("microdata"), F.col("facts.microdata_type").alias("type"))
 
 
-@query("v6_visible_text_len", None)
+_TEXTS = r"""list_filter(string_split_regex(regexp_replace(html, '(?is)(<(script|style|noscript)\b[^>]*>).*?(</(script|style|noscript)>)', '\1\3', 'g'), '<[^>]*>'), lambda t: t <> '')"""
+_DECODED = f"""array_to_string({_TEXTS}, ' ').replace('&quot;', '"').replace('&copy;', '©').replace('&middot;', '·').replace('&amp;', '&')"""
+
+
+@query("v6_visible_text_len", f"SELECT id, CAST(length(regexp_replace({_DECODED}, '^\\s+|\\s+$', '', 'g')) AS INT) AS text_len FROM {{crawl}}")
 def v6(spark, d):
     return adapted(spark, d, A.CRAWL_PAGES).select("id", page_facts(F.col("html"))["text_len"].alias("text_len"))
 
