@@ -51,6 +51,11 @@ _NEUTRAL = re.compile(
     r"\d+|site|page|main|global|primary|secondary|top|bottom|left|right|side|bar|box|block|area|container|wrapper|wrap|inner|outer|holder|"
     r"list|item|links?|buttons?|icons?|form|section|panel|slot|unit|posts?|articles?|stories|content|mobile|desktop|sticky|fixed|thread|byline"
 )
+#: A token with one of these parts is boilerplate whatever its other parts are.
+_STRONG = re.compile(
+    r"cookies?|consent|gdpr|ccpa|newsletters?|notices?|popup|modal|subscribe|subscription|signup|paywall|advert\w*|adsense|sponsored|"
+    r"promos?|breadcrumbs?|sidebar|masthead|disqus|comments|outbrain|taboola|navbar|navigation"
+)
 _READERS = re.compile(r"comments?|disqus|respond|reply|replies")
 _COMMENT_NAME = re.compile(r"comments?|reply|replies|review|ad|promo|related|teaser")
 _GOOD_NAME = re.compile(r"article|content|entry|post|story|text|body|main", re.IGNORECASE)
@@ -66,7 +71,7 @@ SHORT, PASSED_ON = 25, 0.5
 def _boilerplate(token: str) -> bool:
     parts = [p for p in re.split(r"[-_]+", token) if p]
     named = [bool(_NAMED.fullmatch(p)) for p in parts]
-    return any(named) and all(n or _NEUTRAL.fullmatch(p) for n, p in zip(named, parts, strict=True))
+    return any(_STRONG.fullmatch(p) for p in parts) or any(named) and all(n or _NEUTRAL.fullmatch(p) for n, p in zip(named, parts, strict=True))
 
 
 class Tree:
@@ -193,18 +198,19 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _drop_named(tree: Tree, worth: list[float]) -> None:
+def _drop_named(tree: Tree, worth: list[float], own: list[int]) -> None:
     """Drop what its name calls boilerplate, unless it holds most of the page's paragraph points.
 
     Nothing is kept so beside an article or main part of its own, however short that is, and
-    readers' comments must also hold the heading, article or main part, or all points.
+    readers' comments must also hold the heading, article or main part, or all of the page's text.
     """
     if not tree.named:
         return
     n = len(tree.tags)
-    held, titled = list(worth), [t in ("h1", "main") or (t == "article" and i not in tree.named) for i, t in enumerate(tree.tags)]
+    held, size, titled = list(worth), list(own), [t in ("h1", "main") or (t == "article" and i not in tree.named) for i, t in enumerate(tree.tags)]
     for i in range(n - 1, 0, -1):
         held[tree.parents[i]] += held[i]
+        size[tree.parents[i]] += size[i]
         titled[tree.parents[i]] = titled[tree.parents[i]] or titled[i]
     mains = [i for i in range(1, n) if tree.tags[i] in ("article", "main") and not tree.dropped[i] and i not in tree.named]
 
@@ -217,7 +223,7 @@ def _drop_named(tree: Tree, worth: list[float]) -> None:
 
     for i, named in tree.named.items():
         readers = any(_READERS.search(t) for t in named)
-        most = held[i] > 0.5 * held[0] and not any(apart(i, j) for j in mains) and (not readers or titled[i] or held[i] >= held[0] * (1 - 1e-9))
+        most = held[i] > 0.5 * held[0] and not any(apart(i, j) for j in mains) and (not readers or titled[i] or size[i] == size[0])
         tree.dropped[i] = not most
     for i in range(1, n):
         tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parents[i]]
@@ -242,7 +248,7 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
         if in_link[node]:
             own_linked[block[node]] += size
     worth = [(1 + commas[i] + min(own[i] / 100, 3)) * (1 - own_linked[i] / own[i]) if own[i] >= SHORT else 0.0 for i in range(n)]
-    _drop_named(tree, worth)
+    _drop_named(tree, worth, own)
     for node, text in tree.texts:
         if not tree.dropped[node] and not text.isspace():
             size = len(text.strip())
@@ -255,7 +261,7 @@ def _scores(tree: Tree) -> tuple[list[float], list[int], list[int]]:
         links[up] += links[i]
     for i in range(n - 1, 0, -1):
         if tree.tags[i] in ("ul", "ol", "div", "section", "table", "p") and links[i] >= 3 and linked[i] > 0.75 * length[i]:
-            tree.dropped[i] = True
+            tree.dropped[i] = tree.dropped[i] or not tree.in_article[i]  # an article's own lists of links stay
     for i in range(1, n):
         tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parents[i]]
     for i in range(n):

@@ -590,3 +590,53 @@ def test_rules_match_brute_force(odd_docs, no_docs, spark):
         want.add((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)))
     assert got == want
     assert not any(r["kept"] and r["base_failed"] for r in quality_rules(docs).collect()) and quality_rules(no_docs).count() == 0
+
+
+ARTICLE = "<article><h1>A title of the day</h1><p>The first paragraph, long enough to be one, goes on here.</p><p>And a second one, with its commas, too.</p>{}</article>"
+KEPT = "A title of the day The first paragraph, long enough to be one, goes on here. And a second one, with its commas, too."
+NAMED_BLOCKS = ["gdpr-message", "site-notice-text", "newsletter-cta", "cookie-banner", "user-comments", "wp-block-newsletter", "article-comments-list", "ad", "share-buttons", "js-cookie-consent"]
+
+
+def test_named_blocks_go_wherever_they_stand():
+    for name in NAMED_BLOCKS:
+        block = f'<div class="{name}"><p>Words that are no part of it, but long enough to count, are said here.</p></div>'
+        assert main_text(f"<body>{ARTICLE.format(block)}</body>") == KEPT
+        for page in (f"<body>{block}{ARTICLE.format('')}</body>", f"<body>{ARTICLE.format('')}{block}</body>", f"<body><div>{ARTICLE.format('')}{block}</div></body>"):
+            assert main_text(page) == KEPT
+    # A wrapper that holds the text stays, whatever its name.
+    assert main_text(f'<body><div class="layout-with-sidebar">{ARTICLE.format("")}</div></body>') == KEPT
+
+
+def test_comments_never_stand_for_a_short_article():
+    comments = '<div class="user-comments">' + "<p>I liked this one very much, and so did my whole family, thank you.</p>" * 6 + "</div>"
+    assert main_text(f"<body><article><h1>Short</h1><p>Few words.</p></article>{comments}</body>") == "Short Few words."
+    assert main_text(f"<body><div><h1>Short</h1><p>Few words.</p></div>{comments}</body>") == "Short Few words."
+
+
+def test_lists_of_links_in_an_article_stay():
+    links = '<ul><li><a href="/a">One link</a></li><li><a href="/b">Two links</a></li><li><a href="/c">Three links</a></li></ul>'
+    assert main_text(f"<body>{ARTICLE.format(links)}{links}</body>") == f"{KEPT} One link Two links Three links"
+
+
+def test_planted_blocks_leave_the_pages_as_a_plain_reading_has_them(spark):
+    """The article of every given page by a few patterns, against the operator on the page with blocks planted in and about it."""
+    import html as entities
+
+    planted = [f'<div class="{n}"><p>Planted words number {k}, which nobody should keep, whatever their length.</p></div>' for k, n in enumerate(NAMED_BLOCKS)]
+    planted += ["<form><label>Planted</label></form>", "<script>planted()</script>", "<aside><p>Planted, and aside.</p></aside>", '<div style="display:none">Planted</div>']
+    rng, rows, want = random.Random(13), [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        start, end = r["html"].index("<article"), r["html"].index("</article>")
+        inner = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", r["html"][start:end], flags=re.DOTALL)
+        inner = re.sub(r'<div class="ad">.*?</div>', " ", inner, flags=re.DOTALL)
+        inner = re.sub(r"</?(?:p|h\d|div|ul|ol|li|br|article|table|tr|td|th|section)\b[^>]*>", " ", inner)
+        want[r["page_id"]] = " ".join(entities.unescape(re.sub(r"<[^>]+>", "", inner)).split())
+        at = [m.end() for m in re.finditer(r"</(?:p|h1)>", r["html"][start:end])]
+        page, shift = r["html"], start
+        for place in sorted(rng.sample(at, min(2, len(at))), reverse=True):
+            page = page[: shift + place] + rng.choice(planted) + page[shift + place :]
+        page = page.replace("<article", rng.choice(planted) + "<article", 1).replace("</article>", "</article>" + rng.choice(planted), 1)
+        rows.append((r["page_id"], r["url"], page))
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(want) and all(r["text"] == want[r["page_id"]] for r in got)
+    assert sum(p.count("lanted") for _, _, p in rows) > 3 * len(rows) > 0
