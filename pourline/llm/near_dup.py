@@ -97,11 +97,12 @@ def _signatures(width: int, coordinates: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(n),
                         pa.array(prints, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.reshape(-1).view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "print", "elements"],
+                    names=["doc_id", "text_hash", "n_shingles", "print", "elements"],
                 )
 
     return run
@@ -207,25 +208,30 @@ def near_duplicates(
     Linked are documents with 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable, kept marks it.  A null or
     wordless text has an empty set, is linked with nothing and is its own component.
-    Repeated rows are repeated in the result.  A row without an id is judged with no
-    other and has no component.  Column names of docs do not matter.
+    Repeated rows are repeated in the result; rows of one id with different texts are linked
+    each by its own text.  A row without an id is judged with no other and has no component.
+    Column names of docs do not matter.
     """
     if matches is None:
         matches = max(1, math.floor(coordinates * percent / 100 - 4.25 * math.sqrt(coordinates * percent / 100 * (1 - percent / 100))))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
     signed = durable(
-        source.mapInArrow(_signatures(width, coordinates), "doc_id long, n_shingles long, print binary, elements array<long>")
+        source.mapInArrow(_signatures(width, coordinates), "doc_id long, text_hash long, n_shingles long, print binary, elements array<long>")
     )
+    # A class is a set; it is numbered, and its row of the smallest id stands for it.
     classes = durable(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("print")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("elements").alias("elements"))
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("elements").alias("elements"))
+        .select("print", F.monotonically_increasing_id().alias("node"), "row.doc_id", "row.text_hash", "n", "elements")
     )
     edges = _links(source, classes, width, percent, matches)
-    labels = connected_components(edges, "a", "b")
+    labels = connected_components(edges, "a", "b").join(classes.select("node", F.col("doc_id").alias("own")), "node")
+    least = labels.groupBy("component").agg(F.min("own").alias("least"))
     named = (
-        classes.select("print", "node").join(labels, "node", "left")
-        .select(F.col("print").alias("class_print"), F.coalesce("component", "node").alias("component"))
+        classes.select("print", "node", F.col("doc_id").alias("own")).join(labels.join(least, "component").select("node", "least"), "node", "left")
+        .select(F.col("print").alias("class_print"), F.coalesce("least", "own").alias("component"))
     )
     return (
         signed.drop("elements").join(named, (F.col("print") == F.col("class_print")) & F.col("doc_id").isNotNull(), "left")
@@ -234,24 +240,33 @@ def near_duplicates(
     )
 
 
+def _new_name(docs: DataFrame, stem: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, less all but one of each group of near duplicates: that with the smallest id.
 
     Rows whose id is null or not theirs alone are told apart by a hash of id and text in
     place of the id; of rows that are equal in both, one stays.
     """
-    counted = docs.groupBy(doc_id).count()
-    shared = durable(counted.where((F.col("count") > 1) | F.col(doc_id).isNull()).select(F.col(doc_id).alias("__shared_id")))
+    key = _new_name(docs, "row_key")
+    counted = docs.groupBy(F.col(doc_id).alias("shared_id")).agg(F.count("*").alias("rows"))
+    shared = durable(counted.where((F.col("rows") > 1) | F.col("shared_id").isNull()).select("shared_id"))
     if shared.isEmpty():
         found = near_duplicates(docs, width, percent, doc_id=doc_id, text=text)
         return keep_ids(docs, found.where("kept = false").select("doc_id"), doc_id=doc_id, how="left_anti")
-    own = docs.join(shared, F.col(doc_id).eqNullSafe(F.col("__shared_id")), "left_anti")
-    mixed = docs.join(shared, F.col(doc_id).eqNullSafe(F.col("__shared_id")), "left_semi")
+    same = docs[doc_id].eqNullSafe(shared["shared_id"])
+    own, mixed = docs.join(shared, same, "left_anti"), docs.join(shared, same, "left_semi")
     # Hashes are above all ids of bounded size, so a row of its own id is kept before such a row.
     hashed = F.shiftrightunsigned(F.xxhash64(doc_id, text), 2) + F.lit(1 << 61)
-    keyed = own.withColumn("__key", F.col(doc_id).cast("long")).unionByName(mixed.withColumn("__key", hashed).dropDuplicates(["__key"]))
-    found = near_duplicates(keyed, width, percent, doc_id="__key", text=text)
-    return keep_ids(keyed, found.where("kept = false").select("doc_id"), doc_id="__key", how="left_anti").select(*docs.columns)
+    keyed = own.withColumn(key, F.col(doc_id).cast("long")).unionByName(mixed.withColumn(key, hashed).dropDuplicates([key]))
+    found = near_duplicates(keyed, width, percent, doc_id=key, text=text)
+    return keep_ids(keyed, found.where("kept = false").select("doc_id"), doc_id=key, how="left_anti").select(*docs.columns)
 
 
 def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
@@ -292,7 +307,9 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
         pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         .unionByName(long_lists.select("node")).distinct()
     )
-    sets = durable(keep_ids(source, wanted).mapInArrow(_full_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
+    named = classes.join(wanted, "node").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"))
+    texts = source.join(named, (F.col("doc_id") == F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("node", "text")
+    sets = durable(texts.mapInArrow(_full_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
     confirmed = (

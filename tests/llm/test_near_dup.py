@@ -2,7 +2,7 @@ import random
 import re
 
 from pourline.llm.graph import connected_components
-from pourline.llm.near_dup import SMALL_LIST, near_duplicates
+from pourline.llm.near_dup import SMALL_LIST, drop_near_duplicates, near_duplicates
 
 
 def brute(rows, width, percent):
@@ -96,3 +96,19 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140))
+
+
+def test_rows_of_one_id_are_linked_each_by_its_own_text(spark):
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words[:100]), " ".join(words[100:])
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (9, "alone in all of this"), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()) == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (9, 9)]
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, 9, 1, 2), (2, text + " x", 8, 3, 4), (2, "other words here", 7, 5, 6), (3, "some more other words", 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, row_key int, __shared_id int")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2], rows[3]]
