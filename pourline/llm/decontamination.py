@@ -16,10 +16,11 @@ size in every document:
 Items of fewer words than allow a single edit have no edits to bound: their windows are
 looked up whole, by one key of all words.
 
-All this happens where the document is read: the index of a block of the benchmark,
-of at most ``BLOCK`` pieces, is made in a task, written to the shared folder and
-broadcast, and larger benchmarks take several blocks.  No document is shuffled, so
-neither hot passages nor long texts gather anywhere.
+All this happens where the document is read: the index of a block of the benchmark
+is made in a task and written to the shared folder, where the tasks that read documents
+open it; larger benchmarks take several blocks, over each of which a step of documents goes
+with words cut once.  No document is shuffled, so neither hot passages nor long texts
+gather anywhere, and the driver sees the files' names only.
 """
 
 from __future__ import annotations
@@ -28,17 +29,21 @@ import codecs
 import pickle
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh_folder
+from .store import mapped, writing
 from .words import Words, steps
 
 #: Words of a piece at most, and pieces of a block at most.
 LONGEST, BLOCK = 64, 20_000
+#: Blocks' indexes that a worker keeps open.
+OPEN_BLOCKS = 4
 #: Walks, keys of each walk, places of each key.  Keys of one walk fail together where the walk goes astray, so more walks help most.
 WALKS, SAMPLES, BITS = 8, 8, 5
 #: Windows that are embedded at a time.
@@ -181,13 +186,9 @@ class Index:
                 lengths.append(np.full(len(at), size, np.int64))
         return np.concatenate(spots), np.concatenate(lengths)
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item, first word, words, distance) of every item found: of its pieces, the nearest stretch of each text.
-
-        Of pieces or stretches of equal distance for their size, the first in the text counts.
-        """
-        cut = cut_words(texts)
-        own = cut.keys()
+    def found(self, cut: Words) -> dict[tuple[int, int], tuple]:
+        """(text number, item) -> (distance for the piece's size, first word, distance, words): the nearest stretch, of equal ones the first."""
+        texts, own = range(len(cut.counts)), cut.keys()
         at = np.minimum(np.searchsorted(self.vocabulary, own), max(len(self.vocabulary) - 1, 0))
         ids = np.where(self.vocabulary[at] == own, at + 1, 0).astype(np.int32) if len(self.vocabulary) else np.zeros(len(own), np.int32)
         # Between texts stand as many unknown words as the longest piece has.
@@ -216,7 +217,11 @@ class Index:
                 for piece in whole.get(tuple(words[spot : spot + size].tolist()), ()):
                     doc = int(np.searchsorted(begins, spot, "right")) - 1
                     self._keep(best, doc, piece, 0, spot - int(begins[doc]), size)
-        return [(doc, item, first, length, distance) for (doc, item), (_, first, distance, length) in best.items()]
+        return best
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item, first word, words, distance) of every item found: of its pieces, the nearest stretch of each text."""
+        return _rows(self.found(cut_words(texts)))
 
     def _keep(self, best: dict, doc: int, piece: int, distance: int, first: int, length: int) -> None:
         item, _, ids = self.pieces[piece]
@@ -246,10 +251,31 @@ class Index:
             at = last + 1
 
 
-def indexes(spark: SparkSession, benchmark: DataFrame, rate: float, item_id: str, text: str) -> list:
-    """Broadcast indexes of the benchmark's blocks, each made in a task of its own; items without words are not looked for.
+def _rows(best: dict[tuple[int, int], tuple]) -> list[tuple[int, int, int, int, int]]:
+    return [(doc, item, first, length, distance) for (doc, item), (_, first, distance, length) in best.items()]
+
+
+@lru_cache(OPEN_BLOCKS)
+def _index(uri: str) -> Index:
+    """A block's index as its task wrote it; a worker keeps a few."""
+    with mapped(uri) as source:
+        return pickle.loads(source.read())
+
+
+def search_blocks(uris: list[str], texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    """What the blocks' indexes find in texts, whose words are cut once; of an item with pieces in several blocks, the nearest stretch."""
+    cut, best = cut_words(texts), {}
+    for uri in uris:
+        for key, found in _index(uri).found(cut).items():
+            if key not in best or found < best[key]:
+                best[key] = found
+    return _rows(best)
+
 
-    Blocks follow from a running count of pieces over ranges of the items, so each holds at most BLOCK of them.
+def indexes(spark: SparkSession, benchmark: DataFrame, rate: float, item_id: str, text: str, block: int = BLOCK) -> list[str]:
+    """Files of the indexes of the benchmark's blocks, each made and written by a task; items without words are not looked for.
+
+    Pieces are dealt by a hash over so many blocks that one has half of ``block`` pieces on average.
     """
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
 
@@ -268,21 +294,22 @@ def indexes(spark: SparkSession, benchmark: DataFrame, rate: float, item_id: str
 
     pieces = durable(rows.mapInArrow(cut, "item_id long, start long, words binary").withColumn("part", F.spark_partition_id()))
     sizes = sorted((r["part"], r["count"]) for r in pieces.groupBy("part").count().collect())  # one short row a task
-    blocks = max(1, -(-sum(n for _, n in sizes) // BLOCK)) if sizes else 0
+    blocks = max(1, -(-sum(n for _, n in sizes) // block)) if sizes else 0
+    folder = fresh_folder(spark, "benchmark")
 
-    def build(group: pa.Table) -> pa.Table:
+    def build(key: tuple, group: pa.Table) -> pa.Table:
         found = sorted(
             (item if item is not None else -1, item is None, start, raw) for item, start, raw in zip(*(group.column(c).to_pylist() for c in ("item_id", "start", "words")), strict=True)
         )
         index = Index([(None if none else item, start, np.frombuffer(raw, np.uint64)) for item, none, start, raw in found], rate)
-        return pa.table({"index": pa.array([pickle.dumps(index)], pa.binary())})
+        with writing(folder, f"block-{key[0].as_py()}", ".index") as (stream, uri):
+            stream.write(pickle.dumps(index))
+        return pa.table({"uri": [uri]})
 
     if not blocks:
         return []
-    # Half as many pieces a block on average: a hash does not deal evenly.
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("words", "item_id", "start"), F.lit(2 * blocks if blocks > 1 else 1)))
-    made = dealt.groupBy("block").applyInArrow(build, "index binary")
-    return [spark.sparkContext.broadcast(pickle.loads(r["index"])) for r in made.toLocalIterator()]
+    return sorted(r["uri"] for r in dealt.groupBy("block").applyInArrow(build, "uri string").collect())
 
 
 def find_leaks(
@@ -293,6 +320,7 @@ def find_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance): documents that hold an item within rate * words edits.
 
@@ -302,20 +330,20 @@ def find_leaks(
     """
     schema = "doc_id long, item_id long, start_word long, n_words long, distance long"
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for shared in indexes(docs.sparkSession, benchmark, rate, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in steps(batch, 1):
-                    found = sorted(shared.value.search(texts), key=lambda x: (x[0], x[1] is None, x[1] or 0))
-                    columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "start_word", "n_words", "distance"]
-                    )
-
-        out = out.unionByName(source.mapInArrow(run, schema))
-    return out
+    uris = indexes(docs.sparkSession, benchmark, rate, item_id, item_text, block)
+    if not uris:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, 1):
+                found = sorted(search_blocks(uris, texts), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+                columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(columns[0]), *columns[1:]], names=["doc_id", "item_id", "start_word", "n_words", "distance"]
+                )
+
+    return source.mapInArrow(run, schema)
 
 
 def drop_leaks(
@@ -323,13 +351,12 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item; they are judged where they are read."""
     at = docs.columns.index(text)
-    for shared in indexes(docs.sparkSession, benchmark, rate, item_id, item_text):
+    uris = indexes(docs.sparkSession, benchmark, rate, item_id, item_text)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in steps(batch, at):
-                    leaks = {x[0] for x in shared.value.search(texts)}
-                    yield part.filter(pa.array([i not in leaks for i in range(len(texts))], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, at):
+                leaks = {x[0] for x in search_blocks(uris, texts)}
+                yield part.filter(pa.array([i not in leaks for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema) if uris else docs

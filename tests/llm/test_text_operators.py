@@ -640,3 +640,13 @@ def test_planted_blocks_leave_the_pages_as_a_plain_reading_has_them(spark):
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(want) and all(r["text"] == want[r["page_id"]] for r in got)
     assert sum(p.count("lanted") for _, _, p in rows) > 3 * len(rows) > 0
+
+
+def test_blocks_of_the_benchmark_find_what_one_index_finds(spark):
+    known = items(30)
+    rng = random.Random(31)
+    texts = [" ".join([f"z{rng.randrange(90)}" for _ in range(20)] + rng.choice(known)[1].split() + [f"z{rng.randrange(90)}" for _ in range(20)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(known, "item_id long, text string")
+    one, many = (sorted(map(tuple, find_leaks(docs, benchmark, block=b).collect())) for b in (20_000, 6))
+    assert one == many and len(one) >= 60
