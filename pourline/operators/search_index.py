@@ -18,7 +18,10 @@ from ..shared import durable, new_folder
 from .search import matches, search_terms_col, trigrams
 from .stored import KeyedTable
 
-_POSTINGS = "gram string, chunk int, entries array<struct<id:long,version:long>>, gram_block int"
+_POSTINGS = "gram string, chunk int, n int, entries array<struct<id:long,version:long>>, gram_block int"
+#: Grams of a query that more entries hold than so many times its rarest one's are left to the verification: their lists would
+#: cost more than they take away.
+COMMON = 16
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,7 @@ class SearchIndex:
         body = F.concat_ws("\n", "name", "ingredients_json")
         grams = texts.select("id", "version", F.explode(trigrams(body)).alias("gram"), F.pmod(F.xxhash64("id"), F.lit(self.chunks)).cast("int").alias("chunk"))
         lists = grams.groupBy("gram", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", "version"))).alias("entries"))
+        lists = lists.withColumn("n", F.size("entries"))
         lists.withColumn("gram_block", self._block(F.col("gram"))).repartition("gram_block", "chunk").write.mode(mode).partitionBy("gram_block").parquet(path)
 
     def upsert(self, recipes: DataFrame, version: int) -> None:
@@ -70,18 +74,22 @@ class SearchIndex:
     def search(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, q) -> (query_id, id) of the recipes that hold every term; all without terms.
 
-        The lists of all grams of a query meet chunk by chunk and are intersected there; what is left is
-        verified on the stored texts.  Only the folders of the grams asked for are read.
+        The lists of a query's grams, but for the commonest, meet chunk by chunk and are intersected there; what is
+        left is verified on the stored texts.  Only the folders of the grams asked for are read.
         """
         spark = queries.sparkSession
         cut = durable(queries.select("query_id", F.transform(search_terms_col(F.coalesce("q", F.lit(""))), F.lower).alias("terms")))
         asked = cut.where(F.size("terms") > 0)
-        grams = asked.select("query_id", F.array_distinct(F.flatten(F.transform("terms", trigrams))).alias("grams")).withColumn("n_grams", F.size("grams"))
-        grams = grams.select("query_id", "n_grams", F.explode("grams").alias("gram")).withColumn("gram_block", self._block(F.col("gram")))
+        grams = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", trigrams)))).alias("gram")).withColumn("gram_block", self._block(F.col("gram")))
         held = [r[0] for r in grams.select("gram_block").distinct().collect()]  # at most as many as there are folders
         lists = self.postings(spark).where(F.col("gram_block").isin(*held)).drop("gram_block")
+        known = lists.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("entries"))
+        weighed = grams.select("query_id", "gram").join(known, "gram", "left")
+        rarest = weighed.groupBy("query_id").agg(F.min(F.coalesce("entries", F.lit(0))).alias("least")).where("least > 0")  # a gram without entries: no result
+        grams = weighed.join(rarest, "query_id").where(F.col("entries") <= COMMON * F.col("least"))
+        grams = durable(grams.join(grams.groupBy("query_id").agg(F.count("*").alias("n_grams")), "query_id").select("query_id", "n_grams", "gram"))
         # A gram's lists of one chunk, of several versions: their entries together.
-        met = lists.join(grams.drop("gram_block"), "gram").groupBy("query_id", "n_grams", "chunk", "gram").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+        met = lists.join(grams, "gram").groupBy("query_id", "n_grams", "chunk", "gram").agg(F.flatten(F.collect_list("entries")).alias("entries"))
         sets = met.groupBy("query_id", "n_grams", "chunk").agg(F.collect_list("entries").alias("lists")).where(F.size("lists") == F.col("n_grams"))
         common = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.array_distinct(F.get("lists", F.lit(0))), F.array_intersect)
         found = sets.select("query_id", F.explode(common).alias("e")).select("query_id", F.col("e.id").alias("id"), F.col("e.version").alias("version"))
