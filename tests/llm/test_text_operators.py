@@ -650,3 +650,92 @@ def test_blocks_of_the_benchmark_find_what_one_index_finds(spark):
     benchmark = spark.createDataFrame(known, "item_id long, text string")
     one, many = (sorted(map(tuple, find_leaks(docs, benchmark, block=b).collect())) for b in (20_000, 6))
     assert one == many and len(one) >= 60
+
+
+def em_by_rows(rows, rounds):
+    """EM over single rows of votes (-, 0, +) with plain loops: shares, P(vote | class) and P(class | row)."""
+    m = len(rows[0])
+    usual = [[sum(r[k] == v for r in rows) / len(rows) for v in "-0+"] for k in range(m)]
+    member = []
+    for r in rows:
+        alarms = [c == "-" for c in r]
+        member.append([0.1 if any(alarms) else 1.0] + [0.9 * a / max(sum(alarms), 1) for a in alarms])
+    for _ in range(rounds):
+        share = [sum(x[c] for x in member) + 0.1 for c in range(m + 1)]
+        given = [[[sum(x[c] for x, r in zip(member, rows, strict=True) if r[k] == v) + 0.5 * usual[k][j] + 1e-3 for j, v in enumerate("-0+")] for k in range(m)] for c in range(m + 1)]
+        given = [[[v / sum(g) for v in g] for g in own] for own in given]
+        share = [v / sum(share) for v in share]
+        member = []
+        for r in rows:
+            weight = [share[c] * math.prod(given[c][k]["-0+".index(v)] for k, v in enumerate(r)) for c in range(m + 1)]
+            member.append([w / sum(weight) for w in weight])
+    return share, given, member
+
+
+def test_em_agrees_with_single_rows():
+    rng = random.Random(17)
+    rows = ["".join(rng.choice("-0+" if rng.random() < p else "++0") for p in (0.1, 0.5, 0.2, 0.9)) for _ in range(150)]
+    found = estimate(Counter(rows), rounds=7)
+    share, given, member = em_by_rows(rows, 7)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(found.share, share, strict=True))
+    assert all(abs(found.given[c, k, v] - given[c][k][v]) < 1e-9 for c in range(5) for k in range(4) for v in range(3))
+    keys = sorted(set(rows))
+    want = {r: sum(p for p, good in zip(x, found.good, strict=True) if good) for r, x in zip(rows, member, strict=True)}
+    assert all(abs(p - want[k]) < 1e-9 for k, p in zip(keys, found.posterior(keys), strict=True))
+
+
+def fit_by_rows(rows, labels, rounds):
+    """The scorer's weights with plain loops: rows are {feature: value}."""
+    weights, squares, n = {}, {}, len(rows)
+    good = sum(y > 0.5 for y in labels) / n
+    for _ in range(rounds):
+        slope = {}
+        for x, y in zip(rows, labels, strict=True):
+            odds = sum(weights.get(f, 0.0) * v for f, v in x.items())
+            miss = (0.5 / max(good, 1e-3) if y > 0.5 else 0.5 / max(1 - good, 1e-3)) * (y - 1 / (1 + math.exp(-odds)))
+            for f, v in x.items():
+                slope[f] = slope.get(f, 0.0) + miss * v
+        for f in slope:
+            g = slope[f] / n - 1e-5 * weights.get(f, 0.0)
+            squares[f] = squares.get(f, 1e-8) + g * g
+            weights[f] = weights.get(f, 0.0) + 0.5 * g / math.sqrt(squares[f])
+    return weights
+
+
+def features_by_words(text):
+    """Shares of a text's words by feature, a constant, and the share of words equal to the one before."""
+    from pourline.llm.quality_model import word_places
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    out = Counter()
+    for w in words:
+        for f in word_places(w):
+            out[f] += 1 / len(words)
+    out[0] = 1.0
+    out[2] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
+    return out
+
+
+def test_the_classifier_agrees_with_plain_loops(spark):
+    """Votes, EM over single rows, the fit and the verdict, all by plain loops over texts."""
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice(["river", "stone", "the", "of", "Light.", "under,", "window"]) for _ in range(rng.randint(8, 60))) for _ in range(60)]
+    texts += [" ".join(rng.choice(["BUY!!!", "$$$", "###x", "now!!", "CLICK"]) for _ in range(rng.randint(8, 60))) for _ in range(25)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full = [t for t in texts if t]
+    said = ["".join("-0+"[v + 1] for v in row) for row in votes(full).tolist()]
+    model = train(docs)
+    _, _, member = em_by_rows(said, 200)
+    labels = [sum(p for p, good in zip(x, model.estimates.good, strict=True) if good) for x in member]
+    rows = [features_by_words(t) for t in full]
+    weights = fit_by_rows(rows, labels, 120)
+    want = {}
+    for text, x in zip(full, rows, strict=True):
+        want[text] = sum(weights.get(f, 0.0) * v for f, v in x.items())
+    got = {r["doc_id"]: r for r in classify(docs).collect()}
+    for k, text in enumerate(texts):
+        if not text:
+            assert not got[k]["kept"]
+        else:
+            assert abs(got[k]["score"] - want[text]) < 1e-3 and got[k]["kept"] == (want[text] > 0), text
+    assert {got[k]["kept"] for k in range(60)} == {True} and not any(got[k]["kept"] for k in range(60, 85))
