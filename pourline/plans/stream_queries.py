@@ -83,20 +83,26 @@ def w3_log(spark, d):
     return spark.read.schema("site string, blocked long").parquet(f"{folder}/out").select("site")
 
 
+#: The leaf of a page: 50 leaves of 1,000 urls for every 50,000 ids.
+_LEAF = "CAST(floor(id / 50000) * 50 + id % 50 AS BIGINT)"
+
+
 @query(
     "s2_expand_sitemap_index",
-    "SELECT url, concat('https://maps/', CAST(id % 50 AS VARCHAR), '.xml') AS sitemap_source FROM {recipes} WHERE id % 50 <> 7",
+    f"SELECT url, concat('https://maps/', CAST({_LEAF} AS VARCHAR), '.xml') AS sitemap_source FROM {{recipes}} WHERE id % 50 <> 7",
 )
 def s2(spark, d):
-    pages = recipe_pages(spark, d).select((F.col("id") % 50).alias("k"), "url")
-    name = lambda k: F.concat(F.lit("https://maps/"), k.cast("string"), F.lit(".xml"))
+    """Leaves of at most 1,000 urls and indexes of at most 1,000 leaves, whatever the table's size; every fiftieth leaf breaks off, and one is missing."""
+    pages = recipe_pages(spark, d).select(F.expr(_LEAF).alias("k"), "url")
+    name = F.concat(F.lit("https://maps/"), F.col("k").cast("string"), F.lit(".xml"))
     leaves = pages.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))), "").alias("body")).select(
-        name(F.col("k")).alias("url"), F.when(F.col("k") == 7, "<urlset><url>").otherwise(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "body", F.lit("</urlset>"))).alias("xml")
+        "k", name.alias("url"), F.when(F.col("k") % 50 == 7, "<urlset><url>").otherwise(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "body", F.lit("</urlset>"))).alias("xml")
+    )
+    entry = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
+    roots = leaves.groupBy(F.floor(F.col("k") / 1000).alias("r")).agg(F.array_join(F.collect_list(entry), "").alias("body")).select(
+        F.concat(F.lit("https://maps/index-"), F.col("r").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "body", F.lit("<sitemap><loc>https://maps/gone.xml</loc></sitemap></sitemapindex>")).alias("xml")
     )
-    keys = pages.select("k").distinct()
-    entry = F.concat(F.lit("<sitemap><loc>"), name(F.col("k")), F.lit("</loc></sitemap>"))
-    root = keys.agg(F.array_join(F.collect_list(entry), "").alias("body")).select(F.lit("https://maps/index.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), "body", F.lit("<sitemap><loc>https://maps/gone.xml</loc></sitemap></sitemapindex>")).alias("xml"))
-    return expand_sitemap_index(leaves.unionByName(root), root.select("url"))
+    return expand_sitemap_index(leaves.select("url", "xml").unionByName(roots), roots.select("url"))
 
 
 @query("s1_read_sitemaps", "SELECT 'punch' AS site, url, CASE WHEN id % 3 = 0 THEN '.gz' ELSE 'xml' END AS suffix FROM {recipes}")
