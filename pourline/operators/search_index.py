@@ -88,13 +88,13 @@ class SearchIndex:
         rarest = weighed.groupBy("query_id").agg(F.min(F.coalesce("entries", F.lit(0))).alias("least")).where("least > 0")  # a gram without entries: no result
         grams = weighed.join(rarest, "query_id").where(F.col("entries") <= COMMON * F.col("least"))
         grams = durable(grams.join(grams.groupBy("query_id").agg(F.count("*").alias("n_grams")), "query_id").select("query_id", "n_grams", "gram"))
-        # A gram's lists of one chunk, of several versions: their entries together.
-        met = lists.join(grams, "gram").groupBy("query_id", "n_grams", "chunk", "gram").agg(F.flatten(F.collect_list("entries")).alias("entries"))
-        sets = met.groupBy("query_id", "n_grams", "chunk").agg(F.collect_list("entries").alias("lists")).where(F.size("lists") == F.col("n_grams"))
+        # A gram's lists of one chunk, of several versions: their ids together.  An id of an old version is told by the text that is stored now.
+        ids = F.transform("entries", lambda e: e["id"])
+        met = lists.join(grams, "gram").groupBy("query_id", "n_grams", "chunk", "gram").agg(F.flatten(F.collect_list(ids)).alias("ids"))
+        sets = met.groupBy("query_id", "n_grams", "chunk").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == F.col("n_grams"))
         common = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.array_distinct(F.get("lists", F.lit(0))), F.array_intersect)
-        found = sets.select("query_id", F.explode(common).alias("e")).select("query_id", F.col("e.id").alias("id"), F.col("e.version").alias("version"))
-        docs = self.docs.rows(spark)
-        sure = found.join(docs, ["id", "version"]).join(asked, "query_id").where(F.forall("terms", matches)).select("query_id", "id")
+        found = sets.select("query_id", F.explode(common).alias("id"))
+        sure = found.join(self.docs.rows(spark), "id").join(asked, "query_id").where(F.forall("terms", matches)).select("query_id", "id")
         bare = cut.where(F.size("terms") == 0).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(self.chunks - 1))).alias("bucket"))
         every = self.docs.read(spark).select("id", "bucket").join(bare, "bucket").select("query_id", "id")
         return sure.unionByName(every)
