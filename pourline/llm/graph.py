@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -10,33 +14,40 @@ from .common import durable
 MAX_ROUNDS = 100
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, np.zeros(1, np.int64)
+    for batch in batches:
+        n += batch.num_rows
+        total += batch.column(0).to_numpy().sum()
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array(total)], names=["n", "h"])
+
+
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+    """How many edges there are, and their hashes' sum (each task's modulo 2 ** 64), without a shuffle."""
+    rows = edges.select(F.xxhash64("u", "v")).mapInArrow(_sums, "n long, h long").collect()
+    return sum(r["n"] for r in rows), sum(r["h"] for r in rows) % (1 << 64)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     Each round links every node's larger neighbours to its smallest neighbour and
-    then its smaller neighbours likewise.  A round is a few joins on single nodes,
-    partial minima come before each shuffle, and the edge list is checkpointed after
-    it, so neither a component nor an edge list ever has to fit in one task.
+    then its smaller neighbours likewise.  Edges lead from the larger node to the
+    smaller, so the smallest neighbour is the least of a node's own edges, or itself.
+    A round is five shuffles of single nodes and edges, equal edges are dropped before
+    a node's are brought together, and the edge list is checkpointed after it, so
+    neither a component nor an edge list ever has to fit in one task.
     """
     current = durable(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     mark = _mark(current)
     for _ in range(MAX_ROUNDS):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small_least.select("u", F.col("m").alias("v")))
-        )
-        current = durable(small.where("u <> v").distinct())
+        least = current.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = current.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        small = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        ends = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        current = durable(ends.where("u <> v").distinct())
         now = _mark(current)
         if now == mark:
             break

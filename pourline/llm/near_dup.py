@@ -33,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard as zstd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, keep_ids
@@ -47,6 +48,8 @@ SMALL_LIST, HUBS = 64, 3
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 #: Parts over which the documents of one element or hub are dealt in joins.
 SALTS = 16
+#: Bits of the map that tells scanning tasks which texts may be candidates; one that is full passes more texts and loses none.
+CANDIDATE_BITS = 1 << 26
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -108,18 +111,37 @@ def _signatures(width: int, coordinates: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, shared):
+    """Full sets of the texts whose slot is marked in the shared map."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(zstd.ZstdDecompressor().decompress(shared.value), np.uint8)
         for batch in batches:
+            slot = batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((marks[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             for part, texts in steps(batch, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())],
-                    names=["node", "shingles"],
+                    [part.column(0), part.column(2), pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())],
+                    names=["doc_id", "text_hash", "shingles"],
                 )
 
     return run
 
 
+def _slot(doc_id: str, text_hash: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(CANDIDATE_BITS))
+
+
+def _marks(named: DataFrame) -> bytes:
+    """The map of the slots of named rows (own, own_hash), a bit each, compressed; its size is bounded by CANDIDATE_BITS."""
+    marks, place = np.zeros(CANDIDATE_BITS // 8, np.uint8), _slot("own", "own_hash") + 1
+    parts = named.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    for row in parts.collect():
+        at = (row["bucket"] - 1) * len(row["bits"])
+        marks[at : at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return zstd.ZstdCompressor(level=1).compress(marks.tobytes())
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,12 +249,12 @@ def near_duplicates(
         .select("print", F.monotonically_increasing_id().alias("node"), "row.doc_id", "row.text_hash", "n", "elements")
     )
     edges = _links(source, classes, width, percent, matches)
-    labels = connected_components(edges, "a", "b").join(classes.select("node", F.col("doc_id").alias("own")), "node")
-    least = labels.groupBy("component").agg(F.min("own").alias("least"))
-    named = (
-        classes.select("print", "node", F.col("doc_id").alias("own")).join(labels.join(least, "component").select("node", "least"), "node", "left")
-        .select(F.col("print").alias("class_print"), F.coalesce("least", "own").alias("component"))
+    rooted = (
+        classes.select("print", "node", F.col("doc_id").alias("own")).join(connected_components(edges, "a", "b"), "node", "left")
+        .select("print", "own", F.coalesce("component", "node").alias("root"))
     )
+    least = rooted.groupBy("root").agg(F.min("own").alias("component"))
+    named = rooted.join(least, "root").select(F.col("print").alias("class_print"), "component")
     return (
         signed.drop("elements").join(named, (F.col("print") == F.col("class_print")) & F.col("doc_id").isNotNull(), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -278,38 +300,46 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
         .groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("found"))
         .where(F.size("found") >= matches)
-        .select("node", F.transform("found", lambda x: x["element"]).alias("found"))
-        .withColumn("prefix", F.slice("found", F.lit(1), F.size("found") - (matches - 1)))
+        .select("node", F.transform("found", lambda x: x["element"]).alias("found"), (F.size("found") - (matches - 1)).alias("posts"))
     )
+    # The first ``posts`` of the elements found are the prefix; a posting does not hold them twice.
     postings = durable(
         prefixed.join(classes.select("node", "n"), "node")
-        .select("node", "n", "found", "prefix", F.explode("prefix").alias("element"))
+        .select("node", "n", "found", "posts", F.explode(F.slice("found", F.lit(1), F.col("posts"))).alias("element"))
     )
     lists = durable(postings.groupBy("element").agg(F.count("*").alias("m")).where("m > 1"))
 
     left = postings.join(lists.where(F.col("m") <= SMALL_LIST).select("element"), "element")
     x, y = left.alias("x"), left.alias("y")
+    prefix_x, prefix_y = (F.slice(f"{side}.found", F.lit(1), F.col(f"{side}.posts")) for side in ("x", "y"))
     met = x.join(
         y,
         (F.col("x.element") == F.col("y.element"))
         & (F.col("x.node") < F.col("y.node"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.element"))
+        & (F.get(F.array_intersect(prefix_x, prefix_y), F.lit(0)) == F.col("x.element"))
         & (F.size(F.array_intersect("x.found", "y.found")) >= matches),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = durable(met.distinct())
 
     long_lists = durable(
         postings.join(lists.where(F.col("m") > SMALL_LIST).select("element"), "element")
-        .select("element", "node", "n", "found", F.size("prefix").alias("posts"))
+        .select("element", "node", "n", "found", "posts")
     )
     wanted = (
         pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         .unionByName(long_lists.select("node")).distinct()
     )
-    named = classes.join(wanted, "node").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash"))
-    texts = source.join(named, (F.col("doc_id") == F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("node", "text")
-    sets = durable(texts.mapInArrow(_full_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
+    named = durable(classes.join(wanted, "node").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")))
+    # Texts are not shuffled: their tasks make the sets of those that may be candidates, and the join drops the rest.
+    full = (
+        source.where("doc_id IS NOT NULL").select("doc_id", "text", "text_hash", _slot("doc_id", "text_hash"))
+        .mapInArrow(_full_sets(width, source.sparkSession.sparkContext.broadcast(_marks(named))), "doc_id long, text_hash long, shingles binary")
+    )
+    sets = durable(
+        full.join(named, (F.col("doc_id") == F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
+        .dropDuplicates(["own", "own_hash"]).select("node", "shingles")
+    )
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
     confirmed = (

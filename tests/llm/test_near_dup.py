@@ -82,6 +82,34 @@ def test_groups_that_a_long_list_holds_are_told_apart_and_joined(spark, monkeypa
     assert len(set(want.values())) > 1 and {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    jvm, store = context._jvm, context._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_texts_without_a_candidate_are_not_shuffled(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(200)]
+    rows = [*enumerate(texts), (500, texts[3] + " more"), (500, texts[4] + " more"), (501, texts[3] + " more"), (None, texts[3])]
+    before = shuffled_bytes(spark)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    written = sum(v for k, v in shuffled_bytes(spark).items() if k not in before)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None and r["doc_id"] != r["component_id"]) == [(500, 3), (500, 4), (501, 3)]
+    assert written < 0.5 * sum(len(t) for t in texts)
+
+
+def test_a_map_of_candidates_that_is_full_loses_none(spark, monkeypatch):
+    import pourline.llm.near_dup as module
+
+    monkeypatch.setattr(module, "CANDIDATE_BITS", 1 << 15)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(words[:150] + [f"x{i // 2}y{k}" for k in range(100)] + [f"end{i}"])) for i in range(2000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = near_duplicates(odd_docs, width=4).collect()
     assert len(got) == odd_docs.count()
