@@ -202,18 +202,28 @@ def table_bits(tokens: int) -> list[int]:
 
 
 def bit_levels(code: Code, symbols: np.ndarray, hashes: np.ndarray, bits: list[int]) -> Iterator[tuple]:
-    """Level by level of the codes: (tokens whose codes reach it, their bits there, log-odds and probability without context, slots by context)."""
+    """Level by level of the codes: (tokens whose codes reach it, their bits there, log-odds and probability without context, slots by context).
+
+    The tokens of a level are the first ones of the level before.
+    """
     size = code.size[symbols]
     order = np.argsort(size, kind="stable")[::-1]
-    size, codes, starts, hashes = size[order].astype(np.uint32), code.code[symbols[order]], code.start[symbols[order]], hashes[:, order]
+    own = symbols.take(order)
+    size, codes, starts, hashes = size.take(order).astype(np.uint32), code.code.take(own), code.start.take(own), hashes.take(order, axis=1)
     longer = np.cumsum(np.bincount(size, minlength=33)[::-1])[::-1]
     for depth in range(int(size[0]) if len(size) else 0):
         n = int(longer[depth + 1])
         rest = codes[:n] >> (size[:n] - np.uint32(depth + 1))
         salt = ((rest >> np.uint32(1)) + np.uint32(1 << depth)) * _K1
-        slots = [((h[:n] ^ salt) * _K2) >> np.uint32(32 - b) for h, b, deep in zip(hashes, bits, DEEP, strict=True) if depth < deep]
+        slots = []
+        for h, b, deep in zip(hashes, bits, DEEP, strict=True):
+            if depth < deep:
+                slot = h[:n] ^ salt
+                slot *= _K2
+                slot >>= np.uint32(32 - b)
+                slots.append(slot.astype(np.intp))
         at = starts[:n] + depth
-        yield order[:n], (rest & np.uint32(1)).astype(np.int64), code.odds[at], code.p[at], slots
+        yield order[:n], (rest & np.uint32(1)).astype(np.int64), code.odds.take(at), code.p.take(at), slots
 
 
 #: The class of what a slot has seen, for small counts.
@@ -249,15 +259,29 @@ _ZEROS, _ONES = (x.astype(np.float32) for x in _state_counts())
 _STATE_CLASS = _CLASSES[np.minimum(np.rint(_ZEROS + _ONES), 63).astype(np.int64)]
 
 
-def moved(zeros: np.ndarray, ones: np.ndarray, p: np.ndarray, plain: np.ndarray) -> np.ndarray:
-    """By how much counts move log-odds away from those of p; none if nothing was seen."""
+def moved(zeros: np.ndarray, ones: np.ndarray, prior: np.ndarray, other: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """By how much counts, to which prior counts of ones and zeros are added, move log-odds away from plain ones; none if nothing was seen. Counts are overwritten."""
+    ones += prior
+    zeros += other
+    ones /= zeros
+    np.log(ones, out=ones)
+    ones -= plain
+    return ones
+
+
+def priors(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prior counts of ones and of zeros at a probability without context."""
     prior = np.float32(PRIOR) * p
-    return np.log((ones + prior) / (zeros + (np.float32(PRIOR) - prior))) - plain
+    return prior, np.float32(PRIOR) - prior
 
 
 def _place(mixed: np.ndarray) -> np.ndarray:
     """Mixed log-odds to places in the tables above."""
-    return np.rint(np.clip(mixed, -REACH, REACH) * FINE).astype(np.int64) + FINE * REACH
+    mixed = np.clip(mixed, -REACH, REACH)
+    mixed *= FINE
+    place = np.rint(mixed, out=mixed).astype(np.int64)
+    place += FINE * REACH
+    return place
 
 
 class Learner:
@@ -293,26 +317,28 @@ class Learner:
     def learn(self, symbols: np.ndarray, hashes: np.ndarray) -> None:
         low, one = np.int64(0xFFFFFFFF), np.int64(1)
         for _, bit, plain, p, slots in bit_levels(self.code, symbols, hashes, self.bits):
-            odds, classes = [plain], []
+            odds, classes, (prior, other) = [plain], [], priors(p)
             for t, (counts, slot) in enumerate(zip(self.counts, slots, strict=False)):
-                both = counts[slot]
-                ones, zeros = both >> 32, both & low
-                odds.append(moved(zeros.astype(np.float32), ones.astype(np.float32), p, plain))
+                both = counts.take(slot)
+                ones = both >> 32
+                both &= low
+                odds.append(moved(both.astype(np.float32), ones.astype(np.float32), prior, other, plain))
                 if t < 2:
-                    classes.append(_CLASSES[np.minimum(ones + zeros, 63)])
+                    ones += both
+                    classes.append(_CLASSES.take(np.minimum(ones, 63, out=ones)))
             gate = classes[1] * 4 + classes[0]
-            weights = self.weights.astype(np.float32)
-            mixed = weights[:, 0][gate]
+            weights = np.ascontiguousarray(self.weights.T, np.float32)
+            mixed = weights[0].take(gate)
             for i, x in enumerate(odds, 1):
-                mixed += weights[:, i][gate] * x
+                mixed += weights[i].take(gate) * x
             place = _place(mixed)
-            miss = bit - _SQUASH[place]
+            miss = bit - _SQUASH.take(place)
             share = np.maximum(np.bincount(gate, minlength=GATES), 1)
             for i in range(len(odds) + 1):
                 slope = np.bincount(gate, miss * odds[i - 1] if i else miss, GATES) / share
                 self.squares[:, i] += slope**2
                 self.weights[:, i] += RATE * slope / np.sqrt(self.squares[:, i])
-            self.refine += np.bincount((bit * GATES + gate) * CELLS + _CELL[place], minlength=len(self.refine))
+            self.refine += np.bincount((bit * GATES + gate) * CELLS + _CELL.take(place), minlength=len(self.refine))
             add = one << (bit << 5)
             for counts, slot in zip(self.counts, slots, strict=False):
                 np.add.at(counts, slot, add)
@@ -409,15 +435,24 @@ class Model:
         """log10 of every token's code's probability, in UNITs."""
         out, many = np.zeros(len(symbols), np.int64), len(_MIXED)
         for at in range(0, len(symbols), TOKENS):
-            own = np.zeros(len(symbols[at : at + TOKENS]), np.int64)
+            held, all_tokens = np.zeros(len(symbols[at : at + TOKENS]), np.int64), None
             for order, bit, plain, p, slots in bit_levels(self.code, symbols[at : at + TOKENS], hashes[:, at : at + TOKENS], self.bits):
-                said = [t[s] for t, s in zip(self.tables, slots, strict=False)]
-                gate = _STATE_CLASS[said[1]] * 4 + _STATE_CLASS[said[0]]
-                mixed = self.weights[0][gate] + self.weights[1][gate] * plain
+                all_tokens = order if all_tokens is None else all_tokens
+                said, (prior, other) = [t.take(s) for t, s in zip(self.tables, slots, strict=False)], priors(p)
+                gate = _STATE_CLASS.take(said[1]) * 4
+                gate += _STATE_CLASS.take(said[0])
+                mixed = self.weights[0].take(gate)
+                mixed += self.weights[1].take(gate) * plain
                 for weight, state in zip(self.weights[2:], said, strict=False):
-                    mixed += weight[gate] * moved(_ZEROS[state], _ONES[state], p, plain)
-                own[order] += self.costs[(gate + GATES * bit) * many + _place(mixed)]
-            out[at : at + TOKENS] = own
+                    away = moved(_ZEROS.take(state), _ONES.take(state), prior, other, plain)
+                    away *= weight.take(gate)
+                    mixed += away
+                gate += GATES * bit
+                gate *= many
+                gate += _place(mixed)
+                held[: len(order)] += self.costs.take(gate)
+            if all_tokens is not None:
+                out[at + all_tokens] = held
         return out
 
 
