@@ -317,9 +317,11 @@ class Learner:
     def learn(self, symbols: np.ndarray, hashes: np.ndarray) -> None:
         low, one = np.int64(0xFFFFFFFF), np.int64(1)
         for _, bit, plain, p, slots in bit_levels(self.code, symbols, hashes, self.bits):
-            odds, classes, (prior, other) = [plain], [], priors(p)
+            odds, classes, (prior, other), add = [plain], [], priors(p), one << (bit << 5)
             for t, (counts, slot) in enumerate(zip(self.counts, slots, strict=False)):
                 both = counts.take(slot)
+                # Counted as soon as read, while the slots are at hand; what was read stays without this block's.
+                np.add.at(counts, slot, add)
                 ones = both >> 32
                 both &= low
                 odds.append(moved(both.astype(np.float32), ones.astype(np.float32), prior, other, plain))
@@ -339,9 +341,6 @@ class Learner:
                 self.squares[:, i] += slope**2
                 self.weights[:, i] += RATE * slope / np.sqrt(self.squares[:, i])
             self.refine += np.bincount((bit * GATES + gate) * CELLS + _CELL.take(place), minlength=len(self.refine))
-            add = one << (bit << 5)
-            for counts, slot in zip(self.counts, slots, strict=False):
-                np.add.at(counts, slot, add)
             self.seen += len(bit)
 
     def rows(self, shard: int) -> pa.RecordBatch:
@@ -482,8 +481,10 @@ def _score(shared):
                 n = len(texts)
                 keys, bounds = token_keys(texts)
                 owner = np.repeat(np.arange(n), np.diff(bounds))
-                symbols, place = code.symbols(keys), places(v["common"], keys)
-                known, shared_code = place >= 0, symbols < BUCKETS
+                place = places(v["common"], keys)
+                known, symbols = place >= 0, v["symbols"].take(place)
+                shared_code = symbols < 0
+                symbols[shared_code] = bucket_of(keys[shared_code])
                 own = np.where(known, common_logs[place], np.log10(0.5))
                 base = np.bincount(owner, own, n) - np.diff(bounds) * v["log_all"]
                 units = model.score(symbols, contexts(keys, bounds, (code.size[symbols] <= FREQUENT) & (keys != END)))
@@ -567,6 +568,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     fixed = {
         "model": read_model(learn_tables(training, code, bits), code, bits),
         "common": keys, "logs": np.log10(np.append(common_counts, 0) + 0.5),
+        # The symbols of common words with codes of their own, in the order of the keys; -1 for the rest and, as the last one, for words not broadcast.
+        "symbols": np.append(np.where(own, np.cumsum(own) - 1 + BUCKETS, -1), -1),
         "log_all": float(np.log10(all_tokens + 0.5 * (all_words + 1))),
     }
     shared = spark.sparkContext.broadcast(fixed)
