@@ -53,6 +53,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_alone(df: DataFrame) -> DataFrame:
+    """As durable, and the shuffle files from which the checkpoint was made go at once, not when the driver collects garbage.
+
+    Where many checkpoints follow each other, their shuffles else lie on the disks together.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        # The setting holds for frames that are made under it.
+        return durable(df.select("*"))
+    finally:
+        conf.set(key, before)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder; it is made by its first writer."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

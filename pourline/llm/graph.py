@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable_alone
 
 MAX_ROUNDS = 100
 
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     a node's are brought together, and the edge list is checkpointed after it, so
     neither a component nor an edge list ever has to fit in one task.
     """
-    current = durable(
+    current = durable_alone(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     mark = _mark(current)
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = current.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         small = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
         ends = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        current = durable(ends.where("u <> v").distinct())
+        current = durable_alone(ends.where("u <> v").distinct())
         now = _mark(current)
         if now == mark:
             break

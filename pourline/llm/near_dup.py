@@ -37,7 +37,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, keep_ids
+from .common import durable_alone, keep_ids
 from .graph import connected_components
 from .words import lower_words, steps
 
@@ -238,11 +238,11 @@ def near_duplicates(
         matches = max(1, math.floor(coordinates * percent / 100 - 4.25 * math.sqrt(coordinates * percent / 100 * (1 - percent / 100))))
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
-    signed = durable(
+    signed = durable_alone(
         source.mapInArrow(_signatures(width, coordinates), "doc_id long, text_hash long, n_shingles long, print binary, elements array<long>")
     )
     # A class is a set; it is numbered, and its row of the smallest id stands for it.
-    classes = durable(
+    classes = durable_alone(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("print")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("elements").alias("elements"))
@@ -278,7 +278,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc
     """
     key = _new_name(docs, "row_key")
     counted = docs.groupBy(F.col(doc_id).alias("shared_id")).agg(F.count("*").alias("rows"))
-    shared = durable(counted.where((F.col("rows") > 1) | F.col("shared_id").isNull()).select("shared_id"))
+    shared = durable_alone(counted.where((F.col("rows") > 1) | F.col("shared_id").isNull()).select("shared_id"))
     if shared.isEmpty():
         found = near_duplicates(docs, width, percent, doc_id=doc_id, text=text)
         return keep_ids(docs, found.where("kept = false").select("doc_id"), doc_id=doc_id, how="left_anti")
@@ -303,11 +303,11 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
         .select("node", F.transform("found", lambda x: x["element"]).alias("found"), (F.size("found") - (matches - 1)).alias("posts"))
     )
     # The first ``posts`` of the elements found are the prefix; a posting does not hold them twice.
-    postings = durable(
+    postings = durable_alone(
         prefixed.join(classes.select("node", "n"), "node")
         .select("node", "n", "found", "posts", F.explode(F.slice("found", F.lit(1), F.col("posts"))).alias("element"))
     )
-    lists = durable(postings.groupBy("element").agg(F.count("*").alias("m")).where("m > 1"))
+    lists = durable_alone(postings.groupBy("element").agg(F.count("*").alias("m")).where("m > 1"))
 
     left = postings.join(lists.where(F.col("m") <= SMALL_LIST).select("element"), "element")
     x, y = left.alias("x"), left.alias("y")
@@ -320,9 +320,9 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
         & (F.get(F.array_intersect(prefix_x, prefix_y), F.lit(0)) == F.col("x.element"))
         & (F.size(F.array_intersect("x.found", "y.found")) >= matches),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = durable(met.distinct())
+    pairs = durable_alone(met.distinct())
 
-    long_lists = durable(
+    long_lists = durable_alone(
         postings.join(lists.where(F.col("m") > SMALL_LIST).select("element"), "element")
         .select("element", "node", "n", "found", "posts")
     )
@@ -330,13 +330,13 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
         pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         .unionByName(long_lists.select("node")).distinct()
     )
-    named = durable(classes.join(wanted, "node").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")))
+    named = durable_alone(classes.join(wanted, "node").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("own_hash")))
     # Texts are not shuffled: their tasks make the sets of those that may be candidates, and the join drops the rest.
     full = (
         source.where("doc_id IS NOT NULL").select("doc_id", "text", "text_hash", _slot("doc_id", "text_hash"))
         .mapInArrow(_full_sets(width, source.sparkSession.sparkContext.broadcast(_marks(named))), "doc_id long, text_hash long, shingles binary")
     )
-    sets = durable(
+    sets = durable_alone(
         full.join(named, (F.col("doc_id") == F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
         .dropDuplicates(["own", "own_hash"]).select("node", "shingles")
     )
@@ -349,7 +349,7 @@ def _links(source: DataFrame, classes: DataFrame, width: int, percent: int, matc
     if long_lists.isEmpty():
         return confirmed
     labels = connected_components(confirmed.unionByName(_to_hubs(long_lists, sets, percent, matches)), "a", "b")
-    joined = durable(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    joined = durable_alone(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return joined.unionByName(_between(long_lists, joined, sets, percent, matches))
 
 
@@ -363,7 +363,7 @@ def _to_hubs(long_lists: DataFrame, sets: DataFrame, percent: int, matches: int)
     one = F.struct("node", "n", "found")
     hubs = long_lists.groupBy("element").agg(F.array_distinct(F.array(*(F.min_by(one, F.xxhash64("node", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-    spokes = durable(
+    spokes = durable_alone(
         long_lists.select("*", salt).join(_salted(hubs), ["element", "salt"])
         .select("node", "n", "found", F.explode("hubs").alias("hub"))
         .where(F.col("node") != F.col("hub.node"))

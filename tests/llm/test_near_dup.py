@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pourline.llm.graph import connected_components
 from pourline.llm.near_dup import SMALL_LIST, drop_near_duplicates, near_duplicates
@@ -140,3 +141,20 @@ def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __key int, row_key int, __shared_id int")
     out = drop_near_duplicates(df)
     assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2], rows[3]]
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark):
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    edges = spark.range(1, 41).selectExpr("id AS a", "id - 1 AS b")
+    found = connected_components(edges, "a", "b")
+    end = time.monotonic() + 20
+    while (left := files() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)}
