@@ -124,7 +124,7 @@ class Code:
     """Binary codes of all symbols: the buckets of words first, then the words with codes of their own, in the order of their keys."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, rare_counts: np.ndarray, rare_kinds: np.ndarray):
-        self.keys = keys
+        self.places = Places(keys)
         weights = np.concatenate([rare_counts + 0.5 * (rare_kinds + 1), counts + 0.5])
         self.size = code_lengths(weights).astype(np.uint8)
         # Canonical: codes of one length follow each other; heavier symbols first.
@@ -160,7 +160,7 @@ class Code:
         self.total = np.log10(rare_counts + 0.5 * (rare_kinds + 1))
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
-        at = places(self.keys, keys)
+        at = self.places.of(keys)
         return np.where(at >= 0, at + BUCKETS, bucket_of(keys))
 
 
@@ -169,12 +169,42 @@ def bucket_of(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
 
-def places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key is among the sorted ones, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+class Places:
+    """Where keys are among sorted ones: the first bits of a key tell where to begin, some steps lead to the key."""
+
+    #: Steps from where the first bits lead, at most; where equal first bits are commoner, keys are searched for.
+    STEPS = 16
+
+    def __init__(self, sorted_keys: np.ndarray):
+        self.keys = sorted_keys
+        bits = max(1, (2 * len(sorted_keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        per_slot = np.bincount(self._slots(sorted_keys), minlength=1 << bits)
+        self.few = bool(per_slot.max() <= self.STEPS)
+        self.first = np.minimum(np.cumsum(per_slot) - per_slot, max(0, len(sorted_keys) - 1)).astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        # With the sign turned, unsigned keys are in the order of the signed ones.
+        slots = keys.view(np.uint64) ^ np.uint64(1 << 63)
+        slots >>= self.shift
+        return slots.view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        if not self.few:
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            return np.where(self.keys[at] == keys, at, -1)
+        at = self.first.take(self._slots(keys)).astype(np.int64)
+        found = self.keys.take(at)
+        behind = np.flatnonzero(found < keys)
+        while len(behind := behind[at[behind] < len(self.keys) - 1]):
+            at[behind] += 1
+            found[behind] = step = self.keys.take(at[behind])
+            behind = behind[step < keys[behind]]
+        at[found != keys] = -1
+        return at
 
 
 def contexts(keys: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -204,7 +234,8 @@ def table_bits(tokens: int) -> list[int]:
 def bit_levels(code: Code, symbols: np.ndarray, hashes: np.ndarray, bits: list[int]) -> Iterator[tuple]:
     """Level by level of the codes: (tokens whose codes reach it, their bits there, log-odds and probability without context, slots by context).
 
-    The tokens of a level are the first ones of the level before.
+    The tokens of a level are the first ones of the level before. All places are within their tables, so taking with
+    wrapping, which is the fastest way, never wraps.
     """
     size = code.size[symbols]
     order = np.argsort(size, kind="stable")[::-1]
@@ -223,7 +254,7 @@ def bit_levels(code: Code, symbols: np.ndarray, hashes: np.ndarray, bits: list[i
                 slot >>= np.uint32(32 - b)
                 slots.append(slot.astype(np.intp))
         at = starts[:n] + depth
-        yield order[:n], (rest & np.uint32(1)).astype(np.int64), code.odds.take(at), code.p.take(at), slots
+        yield order[:n], (rest & np.uint32(1)).astype(np.int64), code.odds.take(at, mode="wrap"), code.p.take(at, mode="wrap"), slots
 
 
 #: The class of what a slot has seen, for small counts.
@@ -319,7 +350,7 @@ class Learner:
         for _, bit, plain, p, slots in bit_levels(self.code, symbols, hashes, self.bits):
             odds, classes, (prior, other), add = [plain], [], priors(p), one << (bit << 5)
             for t, (counts, slot) in enumerate(zip(self.counts, slots, strict=False)):
-                both = counts.take(slot)
+                both = counts.take(slot, mode="wrap")
                 # Counted as soon as read, while the slots are at hand; what was read stays without this block's.
                 np.add.at(counts, slot, add)
                 ones = both >> 32
@@ -330,17 +361,18 @@ class Learner:
                     classes.append(_CLASSES.take(np.minimum(ones, 63, out=ones)))
             gate = classes[1] * 4 + classes[0]
             weights = np.ascontiguousarray(self.weights.T, np.float32)
-            mixed = weights[0].take(gate)
+            mixed = weights[0].take(gate, mode="wrap")
             for i, x in enumerate(odds, 1):
-                mixed += weights[i].take(gate) * x
+                mixed += weights[i].take(gate, mode="wrap") * x
             place = _place(mixed)
-            miss = bit - _SQUASH.take(place)
-            share = np.maximum(np.bincount(gate, minlength=GATES), 1)
+            miss = bit - _SQUASH.take(place, mode="wrap")
+            refine = np.bincount((bit * GATES + gate) * CELLS + _CELL.take(place, mode="wrap"), minlength=len(self.refine))
+            self.refine += refine
+            share = np.maximum(refine.reshape(2, GATES, CELLS).sum((0, 2)), 1)
             for i in range(len(odds) + 1):
                 slope = np.bincount(gate, miss * odds[i - 1] if i else miss, GATES) / share
                 self.squares[:, i] += slope**2
                 self.weights[:, i] += RATE * slope / np.sqrt(self.squares[:, i])
-            self.refine += np.bincount((bit * GATES + gate) * CELLS + _CELL.take(place), minlength=len(self.refine))
             self.seen += len(bit)
 
     def rows(self, shard: int) -> pa.RecordBatch:
@@ -437,19 +469,19 @@ class Model:
             held, all_tokens = np.zeros(len(symbols[at : at + TOKENS]), np.int64), None
             for order, bit, plain, p, slots in bit_levels(self.code, symbols[at : at + TOKENS], hashes[:, at : at + TOKENS], self.bits):
                 all_tokens = order if all_tokens is None else all_tokens
-                said, (prior, other) = [t.take(s) for t, s in zip(self.tables, slots, strict=False)], priors(p)
+                said, (prior, other) = [t.take(s, mode="wrap") for t, s in zip(self.tables, slots, strict=False)], priors(p)
                 gate = _STATE_CLASS.take(said[1]) * 4
                 gate += _STATE_CLASS.take(said[0])
-                mixed = self.weights[0].take(gate)
-                mixed += self.weights[1].take(gate) * plain
+                mixed = self.weights[0].take(gate, mode="wrap")
+                mixed += self.weights[1].take(gate, mode="wrap") * plain
                 for weight, state in zip(self.weights[2:], said, strict=False):
-                    away = moved(_ZEROS.take(state), _ONES.take(state), prior, other, plain)
-                    away *= weight.take(gate)
+                    away = moved(_ZEROS.take(state, mode="wrap"), _ONES.take(state, mode="wrap"), prior, other, plain)
+                    away *= weight.take(gate, mode="wrap")
                     mixed += away
                 gate += GATES * bit
                 gate *= many
                 gate += _place(mixed)
-                held[: len(order)] += self.costs.take(gate)
+                held[: len(order)] += self.costs.take(gate, mode="wrap")
             if all_tokens is not None:
                 out[at + all_tokens] = held
         return out
@@ -481,7 +513,7 @@ def _score(shared):
                 n = len(texts)
                 keys, bounds = token_keys(texts)
                 owner = np.repeat(np.arange(n), np.diff(bounds))
-                place = places(v["common"], keys)
+                place = v["common"].of(keys)
                 known, symbols = place >= 0, v["symbols"].take(place)
                 shared_code = symbols < 0
                 symbols[shared_code] = bucket_of(keys[shared_code])
@@ -567,7 +599,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     all_tokens, all_words = int(totals["n"]), int(totals["v"])
     fixed = {
         "model": read_model(learn_tables(training, code, bits), code, bits),
-        "common": keys, "logs": np.log10(np.append(common_counts, 0) + 0.5),
+        "common": Places(keys), "logs": np.log10(np.append(common_counts, 0) + 0.5),
         # The symbols of common words with codes of their own, in the order of the keys; -1 for the rest and, as the last one, for words not broadcast.
         "symbols": np.append(np.where(own, np.cumsum(own) - 1 + BUCKETS, -1), -1),
         "log_all": float(np.log10(all_tokens + 0.5 * (all_words + 1))),

@@ -787,3 +787,16 @@ def test_a_model_scores_as_its_plain_form_does_in_less_time():
 
     assert (plain() == model.score(symbols, hashes)).all()
     assert min(took(lambda: model.score(symbols, hashes)) for _ in range(7)) < 0.85 * min(took(plain) for _ in range(7))
+
+
+def test_places_of_keys_are_those_of_a_search():
+    import numpy as np
+
+    from pourline.llm.lm_score import END, Places
+
+    rng = np.random.default_rng(5)
+    ends = np.array([np.iinfo(np.int64).min, -1, 0, 1, END, np.iinfo(np.int64).max])
+    for keys in (ends[:0], ends[:1], ends[-1:], np.unique(ends), np.arange(-40, 40), np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))):
+        asked = np.concatenate([keys, keys[keys < 2**62] + 1, keys[keys > -(2**62)] - 1, ends, rng.integers(-(2**63), 2**63 - 1, 5000)])
+        where = {k: i for i, k in enumerate(keys.tolist())}
+        assert Places(keys).of(asked).tolist() == [where.get(k, -1) for k in asked.tolist()]
