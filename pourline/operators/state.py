@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import durable
+
 #: Labels of pages whose recipes are extracted.
 EXTRACTABLE = ("likely_drink_recipe", "confirmed_drink")
 MAX_ATTEMPTS = 3
@@ -40,8 +42,9 @@ def add_urls(pages: DataFrame, new: DataFrame, order: list[str], now) -> DataFra
     first = new.groupBy("url").agg(F.min(F.struct(*order, *rest)).alias("x")).select("url", "x.*")
     fresh = first.join(pages.select("url"), "url", "left_anti")
     start = pages.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    # Ids without one global window: ranks within ranges of the order, and the sum of the ranges before.
-    ranged = fresh.repartitionByRange(*order, "url").sortWithinPartitions(*order, "url").withColumn("part", F.spark_partition_id())
+    # Ids without one global window: ranks within ranges of the order, and the sum of the ranges before.  The ranges are
+    # written first: their bounds are sampled, and two readers of the plan would each sample their own.
+    ranged = durable(fresh.repartitionByRange(*order, "url").withColumn("part", F.spark_partition_id()))
     within = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order, "url")))
     sizes = within.groupBy("part").agg(F.max("n").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

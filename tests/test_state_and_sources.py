@@ -15,6 +15,29 @@ def test_queue_heals_half_evaluated_pages(spark):
     assert [r["id"] for r in state.validate_queue(pages, first, second).collect()] == [1, 2, 3]
 
 
+def _batch_of_urls(spark, n):
+    """Urls in an order of their own, each twice, the later time from another site."""
+    rows = spark.range(2 * n).select(F.col("id") % n, (F.col("id") >= n).alias("later")).toDF("k", "later")
+    return rows.select(
+        F.concat(F.lit("u"), "k").alias("url"), F.when(F.col("later"), "s2").otherwise(F.concat(F.lit("s"), F.col("k") % 2)).alias("site"),
+        F.repeat(F.lit("map"), 50).alias("sitemap_source"), F.col("later").cast("int").alias("o1"), (F.col("k") * 7919 % n).alias("o2"),
+    )
+
+
+@pytest.fixture()
+def all_ranges(spark):
+    """Spark joins no small partitions, so that even a small batch has several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_new_ids_follow_the_order_of_a_batch_of_many_ranges(spark, all_ranges):
+    pages = spark.createDataFrame([(41, "x")], "id long, url string")
+    got = {r["url"]: (r["id"], r["site"]) for r in state.add_urls(pages, _batch_of_urls(spark, 10_007), ["o1", "o2"], "2024-01-01").collect()}
+    assert got == {f"u{k}": (42 + k * 7919 % 10_007, f"s{k % 2}") for k in range(10_007)}
+
+
 def test_failures_go_only_when_a_page_becomes_extractable(spark):
     pages = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, content_type string")
     runs = spark.createDataFrame([(1, "no_recipe"), (2, "no_recipe"), (3, "no_recipe"), (1, "extracted")], "page_id long, outcome string")
