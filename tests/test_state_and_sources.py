@@ -38,6 +38,17 @@ def test_new_ids_follow_the_order_of_a_batch_of_many_ranges(spark, all_ranges):
     assert got == {f"u{k}": (42 + k * 7919 % 10_007, f"s{k % 2}") for k in range(10_007)}
 
 
+def test_new_urls_are_all_counted_whatever_ranges_are_joined(spark, request):
+    own = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": False, "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": 16}
+    for name, value in own.items():
+        request.addfinalizer(lambda name=name, before=spark.conf.get(name, None): spark.conf.unset(name) if before is None else spark.conf.set(name, before))
+        spark.conf.set(name, value)
+    batch = _batch_of_urls(spark, 5_003).withColumn("site", F.concat("site", F.repeat(F.sha2("url", 512), 3), F.lit("/"), "site"))
+    added = state.add_urls(spark.createDataFrame([(41, "x")], "id long, url string"), batch, ["o1", "o2"], "2024-01-01")
+    by_site = state.new_by_site(added.withColumn("site", F.substring_index("site", "/", -1)))
+    assert {tuple(r) for r in by_site.collect()} == {("s0", 2502), ("s1", 2501)}
+
+
 def test_failures_go_only_when_a_page_becomes_extractable(spark):
     pages = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, content_type string")
     runs = spark.createDataFrame([(1, "no_recipe"), (2, "no_recipe"), (3, "no_recipe"), (1, "extracted")], "page_id long, outcome string")
