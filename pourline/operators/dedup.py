@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ..shared import durable
 from .scoring import DRY, LIQUID
 
-#: Entries of a part's list that one block holds on average.
+#: Entries of a list that one block holds on average.
 LIST_ROWS = 2000
+#: Sets of at most so many parts meet under two shared parts: their pairs of parts are few.
+SHORT = 16
 _UNITS = r"\b(?:" + "|".join([*LIQUID, *DRY]) + r")\b"
 
 
@@ -60,48 +62,72 @@ def overlap_members(recipes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").select("id", "class_id")
 
 
+def _met(a: DataFrame, b: DataFrame, key: str, min_jaccard: float, list_rows: int, where: Column) -> DataFrame:
+    """(id, other_id, jaccard), id < other_id, of entries (id, n, parts, key) of both sides under one key; a pair may come under several.
+
+    A key with more than ``list_rows`` entries of ``b`` is dealt over blocks by a hash of the id, so that no task has more than a block
+    of a list at once; the entries of ``a`` go to each of its blocks.
+    """
+    blocks = b.groupBy(key).agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+    a = a.join(blocks, key, "left").select(*a.columns, every).alias("a")
+    b = b.join(blocks, key, "left").select(*b.columns, own.alias("block")).alias("b")
+    fits = (F.col("a.n") >= F.col("b.n") * min_jaccard - 1e-9) & (F.col("b.n") >= F.col("a.n") * min_jaccard - 1e-9)
+    common = F.size(F.array_intersect("a.parts", "b.parts"))
+    jaccard = common / (F.col("a.n") + F.col("b.n") - common)
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.block") == F.col("b.block")) & where & fits & (jaccard >= min_jaccard))
+    return met.select(F.least("a.id", "b.id").alias("id"), F.greatest("a.id", "b.id").alias("other_id"), jaccard.alias("jaccard"))
+
+
 def similar_sets(sets: DataFrame, min_jaccard: float = 0.5, list_rows: int = LIST_ROWS) -> DataFrame:
-    """sets(id, parts), parts a set of texts -> (id, other_id, jaccard) of all pairs id < other_id of at least min_jaccard.
+    """sets(id, parts), parts a set of values -> (id, other_id, jaccard) of all pairs id < other_id of at least min_jaccard.
 
-    Parts are ordered by how many sets hold them, the rarest first; two similar sets meet in the prefixes of
-    that order.  A meeting counts at the first part they share, and only if their sizes and what is left of both behind
-    it can still give the overlap needed; what passes is verified once.  The list of a part with more than ``list_rows``
-    entries is dealt over blocks by a hash of the id, and each two of its blocks meet on their own, so that no
-    task has more than two blocks of a list.
+    Parts are ordered by how many sets hold them, the rarest first.  Two sets that must share c parts share one of the
+    first n - c + 1 of that order, and two of the first n - c + 2.  So sets of at most SHORT parts that must share two or
+    more meet under two parts of their beginnings, which few unlike sets have in common; longer sets, and those for which one
+    shared part is enough, meet under one.  A pair is verified wherever it meets and counts once.
     """
     sets = durable(sets.where(F.size("parts") > 0).select("id", "parts"))
     posted = sets.select("id", F.explode("parts").alias("part"))
     seen = posted.groupBy("part").agg(F.count("*").alias("df"))
     ranked = posted.join(seen, "part").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "part"))), lambda x: x["part"]).alias("parts"))
-    size = F.size("parts")
-    ranked = ranked.withColumn("n", size).withColumn("prefix", F.slice("parts", F.lit(1), size - F.ceil(size * min_jaccard).cast("int") + 1))
-    entries = durable(ranked.select("id", "n", "parts", "prefix", F.posexplode("prefix").alias("at", "part")))
-    blocks = entries.groupBy("part").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks"))
-    dealt = entries.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other of its list: under (smaller, larger) of the two numbers.
-    meets = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
-    a, b = meets.alias("a"), meets.alias("b")
-    need = F.ceil(F.lit(min_jaccard) / (1 + min_jaccard) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # shared parts at most, from this one on
-    fits = (
-        (F.col("a.n") >= F.col("b.n") * min_jaccard - 1e-9) & (F.col("b.n") >= F.col("a.n") * min_jaccard - 1e-9) & (left >= need)
-        & (F.get(F.array_intersect("a.prefix", "b.prefix"), F.lit(0)) == F.col("a.part"))
-    )
-    # Within one block every pair meets once; between two blocks each pair meets as (own of a, own of b) only.
-    once = (F.col("a.id") < F.col("b.id")) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.own") != F.col("b.own")))
-    common = F.size(F.array_intersect("a.parts", "b.parts"))
-    jaccard = common / (F.col("a.n") + F.col("b.n") - common)
-    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & once & fits)
-    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+    ranked = durable(ranked.select("id", F.size("parts").alias("n"), "parts"))
+    least = F.ceil(F.col("n") * min_jaccard - 1e-9).cast("int")  # parts that a similar set shares at least
+    one = (1 + min_jaccard) / min_jaccard + 1e-9  # sets of so many parts together need only one in common
+    first, two = F.slice("parts", F.lit(1), F.col("n") - least + 1), F.slice("parts", F.lit(1), F.col("n") - least + 2)
+    both = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = ranked.where((F.col("n") >= 2) & (F.col("n") <= SHORT)).select("id", "n", "parts", F.explode(both).alias("key"))
+    single = ranked.where((F.col("n") > SHORT * min_jaccard) | (F.col("n") < one)).select("id", "n", "parts", F.explode(first).alias("key"))
+    ordered, together = F.col("a.id") < F.col("b.id"), F.col("a.n") + F.col("b.n")
+    met = _met(pairs, pairs, "key", min_jaccard, list_rows, ordered & (together > one))
+    # The longer of a pair is a long set; of two long ones each pair counts from its smaller id.
+    met = met.unionByName(_met(single.where(F.col("n") > SHORT), single, "key", min_jaccard, list_rows, ordered | (F.col("b.n") <= SHORT)))
+    small = single.where(F.col("n") < one)
+    met = met.unionByName(_met(small, small, "key", min_jaccard, list_rows, ordered & (together <= one)))
+    return met.groupBy("id", "other_id").agg(F.first("jaccard").alias("jaccard"))
 
 
 def most_similar(sets: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:
-    """sets(id, parts) -> (id, other_id, jaccard): of each set the k most similar others, ties by id."""
-    pairs = similar_sets(sets, min_jaccard)
-    both = pairs.select(F.explode(F.array(F.struct("id", "other_id", "jaccard"), F.struct(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "jaccard"))).alias("x")).select("x.*")
+    """sets(id, parts) -> (id, other_id, jaccard): of each set the k most similar others, ties by id.
+
+    Equal sets are compared once, under their least id.  A class of equal sets is represented by its k + 1 least ids, which are all
+    that any set can have among its k best.
+    """
+    sets = durable(sets.where(F.size("parts") > 0).select("id", F.array_sort("parts").alias("parts")))
+    rank = F.row_number().over(Window.partitionBy("parts").orderBy("id"))
+    heads = sets.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).groupBy("parts").agg(F.sort_array(F.collect_list("id")).alias("heads"))
+    classes = durable(heads.select(F.get("heads", F.lit(0)).alias("id"), "parts", "heads"))
+    pairs = similar_sets(classes.select("id", "parts"), min_jaccard)
+    linked = pairs.select(F.explode(F.array(F.struct("id", "other_id", "jaccard"), F.struct(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "jaccard"))).alias("x")).select("x.*")
+    others = linked.join(classes.select(F.col("id").alias("other_id"), "heads"), "other_id").select("id", "jaccard", F.explode("heads").alias("other_id"))
+    own = classes.where(F.size("heads") > 1).select("id", F.lit(1.0).alias("jaccard"), F.explode("heads").alias("other_id"))
     top = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("jaccard"), "other_id"))
-    return both.withColumn("_rank", top).where(F.col("_rank") <= k).drop("_rank")
+    best = others.unionByName(own).withColumn("_rank", top).where(F.col("_rank") <= k + 1)
+    best = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_rank", "other_id", "jaccard"))).alias("best"))
+    listed = sets.join(classes.select(F.col("id").alias("class_id"), "parts").join(best.withColumnRenamed("id", "class_id"), "class_id").select("parts", "best"), "parts")
+    kept = F.slice(F.filter("best", lambda x: x["other_id"] != F.col("id")), F.lit(1), F.lit(k))
+    return listed.select("id", F.explode(kept).alias("x")).select("id", "x.other_id", "x.jaccard")
 
 
 def ingredient_overlap(recipes: DataFrame, k: int = 5, min_jaccard: float = 0.5) -> DataFrame:

@@ -147,6 +147,26 @@ def test_similar_sets_lose_no_pair(spark, list_rows):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize(("jaccard", "longest"), [(0.5, 24), (0.6, 7), (0.25, 12)])
+def test_the_most_similar_sets_are_those_of_all_pairs(spark, monkeypatch, jaccard, longest):
+    """Sets of one part up to long ones, and many equal ones, which are compared once."""
+    rng = random.Random(longest)
+    some = [rng.sample(range(30), rng.randint(1, longest)) for _ in range(60)]
+    some += [rng.sample(s, max(1, len(s) - rng.randint(0, 2))) + [40] * rng.randint(0, 1) for s in some for _ in range(2)]
+    sets = dict(enumerate([rng.sample(s, len(s)) for s in some + some[:40] + [[1, 2, 3]] * 90]))
+    score = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, *x) for a in sets for x in sorted(((b, score(sets[a], sets[b])) for b in sets if b != a and score(sets[a], sets[b]) >= jaccard), key=lambda x: (-x[1], x[0]))[:3]}
+    made, join = [], dedup.similar_sets
+    monkeypatch.setattr(dedup, "similar_sets", lambda *args: made.append(join(*args)) or made[-1])
+    df = spark.createDataFrame(list(sets.items()), "id long, parts array<int>")
+    got = {tuple(r) for r in dedup.most_similar(df, 3, jaccard).collect()}
+    assert {(a, b, round(j, 9)) for a, b, j in got} == {(a, b, round(j, 9)) for a, b, j in want}
+    first = {}
+    for a, s in sets.items():
+        first.setdefault(frozenset(s), a)
+    assert {r["id"] for r in made[0].collect()} | {r["other_id"] for r in made[0].collect()} <= set(first.values())
+
+
 def _labels(spark, labeller, urls=("u1", "u2", "bad")):
     pages = spark.createDataFrame([(k, "s", u, None, None) for k, u in enumerate(urls)], "id long, site string, url string, sitemap_source string, content_type string")
     none = spark.createDataFrame([], "page_id long, run_id long, label string, model string, prompt_version string, raw_response string, latency_ms long, evaluated_at timestamp, pages_content_type_before string")
