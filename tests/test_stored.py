@@ -107,6 +107,27 @@ def test_the_stored_index_answers_as_a_scan(spark, tmp_path):
     assert sorted(tuple(r) for r in index.search(queries).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("bytes_at_once", [8 << 20, 400])
+def test_a_batch_search_shuffles_no_text(spark, monkeypatch, request, bytes_at_once):
+    """Terms that are too many for one part go to the tasks in several."""
+    monkeypatch.setattr(search, "SENT_BYTES", bytes_at_once, raising=False)
+    rng = random.Random(3)
+    words = ["gin", "ginger", "sour", "Negroni", "lime", "a%b_c", "ice", "éclair", "sugar", "vermouth"]
+    rows = {k: (" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), " ".join(rng.choice(words) for _ in range(3)) if k % 5 else None) for k in range(200)}
+    asked = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(30)] + ["gin", "GIN", "xyz", "", None, "in"]
+    recipes = spark.createDataFrame([(k, *v) for k, v in rows.items()], "id long, name string, ingredients_json string")
+    found = search.batch_search(recipes, spark.createDataFrame(list(enumerate(asked)), "query_id int, q string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    assert exchanges_with(found, "name#") == exchanges_with(found, "ingredients_json#") == []
+    want = set()
+    for n, q in enumerate(asked):
+        terms = [t.lower() for t in search.search_terms(q or "")]
+        want |= {(n, k) for k, (name, lines) in rows.items() if all(t in name.lower() or t in (lines or "").lower() for t in terms)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_pages_of_the_stored_order(spark, tmp_path):
     rows = spark.range(230).select("id", F.lit("s").alias("site"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("n"), F.col("id") % 50)).alias("name"), F.lit("i").alias("image_url"))
     path = str(tmp_path / "pages")
