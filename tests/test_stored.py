@@ -107,6 +107,22 @@ def test_the_stored_index_answers_as_a_scan(spark, tmp_path):
     assert sorted(tuple(r) for r in index.search(queries).collect()) == sorted(want)
 
 
+def test_lists_stay_short_and_equal_queries_ask_once(spark, tmp_path, monkeypatch):
+    from pourline.operators import search_index
+
+    monkeypatch.setattr(search_index, "LIST", 5, raising=False)
+    index = SearchIndex(str(tmp_path / "index"), 3, 4)
+    rows = spark.range(300).select("id", F.concat(F.lit("gin "), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("ingredients_json"))
+    index.upsert(rows, 1)
+    index.upsert(rows.where("id < 30").withColumn("name", F.lit("sour")), 2)
+    assert index.postings(spark).agg(F.max("n")).first()[0] <= 20
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.when(F.col("id") < 39, "gin").otherwise("sour Sour").alias("q"))
+    want = [(q, k) for q in range(39) for k in range(30, 300)] + [(39, k) for k in range(30)]
+    assert sorted(tuple(r) for r in index.search(queries).collect()) == want
+    index.compact(spark)
+    assert index.postings(spark).agg(F.max("n")).first()[0] <= 20
+
+
 @pytest.mark.parametrize("bytes_at_once", [8 << 20, 400])
 def test_a_batch_search_shuffles_no_text(spark, monkeypatch, request, bytes_at_once):
     """Terms that are too many for one part go to the tasks in several."""
