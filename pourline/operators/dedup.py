@@ -68,15 +68,20 @@ def _met(a: DataFrame, b: DataFrame, key: str, min_jaccard: float, list_rows: in
     A key with more than ``list_rows`` entries of ``b`` is dealt over blocks by a hash of the id, so that no task has more than a block
     of a list at once; the entries of ``a`` go to each of its blocks.
     """
-    blocks = b.groupBy(key).agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
-    a = a.join(blocks, key, "left").select(*a.columns, every).alias("a")
-    b = b.join(blocks, key, "left").select(*b.columns, own.alias("block")).alias("b")
+    blocks = durable(b.groupBy(key).agg(F.ceil(F.count("*") / list_rows).cast("int").alias("blocks")).where("blocks > 1"))
+    same = F.col(f"a.{key}") == F.col(f"b.{key}")
+    if blocks.isEmpty():
+        a, b = a.alias("a"), b.alias("b")
+    else:
+        own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+        blocks = F.broadcast(blocks)  # at most the entries over list_rows
+        a, b = (x.join(blocks, key, "left").select(*x.columns, block).alias(name) for x, block, name in ((a, every, "a"), (b, own.alias("block"), "b")))
+        same = same & (F.col("a.block") == F.col("b.block"))
     fits = (F.col("a.n") >= F.col("b.n") * min_jaccard - 1e-9) & (F.col("b.n") >= F.col("a.n") * min_jaccard - 1e-9)
     common = F.size(F.array_intersect("a.parts", "b.parts"))
     jaccard = common / (F.col("a.n") + F.col("b.n") - common)
-    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.block") == F.col("b.block")) & where & fits & (jaccard >= min_jaccard))
+    met = a.join(b, same & where & fits & (jaccard >= min_jaccard))
     return met.select(F.least("a.id", "b.id").alias("id"), F.greatest("a.id", "b.id").alias("other_id"), jaccard.alias("jaccard"))
 
 
@@ -86,9 +91,8 @@ def similar_sets(sets: DataFrame, min_jaccard: float = 0.5, list_rows: int = LIS
     Parts are ordered by how many sets hold them, the rarest first.  Two sets that must share c parts share one of the
     first n - c + 1 of that order, and two of the first n - c + 2.  So sets of at most SHORT parts that must share two or
     more meet under two parts of their beginnings, which few unlike sets have in common; longer sets, and those for which one
-    shared part is enough, meet under one.  A pair is verified wherever it meets and counts once.
+    shared part is enough, meet under one.  A pair is verified wherever it meets and counts once.  Sets are read twice.
     """
-    sets = durable(sets.where(F.size("parts") > 0).select("id", "parts"))
     posted = sets.select("id", F.explode("parts").alias("part"))
     seen = posted.groupBy("part").agg(F.count("*").alias("df"))
     ranked = posted.join(seen, "part").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "part"))), lambda x: x["part"]).alias("parts"))
@@ -96,7 +100,7 @@ def similar_sets(sets: DataFrame, min_jaccard: float = 0.5, list_rows: int = LIS
     least = F.ceil(F.col("n") * min_jaccard - 1e-9).cast("int")  # parts that a similar set shares at least
     one = (1 + min_jaccard) / min_jaccard + 1e-9  # sets of so many parts together need only one in common
     first, two = F.slice("parts", F.lit(1), F.col("n") - least + 1), F.slice("parts", F.lit(1), F.col("n") - least + 2)
-    both = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    both = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.xxhash64(x, y))))
     pairs = ranked.where((F.col("n") >= 2) & (F.col("n") <= SHORT)).select("id", "n", "parts", F.explode(both).alias("key"))
     single = ranked.where((F.col("n") > SHORT * min_jaccard) | (F.col("n") < one)).select("id", "n", "parts", F.explode(first).alias("key"))
     ordered, together = F.col("a.id") < F.col("b.id"), F.col("a.n") + F.col("b.n")
